@@ -66,7 +66,7 @@ def weighted_average(
 ) -> DataFrame:
     """Average of the parameters of a group's clients, weighted by ``weight``.
 
-    The divisor is the weight of all the group's clients (1 if that is not positive), so a
+    Locals that do not depend on some of ``by`` are shared by its groups. The divisor is the weight of all the group's clients (1 if that is not positive), so a
     parameter a client lacks counts as 0. A group without clients yields no rows: whatever
     held before goes on.
     """
@@ -78,7 +78,9 @@ def weighted_average(
         weighted = weights.withColumn("_w", weights.agg(F.sum("weight").alias("_w")).scalar())
     share = F.col("weight") / F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.lit(1.0))
     return (
-        locals_.join(weighted.select(*by, *client, share.alias("_share")), [*by, *client])
+        locals_.join(
+            weighted.select(*by, *client, share.alias("_share")), [c for c in [*by, *client] if c in locals_.columns]
+        )
         .groupBy(*by, *param)
         .agg(F.sum(F.col(value) * F.col("_share")).alias(value))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.functions.missing import known
@@ -36,7 +36,8 @@ def suppression_effect(
     (window, round) pairs are laid out.
     """
     keys = [*by, group]
-    series = history.groupBy(*keys, "round").agg(F.sum(known(F.col(metric))).alias("_s"), F.count(known(F.col(metric))).alias("_n"), F.min(known(F.col(metric))).alias("_min"))
+    m = known(F.col(metric))
+    series = history.groupBy(*keys, "round").agg(F.sum(m).alias("_s"), F.count(m).alias("_n"), F.min(m).alias("_min"))
     packed = series.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("round", "_s", "_n", "_min"))).alias("_h")
     )
@@ -46,7 +47,7 @@ def suppression_effect(
     else:
         joined = windows.join(packed, group, "left")
 
-    def mean(keep) -> F.Column:
+    def mean(keep) -> Column:
         part = F.filter("_h", keep)
         total = F.aggregate(part, F.lit(0.0), lambda a, x: a + F.coalesce(x["_s"], F.lit(0.0)))
         n = F.aggregate(part, F.lit(0).cast("bigint"), lambda a, x: a + x["_n"])

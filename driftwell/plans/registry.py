@@ -29,5 +29,7 @@ def load_all() -> None:
     from driftwell.plans import (  # noqa: F401
         checks_availability,
         checks_prepare,
+        checks_scoring,
+        checks_selection,
         checks_sources,
     )
