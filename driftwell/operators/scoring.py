@@ -347,16 +347,23 @@ def match_terms(df: DataFrame, terms: DataFrame, rounds: str = "round_id") -> Da
 
 def term_perplexity(
     df: DataFrame, terms: DataFrame, model, by: Sequence[str] = ("round_id",), order: Sequence[str] = ("sample_id",),
-    max_len: int | None = None, max_samples: int | None = None,
+    max_len: int | None = None, max_samples: int | None = None, key: str = "sample_id",
 ) -> DataFrame:
-    """Loss over the texts that contain a term, and how many there are, per round and term."""
+    """Loss over the texts that contain a term, and how many there are, per round and term.
+
+    A text's loss does not depend on the term, so every text is scored once and only its sum
+    meets the terms it contains.
+    """
     groups = [*by, "term"]
-    matched = first_rows(match_terms(df, terms), max_samples, order, groups)
-    counts = model.spread(matched.groupBy(*groups).agg(F.count(F.lit(1)).alias("term_samples")))
-    at = [*model.adds, *groups]
-    loss = mean_loss(model.nll(target_pairs(matched, groups, max_len=max_len)), at)
-    return counts.join(loss, at, "left").select(
-        *at, "nll", perplexity(F.col("nll")).alias("perplexity"), "term_samples"
+    matched = first_rows(match_terms(df, terms), max_samples, order, groups).select(*groups, key)
+    at = [*model.adds, *by, key]
+    per_text = model.nll(target_pairs(df, [*by, key], max_len=max_len)).groupBy(*at).agg(
+        F.sum(F.col("nll") * F.col("n")).alias("_sum"), F.sum("n").alias("_n")
+    )
+    return (
+        model.spread(matched).join(per_text, at, "left").groupBy(*model.adds, *groups)
+        .agg((F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0))).alias("nll"), F.count(F.lit(1)).alias("term_samples"))
+        .withColumn("perplexity", perplexity(F.col("nll")))
     )
 
 

@@ -1,0 +1,157 @@
+"""Queries for the whole experiment: several methods, all rounds, every metric."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driftwell.operators import bigram as bg, selection as sel
+from driftwell.operators.drift import inject_concepts
+from driftwell.plans import checks_scoring as cs, checks_selection as cl, datasets as ds, experiment as ex
+from driftwell.plans.checks_scoring import rounded
+from driftwell.plans.registry import query
+from driftwell.session import durable
+
+METHODS = ["random", "no_availability", "crosslm"]
+
+
+def parts(spark, sf):
+    """Stream with concepts, its clients, the selections, and the model of every method."""
+    facts = durable(ds.stream_facts(spark, sf))
+    docs = ds.documents(spark, sf).select("sample_id", F.lit("").alias("prompt"), "text", F.col("source").alias("label"))
+    stream = inject_concepts(docs.join(facts, "sample_id"), ds.EVENT_ROUNDS, ds.CONCEPTS)
+    chosen = durable(ex.select_clients(stream, ds.active_clients(spark, sf), METHODS, ds.EVENT_ROUNDS))
+    guidance = cs.guidance_of(spark, sf)
+    model = ex.learn(stream, chosen, guidance, METHODS)
+    return stream, chosen, guidance, bg.RoundModel(durable(model.increments), METHODS)
+
+
+LEARNED = rf"""{cs.SQL_DRIFT_STREAM}, {cs.SQL_GUIDANCE},
+ offer AS (SELECT DISTINCT 'random' AS method, round_id, client_id FROM stream WHERE available = 1
+   UNION ALL SELECT 'no_availability', CAST(r AS INTEGER), client_id FROM people, range({ds.EVENT_ROUNDS}) t(r)),
+ chosen AS (SELECT method, round_id, client_id FROM (SELECT *, row_number() OVER (PARTITION BY method, round_id ORDER BY {cl.DRAW}, client_id) AS rank FROM offer)
+   WHERE rank <= 5),
+ weights AS (SELECT c.method, c.round_id, c.client_id, count(*) AS weight FROM chosen c JOIN drifted d USING (round_id, client_id) GROUP BY ALL),
+ totals AS (SELECT method, round_id, sum(weight) AS total FROM weights GROUP BY ALL),
+ {cs.sql_transitions("tr", "drifted", "sample_id, round_id, client_id, persona, region")},
+ {cs.sql_transitions("gtr", "guidance", "round_id")},
+ local AS (SELECT round_id, client_id, prev, tok, count(*) AS value FROM tr GROUP BY ALL),
+ inc AS (SELECT w.method, l.round_id, l.prev, l.tok, sum(l.value * w.weight / t.total) AS value
+   FROM local l JOIN weights w USING (round_id, client_id) JOIN totals t USING (method, round_id) GROUP BY ALL
+   UNION ALL SELECT 'crosslm', round_id, prev, tok, count(*) FROM gtr GROUP BY ALL)"""
+
+
+@query("h5_learned_increments", f"WITH {LEARNED} SELECT method, round_id, prev, tok, round(value, 6) AS value FROM inc")
+def increments(spark, sf):
+    return rounded(parts(spark, sf)[3].increments, "value").select("method", "round_id", "prev", "tok", "value")
+
+
+# Everything a round's pairs need, from the increments of this and earlier rounds.
+LOSS = f"""{LEARNED},
+ room AS (SELECT sample_id, round_id, persona, label, greatest(256 - (len({cs.TOKENS.format("text")}) + 2), 0) AS room FROM drifted),
+ lc AS (SELECT round_id, label, count(*) AS n, count(*) OVER (PARTITION BY round_id) AS labels,
+   row_number() OVER (PARTITION BY round_id ORDER BY count(*) DESC, label) AS by_n, row_number() OVER (PARTITION BY round_id ORDER BY label) AS by_name
+   FROM drifted GROUP BY round_id, label),
+ space AS (SELECT round_id, label, CASE WHEN labels > 5 THEN by_n ELSE by_name END AS ord FROM lc WHERE labels <= 5 OR by_n <= 5),
+ {cs.SQL_SPLIT.replace("split AS", "msplit AS")}, {cs.SQL_SPLIT_TERM.replace("split AS", "tsplit AS")},
+ {cs.sql_completion(256).replace("FROM split", "FROM msplit").replace("arrays", "marrays").replace("joined", "mjoined").replace("pairs AS", "mpairs AS")},
+ {cs.sql_completion(256).replace("FROM split", "FROM tsplit").replace("arrays", "tarrays").replace("joined", "tjoined").replace("pairs AS", "tpairs AS")},
+ asks AS (SELECT DISTINCT round_id, prev, tok FROM (
+   SELECT round_id, prev, tok FROM tr UNION ALL SELECT round_id, prev, tok FROM mpairs UNION ALL SELECT round_id, prev, tok FROM tpairs
+   UNION ALL SELECT round_id, 'answer:', unnest(['positive', 'neutral', 'negative']) FROM drifted
+   UNION ALL SELECT round_id, 'sentiment:', label FROM space) WHERE prev IS NOT NULL),
+ methods AS (SELECT unnest({METHODS}) AS method),
+ ask AS (SELECT method, round_id, prev, tok FROM asks, methods),
+ vw AS (SELECT a.method, a.round_id, a.prev, a.tok, sum(i.value) AS vw FROM ask a JOIN inc i
+   ON i.method = a.method AND i.prev = a.prev AND i.tok = a.tok AND i.round_id <= a.round_id GROUP BY ALL),
+ vinc AS (SELECT method, round_id, prev, sum(value) AS value FROM inc WHERE prev IS NOT NULL GROUP BY ALL),
+ v AS (SELECT a.method, a.round_id, a.prev, sum(i.value) AS v FROM (SELECT DISTINCT method, round_id, prev FROM ask) a JOIN vinc i
+   ON i.method = a.method AND i.prev = a.prev AND i.round_id <= a.round_id GROUP BY ALL),
+ winc AS (SELECT method, round_id, tok, sum(value) AS value FROM inc GROUP BY ALL),
+ w AS (SELECT a.method, a.round_id, a.tok, sum(i.value) AS w FROM (SELECT DISTINCT method, round_id, tok FROM ask) a JOIN winc i
+   ON i.method = a.method AND i.tok = a.tok AND i.round_id <= a.round_id GROUP BY ALL),
+ cells AS (SELECT method, CAST(r AS INTEGER) AS round_id FROM methods, range({ds.EVENT_ROUNDS}) t(r)),
+ size AS (SELECT c.method, c.round_id, sum(i.value) AS total, count(DISTINCT i.tok) AS vocab FROM cells c LEFT JOIN winc i
+   ON i.method = c.method AND i.round_id <= c.round_id GROUP BY ALL),
+ loss AS (SELECT a.*, -ln(0.5 * CASE WHEN v.v > 0 THEN coalesce(vw.vw, 0) / v.v ELSE 0 END
+     + 0.5 * (coalesce(w.w, 0) + 1) / (coalesce(s.total, 0) + s.vocab + 1)) AS nll
+   FROM ask a LEFT JOIN vw USING (method, round_id, prev, tok) LEFT JOIN v USING (method, round_id, prev)
+   LEFT JOIN w USING (method, round_id, tok) LEFT JOIN size s USING (method, round_id))"""
+
+PERSONA = f"""{LOSS},
+ size_of AS (SELECT round_id, persona, region, count(*) AS num FROM drifted GROUP BY ALL),
+ pl AS (SELECT l.method, t.round_id, t.persona, t.region, sum(l.nll) / count(*) AS nll FROM tr t JOIN loss l USING (round_id, prev, tok) GROUP BY ALL),
+ options AS (SELECT r.sample_id, r.round_id, r.persona, r.label AS gold, s.label AS option, s.ord, r.room, m.method,
+     CASE WHEN r.room >= 1 THEN -l.nll ELSE '-inf'::DOUBLE END AS score
+   FROM room r JOIN space o ON o.round_id = r.round_id AND o.label = r.label JOIN space s ON s.round_id = r.round_id, methods m
+   LEFT JOIN loss l ON l.method = m.method AND l.round_id = r.round_id AND l.prev = 'sentiment:' AND l.tok = s.label),
+ preds AS (SELECT method, round_id, persona, sample_id, gold, first(option ORDER BY score DESC, ord) AS pred FROM options GROUP BY ALL),
+ acc AS (SELECT method, round_id, persona, avg(CAST(pred = gold AS INTEGER)) AS accuracy FROM preds GROUP BY ALL),
+ pp AS (SELECT m.method, z.round_id, z.persona, z.region, pl.nll, exp(least(pl.nll, 20)) AS perplexity, CAST(z.num AS INTEGER) AS num_eval_samples, acc.accuracy
+   FROM size_of z CROSS JOIN methods m LEFT JOIN pl ON pl.method = m.method AND pl.round_id = z.round_id AND pl.persona = z.persona AND pl.region = z.region
+   LEFT JOIN acc ON acc.method = m.method AND acc.round_id = z.round_id AND acc.persona = z.persona)"""
+
+
+@query(
+    "j16_per_persona",
+    f"""WITH {PERSONA} SELECT method, round_id, persona, region, round(nll, 6) AS nll, round(perplexity, 6) AS perplexity, num_eval_samples,
+      round(accuracy, 6) AS accuracy FROM pp""",
+)
+def per_persona(spark, sf):
+    stream, _, _, model = parts(spark, sf)
+    return rounded(ex.persona_metrics(stream, model), "nll", "perplexity", "accuracy")
+
+
+ROUNDED = [
+    "global_perplexity", "current_knowledge_nll", "current_knowledge_perplexity", "current_target_nll", "current_target_perplexity",
+    "private_code_accuracy", "private_code_margin", "private_code_correct_nll", "worst_persona_perplexity", "adaptation_lag_mean",
+    "fairness_index",
+]
+COMPARISON = f"""{PERSONA},
+ {cs.SQL_EMERGING.replace("FROM samples", "FROM drifted")},
+ fair AS (SELECT method, round_id, max(perplexity) AS worst, sum(num_eval_samples) AS num,
+   power(sum(1 / (perplexity + 1e-8)), 2) / (count(perplexity) * sum(power(1 / (perplexity + 1e-8), 2))) AS jain,
+   coalesce(sum(perplexity * num_eval_samples), 0) / greatest(sum(num_eval_samples), 1) AS ppl FROM pp GROUP BY ALL),
+ ck AS (SELECT method, round_id, avg(nll) AS nll, count(DISTINCT sample_id) AS samples, count(*) AS toks FROM mpairs JOIN loss USING (round_id, prev, tok) GROUP BY ALL),
+ ct AS (SELECT method, round_id, avg(nll) AS nll, count(DISTINCT sample_id) AS samples, count(*) AS toks FROM tpairs JOIN loss USING (round_id, prev, tok) GROUP BY ALL),
+ choice AS (SELECT d.sample_id, d.round_id, l.method, d.drift_answer AS gold, l.tok AS option, l.nll,
+   CASE l.tok WHEN 'positive' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END AS ord
+   FROM drifted d JOIN loss l ON l.round_id = d.round_id AND l.prev = 'answer:' AND l.tok IN ('positive', 'neutral', 'negative') WHERE d.drift_private_code <> ''),
+ guess AS (SELECT sample_id, round_id, method, gold, first(option ORDER BY nll, ord) AS pred, max(nll) FILTER (WHERE option = gold) AS g,
+   min(nll) FILTER (WHERE option <> gold) AS d FROM choice GROUP BY ALL),
+ pc AS (SELECT method, round_id, avg(CAST(pred = gold AS INTEGER)) AS acc, avg(d - g) AS margin, avg(g) AS gold_nll, count(*) AS n FROM guess GROUP BY ALL),
+ matched AS (SELECT s.sample_id, s.round_id, t.term FROM drifted s JOIN tracked t ON t.first_seen_round <= s.round_id AND contains(lower(s.text), t.term)),
+ text_loss AS (SELECT l.method, t.sample_id, sum(l.nll) AS total, count(*) AS n FROM tr t JOIN loss l USING (round_id, prev, tok) GROUP BY ALL),
+ term_scores AS (SELECT x.method, m.round_id, m.term, exp(least(sum(x.total) / sum(x.n), 20)) AS perplexity FROM matched m JOIN text_loss x USING (sample_id) GROUP BY ALL),
+ firsts AS (SELECT s.method, t.term, t.first_seen_round, s.perplexity * 0.9::DOUBLE AS thr FROM tracked t JOIN term_scores s ON s.term = t.term AND s.round_id = t.first_seen_round),
+ hits AS (SELECT f.method, f.term, min(s.round_id) AS hit, min(s.round_id) - min(f.first_seen_round) AS lag FROM firsts f JOIN term_scores s
+   ON s.method = f.method AND s.term = f.term AND s.round_id > f.first_seen_round AND s.perplexity <= f.thr GROUP BY ALL),
+ picked AS (SELECT method, round_id, count(*) AS n FROM chosen GROUP BY ALL),
+ told AS (SELECT round_id, count(*) AS n FROM guidance GROUP BY ALL),
+ emerged AS (SELECT round_id, count(*) AS n FROM emerging GROUP BY 1),
+ every AS (SELECT method, CAST(r AS INTEGER) AS round_id FROM methods, range({ds.EVENT_ROUNDS}) t(r)),
+ comparison AS (SELECT e.method, e.round_id AS round, CASE e.method WHEN 'crosslm' THEN 'crosslm_teacher_student' ELSE 'federated' END AS method_family,
+   CAST(coalesce(picked.n, 0) AS INTEGER) AS selected_clients, CAST(CASE e.method WHEN 'crosslm' THEN coalesce(told.n, 0) ELSE 0 END AS INTEGER) AS guidance_samples,
+   CASE e.method WHEN 'crosslm' THEN 'stale_teacher_student_guidance' ELSE 'federated_client_update' END AS training_mode,
+   CASE e.method WHEN 'crosslm' THEN 'static_stale_llm_prior' ELSE 'selected_up_to_date_client_streams' END AS knowledge_source,
+   CAST(coalesce(fair.num, 0) AS BIGINT) AS num_eval_samples, coalesce(emerged.n, 0) AS emerging_terms_count, fair.ppl AS global_perplexity,
+   ck.nll AS current_knowledge_nll, exp(least(ck.nll, CASE WHEN ck.nll IS NOT NULL THEN 20 END)) AS current_knowledge_perplexity,
+   coalesce(ck.samples, 0) AS current_knowledge_samples, coalesce(ck.toks, 0) AS current_knowledge_tokens,
+   ct.nll AS current_target_nll, exp(least(ct.nll, CASE WHEN ct.nll IS NOT NULL THEN 20 END)) AS current_target_perplexity,
+   coalesce(ct.samples, 0) AS current_target_samples, coalesce(ct.toks, 0) AS current_target_tokens,
+   pc.acc AS private_code_accuracy, pc.margin AS private_code_margin, pc.gold_nll AS private_code_correct_nll, coalesce(pc.n, 0) AS private_code_samples,
+   fair.worst AS worst_persona_perplexity, fair.jain AS fairness_index,
+   (SELECT avg(lag) FROM hits h WHERE h.method = e.method AND h.hit <= e.round_id) AS adaptation_lag_mean
+   FROM every e LEFT JOIN picked USING (method, round_id) LEFT JOIN told USING (round_id) LEFT JOIN emerged USING (round_id)
+   LEFT JOIN fair USING (method, round_id) LEFT JOIN ck USING (method, round_id) LEFT JOIN ct USING (method, round_id) LEFT JOIN pc USING (method, round_id))"""
+
+
+@query(
+    "j16_comparison",
+    f"WITH {COMPARISON} SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in ROUNDED)}) FROM comparison",
+)
+def comparison(spark, sf):
+    stream, chosen, guidance, model = parts(spark, sf)
+    told = ex.guidance_counts(guidance, ["crosslm"])
+    metrics = sel.round_metrics(sel.selection_summary(chosen, METHODS, ds.EVENT_ROUNDS), told)
+    scored = durable(ex.persona_metrics(stream, model))
+    return rounded(ex.evaluate(stream, model, metrics, ds.EVENT_ROUNDS, per_persona=scored)[3], *ROUNDED)

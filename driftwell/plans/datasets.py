@@ -166,8 +166,8 @@ SQL_ACTIVITY = f"""activity AS (
   FROM events WHERE ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{START}' + INTERVAL {HOURS * EVENT_ROUNDS} HOUR)"""
 SQL_GRID = f"""{SQL_ACTIVE}, {SQL_ACTIVITY},
  share AS (SELECT client_id, count(*) / {EVENT_ROUNDS}.0::DOUBLE AS share FROM activity GROUP BY 1),
- cells AS (SELECT people.*, CAST(r AS INTEGER) AS round_id FROM people, range({EVENT_ROUNDS}) t(r)),
- hoped AS (SELECT *, {sql_expected(EVENT_ROUNDS)} AS p FROM cells),
+ client_rounds AS (SELECT people.*, CAST(r AS INTEGER) AS round_id FROM people, range({EVENT_ROUNDS}) t(r)),
+ hoped AS (SELECT *, {sql_expected(EVENT_ROUNDS)} AS p FROM client_rounds),
  grid AS (SELECT c.*, greatest(0.05::DOUBLE, least(0.95::DOUBLE, c.p * coalesce(s.share, 0.0::DOUBLE))) AS availability_probability,
    CAST(a.client_id IS NOT NULL AS INTEGER) AS available
    FROM hoped c LEFT JOIN share s USING (client_id) LEFT JOIN activity a ON a.client_id = c.client_id AND a.round_id = c.round_id)"""

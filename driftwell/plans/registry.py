@@ -28,6 +28,8 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from driftwell.plans import (  # noqa: F401
         checks_availability,
+        checks_experiment,
+        checks_metrics,
         checks_prepare,
         checks_scoring,
         checks_selection,
