@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from driftwell import fixed_values as fv
 from driftwell.functions.text import is_blank, key_hash, or_default, tokens
 from driftwell.operators.normalize import guidance_text, oversample, public_columns
 from driftwell.operators.selection import as_of_sum, top_k
+from driftwell.session import durable
 
 MIX = 0.5
 
@@ -27,7 +29,8 @@ def with_tokens(df: DataFrame, text: str = "text", max_len: int | None = None) -
 
 def token_positions(df: DataFrame, keys: Sequence[str], text: str = "text", max_len: int | None = None) -> DataFrame:
     """One row per token with its 0-based place in the text."""
-    return df.select(*keys, F.posexplode(tokens(F.col(text), max_len)).alias("pos", "tok"))
+    unfolded = df.select(*keys, F.posexplode_outer(tokens(F.col(text), max_len)).alias("pos", "tok"))
+    return unfolded.filter(F.col("tok").isNotNull())
 
 
 def unfold(df: DataFrame, keys: Sequence[str], first: Column, toks: str) -> DataFrame:
@@ -35,7 +38,9 @@ def unfold(df: DataFrame, keys: Sequence[str], first: Column, toks: str) -> Data
     zipped with itself shifted by one, so neighbours meet without a join."""
     prevs = F.slice(F.concat(F.array(first), F.col(toks)), 1, F.size(toks))
     zipped = df.select(*keys, F.arrays_zip(prevs.alias("prev"), F.col(toks).alias("tok")).alias("_z"))
-    return zipped.select(*keys, F.inline("_z").alias("prev", "tok"))
+    # The outer form, since the inner one makes the optimizer test the array for rows first and
+    # so split every text several times.
+    return zipped.select(*keys, F.inline_outer("_z").alias("prev", "tok")).filter(F.col("tok").isNotNull())
 
 
 def transitions(df: DataFrame, keys: Sequence[str], text: str = "text", max_len: int | None = None) -> DataFrame:
@@ -132,7 +137,8 @@ def mixed_probability(pair: Column, context: Column, token: Column, total: Colum
 
 @dataclass
 class CountModel:
-    """One model per ``keys`` value, or a single one without keys."""
+    """One model per ``keys`` value, or a single one without keys. Four tables are derived from
+    ``counts``, so keep it durably unless it is cheap to compute."""
 
     counts: DataFrame
     keys: list[str] = field(default_factory=list)
@@ -164,12 +170,10 @@ class CountModel:
 
 
 @dataclass
-class RoundModel:
-    """The models of several methods, which learn round by round: ``increments`` holds what
-    every (method, round_id) adds, and a pair of round r is scored by each method with
-    everything added up to r."""
+class LossTable:
+    """Losses worked out beforehand: ``table`` holds ``method, round_id, prev, tok, nll``."""
 
-    increments: DataFrame
+    table: DataFrame
     methods: list[str]
     adds: tuple[str, ...] = ("method",)
 
@@ -178,27 +182,52 @@ class RoundModel:
         return df.withColumn("method", F.explode(F.array(*[F.lit(m) for m in self.methods])))
 
     def nll(self, pairs: DataFrame) -> DataFrame:
-        k, inc = list(self.adds), self.increments
-        pairs = self.spread(pairs.filter(F.col("prev").isNotNull()))
+        asked = pairs.filter(F.col("prev").isNotNull())
+        return asked.join(self.table, ["round_id", "prev", "tok"])
+
+
+@dataclass
+class RoundModel:
+    """The models of several methods, which learn round by round: ``increments`` holds what
+    every (method, round_id) adds, and a pair of round r is scored by each method with
+    everything added up to r."""
+
+    increments: DataFrame
+    methods: list[str]
+
+    def losses(self, pairs: Sequence[DataFrame]) -> LossTable:
+        """Losses of all distinct (round_id, prev, tok) in ``pairs``, worked out once and kept.
+
+        Collect the pairs of all metrics first: the increments are then read once for all.
+        """
+        k, at, inc = ["method"], ["method", "round_id"], self.increments
+        asked = [p.filter(F.col("prev").isNotNull()).select("round_id", "prev", "tok") for p in pairs]
+        every = F.explode(F.array(*[F.lit(m) for m in self.methods])).alias("method")
+        asks = durable(reduce(DataFrame.unionByName, asked).distinct()).select(every, "round_id", "prev", "tok")
         pair_inc = inc.filter(F.col("prev").isNotNull())
-        context_inc = pair_inc.groupBy(*k, "round_id", "prev").agg(F.sum("value").alias("value"))
-        word_inc = inc.groupBy(*k, "round_id", "tok").agg(F.sum("value").alias("value"))
-        total_inc = word_inc.groupBy(*k, "round_id").agg(F.sum("value").alias("value"))
+        context_inc = pair_inc.groupBy(*at, "prev").agg(F.sum("value").alias("value"))
+        word_inc = inc.groupBy(*at, "tok").agg(F.sum("value").alias("value"))
+        total_inc = word_inc.groupBy(*at).agg(F.sum("value").alias("value"))
         new_words = (
             word_inc.filter(F.col("value") > 0).groupBy(*k, "tok").agg(F.min("round_id").alias("round_id"))
-            .groupBy(*k, "round_id").agg(F.count(F.lit(1)).alias("value"))
+            .groupBy(*at).agg(F.count(F.lit(1)).alias("value"))
         )
 
         def known(cols: list[str], increments: DataFrame, name: str) -> DataFrame:
-            return as_of_sum(pairs.select(*k, *cols, "round_id").distinct(), increments, [*k, *cols], "value", name)
-
-        at = [*k, "round_id"]
-        return _loss(
-            pairs.join(known(["prev", "tok"], pair_inc, "_vw"), [*at, "prev", "tok"], "left")
-            .join(known(["prev"], context_inc, "_v"), [*at, "prev"], "left")
-            .join(known(["tok"], word_inc, "_w"), [*at, "tok"], "left")
-            .join(known([], total_inc, "_total"), at, "left")
-            .join(known([], new_words, "_vocab"), at, "left")
+            return as_of_sum(asks.select(*k, *cols, "round_id").distinct(), increments, [*k, *cols], "value", name)
+
+        # The pair sums carry the asked rows along, so they start the chain of joins.
+        return LossTable(
+            durable(
+                _loss(
+                    as_of_sum(asks, pair_inc, [*k, "prev", "tok"], "value", "_vw")
+                    .join(known(["prev"], context_inc, "_v"), [*at, "prev"], "left")
+                    .join(known(["tok"], word_inc, "_w"), [*at, "tok"], "left")
+                    .join(known([], total_inc, "_total"), at, "left")
+                    .join(known([], new_words, "_vocab"), at, "left")
+                )
+            ),
+            self.methods,
         )
 
 

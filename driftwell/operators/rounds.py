@@ -80,11 +80,14 @@ def round_edges(df: DataFrame, num_rounds: int, order: Sequence[str]) -> DataFra
     )
 
 
-def assign_rounds_by_edges(df: DataFrame, num_rounds: int, order: Sequence[str]) -> DataFrame:
+def assign_rounds_by_edges(
+    df: DataFrame, num_rounds: int, order: Sequence[str], keys: DataFrame | None = None
+) -> DataFrame:
     """``round_id`` without moving ``df``: the at most ``num_rounds`` edges become a literal
-    and every row finds its round in place. Use it when the position itself is not needed."""
+    and every row finds its round in place. Use it when the position itself is not needed.
+    ``keys`` may give the ``order`` columns of ``df`` from a cheaper scan."""
     edges = (
-        round_edges(df, num_rounds, order)
+        round_edges(df if keys is None else keys, num_rounds, order)
         .select("round_id", *[F.col(c).cast("string") for c in order])
         .collect()
     )

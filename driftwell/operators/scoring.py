@@ -62,19 +62,36 @@ def text_loss_by_example(df: DataFrame, model, by: Sequence[str], key: str = "sa
     return per_text.groupBy(*model.adds, *by).agg(F.avg("nll").alias("nll"), F.count(F.lit(1)).alias("texts"))
 
 
+def sample_losses(pairs: DataFrame, model, by: Sequence[str], key: str = "sample_id") -> DataFrame:
+    """Total loss ``loss_sum`` and ``loss_tokens`` of every text, from its counted pairs."""
+    return model.nll(pairs).groupBy(*model.adds, *by, key).agg(
+        F.sum(F.col("nll") * F.col("n")).alias("loss_sum"), F.sum("n").alias("loss_tokens")
+    )
+
+
+def _mean_of(losses: DataFrame, by: Sequence[str]) -> DataFrame:
+    mean = F.sum("loss_sum") / F.nullif(F.sum("loss_tokens"), F.lit(0))
+    return losses.groupBy(*by).agg(mean.alias("nll"), F.count(F.lit(1)).alias("texts"))
+
+
 def loss_by_persona(
     df: DataFrame, model, by: Sequence[str] = (), order: Sequence[str] = ("sample_id",), max_len: int | None = None,
-    max_samples: int | None = None,
+    max_samples: int | None = None, losses: DataFrame | None = None, key: str = "sample_id",
 ) -> DataFrame:
-    """Loss and perplexity per persona and region; the sample number counts blank texts too."""
+    """Loss and perplexity per persona and region; the sample number counts blank texts too.
+    ``losses`` of all texts, if known, spare scoring them again."""
     groups = [*by, "persona", "region"]
+    at = [*model.adds, *groups]
     df = df.filter(F.col("persona").isNotNull() & F.col("region").isNotNull())
     size = F.count(F.lit(1))
     sizes = df.groupBy(*groups).agg(
         (size if max_samples is None else F.least(size, F.lit(max_samples))).cast("int").alias("num_eval_samples")
     )
-    loss = text_loss(df, model, groups, order, max_len, max_samples).drop("tokens")
-    at = [*model.adds, *groups]
+    if losses is None:
+        loss = text_loss(df, model, groups, order, max_len, max_samples).drop("tokens")
+    else:
+        rows = df if max_samples is None else first_rows(df.filter(~is_blank(F.col("text"))), max_samples, order, groups)
+        loss = _mean_of(rows.select(*groups, key).join(losses, [*by, key]), at).drop("texts")
     return model.spread(sizes).join(loss, at, "left").select(
         *at, "nll", perplexity(F.col("nll")).alias("perplexity"), "num_eval_samples"
     )
@@ -187,15 +204,11 @@ def drift_target_loss(
     return _drift_loss(split_at_term, df, model, by, order, max_len, max_samples, names)
 
 
-def private_code_choice(
-    df: DataFrame, model, by: Sequence[str] = (), order: Sequence[str] = ("sample_id",), max_len: int = fv.MAX_TOKENS,
+def choice_pairs(
+    df: DataFrame, by: Sequence[str] = (), order: Sequence[str] = ("sample_id",), max_len: int = fv.MAX_TOKENS,
     max_samples: int | None = None, choices: Sequence[str] = fv.SENTIMENTS,
 ) -> DataFrame:
-    """Forced choice: is the right answer the one with the lowest loss after the question?
-
-    Question and answer depend on the code alone, so samples are counted per (code, answer)
-    first and every such pair is scored once.
-    """
+    """Counted (prev, tok) of every choice after the question, per distinct code and answer."""
     options = [c.strip().lower() for c in choices if c.strip()]
     code = trim_all(F.coalesce("drift_private_code", F.lit("")))
     gold = F.lower(trim_all(F.coalesce("drift_answer", F.lit(""))))
@@ -205,12 +218,24 @@ def private_code_choice(
         .groupBy(*by, "_code", "gold").agg(F.count(F.lit(1)).alias("rows"))
     )
     listed = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("choice")) for i, c in enumerate(options)])
+    questions = asked.select("*", F.inline(listed).alias("ord", "choice")).withColumns(
+        {"head": lookup_question(F.col("_code")), "completion": F.concat(F.lit(" "), "choice")}
+    )
+    return completion_pairs(completion_window(questions, max_len), [*by, "_code", "gold", "rows", "ord", "choice"])
+
+
+def private_code_choice(
+    df: DataFrame, model, by: Sequence[str] = (), order: Sequence[str] = ("sample_id",), max_len: int = fv.MAX_TOKENS,
+    max_samples: int | None = None, choices: Sequence[str] = fv.SENTIMENTS,
+) -> DataFrame:
+    """Forced choice: is the right answer the one with the lowest loss after the question?
+
+    Question and answer depend on the code alone, so samples are counted per (code, answer)
+    first and every such pair is scored once.
+    """
     key = [*by, "_code", "gold", "rows", "ord", "choice"]
-    scored = completion_loss(
-        asked.select("*", F.inline(listed).alias("ord", "choice")).withColumns(
-            {"head": lookup_question(F.col("_code")), "completion": F.concat(F.lit(" "), "choice")}
-        ),
-        model, key, max_len,
+    scored = mean_loss(
+        model.nll(choice_pairs(df, by, order, max_len, max_samples, choices)), [*model.adds, *key]
     )
     per_code = (
         scored.groupBy(*model.adds, *by, "_code", "gold", "rows")
@@ -255,20 +280,28 @@ def in_label_space(df: DataFrame, space: DataFrame, by: Sequence[str] = (), labe
     return df.join(F.broadcast(space.select(*by, F.col("label").alias(label))), [*by, label], "left_semi")
 
 
-def _label_prefixes(space: DataFrame, model, by: Sequence[str], mean: bool) -> DataFrame:
-    """``label, ord, kept, score`` for every number of leading label tokens that may survive
-    truncation; ``score`` is NULL where none does."""
-    cut = space.withColumn("_toks", tokens(F.col("label"))).withColumn(
+def _prefixes(space: DataFrame) -> DataFrame:
+    """Every label with its first 0, 1, ... tokens in ``_toks``."""
+    return space.withColumn("_toks", tokens(F.col("label"))).withColumn(
         "kept", F.explode(F.sequence(F.lit(0), F.size("_toks")))
     ).withColumn("_toks", F.slice("_toks", F.lit(1), F.col("kept")))
-    pairs = (
-        unfold(cut, [*by, "label", "kept"], F.lit("sentiment:"), "_toks")
-        .groupBy(*by, "label", "kept", "prev", "tok").agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_pairs(space: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Counted (prev, tok) of every label prefix after the question."""
+    keys = [*by, "label", "kept"]
+    return unfold(_prefixes(space), keys, F.lit("sentiment:"), "_toks").groupBy(*keys, "prev", "tok").agg(
+        F.count(F.lit(1)).alias("n")
     )
+
+
+def _label_prefixes(space: DataFrame, model, by: Sequence[str], mean: bool) -> DataFrame:
+    """``label, ord, kept, score`` for every number of leading label tokens that may survive
+    truncation; ``score`` is NULL where none does."""
     total = F.sum(F.col("nll") * F.col("n"))
     at = [*model.adds, *by, "label", "kept"]
-    scores = model.nll(pairs).groupBy(*at).agg((-(total / F.sum("n")) if mean else -total).alias("score"))
-    return model.spread(cut.select(*by, "label", "ord", "kept")).join(scores, at, "left")
+    scores = model.nll(label_pairs(space, by)).groupBy(*at).agg((-(total / F.sum("n")) if mean else -total).alias("score"))
+    return model.spread(_prefixes(space).select(*by, "label", "ord", "kept")).join(scores, at, "left")
 
 
 def _room(text: Column, max_len: int | None) -> Column:
@@ -299,6 +332,7 @@ def label_scores(
 def label_accuracy(
     df: DataFrame, model, by: Sequence[str] = (), order: Sequence[str] = ("sample_id",),
     max_len: int | None = fv.MAX_TOKENS, max_samples: int | None = None, mean: bool = False,
+    space: DataFrame | None = None,
 ) -> DataFrame:
     """Share of samples per persona whose best-scoring label is their own.
 
@@ -306,7 +340,7 @@ def label_accuracy(
     counted per (persona, label, room) before any label is scored.
     """
     work = first_rows(clean_labels(df), max_samples, order, by)
-    space = label_space(work, by)
+    space = label_space(work, by) if space is None else space
     room = F.least(_room(F.col("text"), max_len), _label_tokens(space))
     tally = (
         in_label_space(work, space, by).filter(F.col("persona").isNotNull())
@@ -347,7 +381,7 @@ def match_terms(df: DataFrame, terms: DataFrame, rounds: str = "round_id") -> Da
 
 def term_perplexity(
     df: DataFrame, terms: DataFrame, model, by: Sequence[str] = ("round_id",), order: Sequence[str] = ("sample_id",),
-    max_len: int | None = None, max_samples: int | None = None, key: str = "sample_id",
+    max_len: int | None = None, max_samples: int | None = None, losses: DataFrame | None = None, key: str = "sample_id",
 ) -> DataFrame:
     """Loss over the texts that contain a term, and how many there are, per round and term.
 
@@ -356,15 +390,10 @@ def term_perplexity(
     """
     groups = [*by, "term"]
     matched = first_rows(match_terms(df, terms), max_samples, order, groups).select(*groups, key)
-    at = [*model.adds, *by, key]
-    per_text = model.nll(target_pairs(df, [*by, key], max_len=max_len)).groupBy(*at).agg(
-        F.sum(F.col("nll") * F.col("n")).alias("_sum"), F.sum("n").alias("_n")
-    )
-    return (
-        model.spread(matched).join(per_text, at, "left").groupBy(*model.adds, *groups)
-        .agg((F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0))).alias("nll"), F.count(F.lit(1)).alias("term_samples"))
-        .withColumn("perplexity", perplexity(F.col("nll")))
-    )
+    if losses is None:
+        losses = sample_losses(target_pairs(df, [*by, key], max_len=max_len), model, by, key)
+    mean = _mean_of(model.spread(matched).join(losses, [*model.adds, *by, key], "left"), [*model.adds, *groups])
+    return mean.withColumnRenamed("texts", "term_samples").withColumn("perplexity", perplexity(F.col("nll")))
 
 
 # --- fairness ------------------------------------------------------------------------------------

@@ -98,7 +98,7 @@ PERSONA = f"""{LOSS},
 )
 def per_persona(spark, sf):
     stream, _, _, model = parts(spark, sf)
-    return rounded(ex.persona_metrics(stream, model), "nll", "perplexity", "accuracy")
+    return rounded(ex.persona_metrics(stream, ex.score(stream, model)), "nll", "perplexity", "accuracy")
 
 
 ROUNDED = [
@@ -153,5 +153,6 @@ def comparison(spark, sf):
     stream, chosen, guidance, model = parts(spark, sf)
     told = ex.guidance_counts(guidance, ["crosslm"])
     metrics = sel.round_metrics(sel.selection_summary(chosen, METHODS, ds.EVENT_ROUNDS), told)
-    scored = durable(ex.persona_metrics(stream, model))
-    return rounded(ex.evaluate(stream, model, metrics, ds.EVENT_ROUNDS, per_persona=scored)[3], *ROUNDED)
+    scored = ex.score(stream, model)
+    per_persona = durable(ex.persona_metrics(stream, scored))
+    return rounded(ex.evaluate(stream, scored, per_persona, metrics, ds.EVENT_ROUNDS)[2], *ROUNDED)

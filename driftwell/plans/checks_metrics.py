@@ -14,8 +14,9 @@ from driftwell.plans.registry import query
 
 def docs_by_round(spark, sf):
     """Documents with their round, found in place: positions are not needed here."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return rd.assign_rounds_by_edges(docs, ds.fv.NUM_ROUNDS, ["doc_id"])
+    docs = ds.documents(spark, sf).select("sample_id", "text")
+    keys = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"))
+    return rd.assign_rounds_by_edges(docs, ds.fv.NUM_ROUNDS, ["sample_id"], keys)
 
 
 @query("j1_frequent_terms", f"WITH {ds.SQL_SAMPLES}, {cs.SQL_EMERGING} SELECT * FROM freq WHERE n >= 3")

@@ -10,6 +10,7 @@ from driftwell.operators.drift import current_knowledge, inject_concepts
 from driftwell.plans import datasets as ds
 from driftwell.plans.datasets import table
 from driftwell.plans.registry import query
+from driftwell.session import durable
 
 TOKENS = r"list_filter(string_split_regex(lower({0}), '\s+'), lambda x: x <> '')"
 
@@ -43,7 +44,7 @@ SQL_NEWS = f"{ds.SQL_SAMPLES}, {ds.sql_inject('samples', ds.fv.NEWS_CONCEPTS)}"
 
 def plain_model(spark, sf):
     """Fitted on the documents as they are, before any concept is added."""
-    return bg.CountModel(bg.fit(ds.documents(spark, sf), []))
+    return bg.CountModel(durable(bg.fit(ds.documents(spark, sf), [])))
 
 
 def rounded(df, *cols):
@@ -286,7 +287,7 @@ def drift_target(spark, sf):
 )
 def private_code_choice(spark, sf):
     df = ds.drifted_samples(spark, sf)
-    out = sc.private_code_choice(df, bg.CountModel(bg.fit(df, [])), ["round_id"])
+    out = sc.private_code_choice(df, bg.CountModel(durable(bg.fit(df, []))), ["round_id"])
     return rounded(out, "private_code_accuracy", "private_code_margin", "private_code_correct_nll")
 
 
@@ -365,7 +366,7 @@ SQL_PROMPTED = """prompted AS (SELECT 'Text: ' || text || chr(10) || 'Sentiment:
 def prompted_model(df):
     """Fitted on texts with their labels, so that labels follow the question."""
     taught = df.select(F.concat(F.lit("Text: "), "text", F.lit("\nSentiment: "), "label").alias("text"))
-    return bg.CountModel(bg.fit(taught, []))
+    return bg.CountModel(durable(bg.fit(taught, [])))
 
 
 @query(

@@ -15,6 +15,7 @@ from driftwell.operators.drift import inject_concepts
 from driftwell.operators.normalize import hourly_times
 from driftwell.operators.personas import assign_clients, assign_persona, client_dimension, enrich_with_clients
 from driftwell.operators.rounds import add_rounds_by_position
+from driftwell.sources.readers import use_all_cores
 
 NOW = "2024-06-01 00:00:00"
 START = "2024-01-01 00:00:00"
@@ -50,7 +51,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), "text", "source", "lang")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), "text", "source", "lang")
+    return use_all_cores(docs, "sample_id")
 
 
 def timed_samples(spark: SparkSession, sf: str, num_rounds: int = fv.NUM_ROUNDS) -> DataFrame:

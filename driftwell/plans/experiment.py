@@ -19,7 +19,11 @@ from driftwell.operators import scoring as sc
 from driftwell.operators import selection as sel
 from driftwell.operators import suppression as sp
 from driftwell.operators import terms as tm
+from driftwell.functions.text import is_blank
 from driftwell.operators.availability import client_round_tuples
+from driftwell.operators.drift import current_knowledge
+from driftwell.operators.normalize import clean_labels
+from driftwell.session import durable
 from driftwell.sources.writers import write_table
 
 METHODS = ["aws", "random", "oracle", "no_availability", "crosslm"]
@@ -85,21 +89,60 @@ def learn(
     return bg.RoundModel(mt.stack(parts), list(methods))
 
 
-def evaluate(
-    stream: DataFrame, model: bg.RoundModel, round_metrics: DataFrame, num_rounds: int,
-    max_len: int | None = None, label_len: int | None = fv.MAX_TOKENS, window: int = fv.MAX_TOKENS,
-    max_samples: int | None = None, order: Sequence[str] = ("row_idx",), per_persona: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Per-persona metrics, fairness, adaptation lags and the comparison table."""
+@dataclass
+class Scored:
+    """Losses shared by all metrics: of token pairs, and of whole texts."""
+
+    model: bg.LossTable
+    texts: DataFrame
+    labels: DataFrame
+
+
+def score(
+    stream: DataFrame, model: bg.RoundModel, order: Sequence[str] = ("row_idx",), max_len: int | None = None,
+    window: int = fv.MAX_TOKENS, max_samples: int | None = None,
+) -> Scored:
+    """Gather the token pairs of every metric and look them up in the models once."""
+    by = ["round_id"]
+    texts = durable(sc.target_pairs(stream.filter(~is_blank(F.col("text"))), [*by, "sample_id"], max_len=max_len))
+    known = current_knowledge(stream)
+    labels = durable(sc.label_space(sc.first_rows(clean_labels(stream), max_samples, order, by), by))
+    table = model.losses(
+        [texts]
+        + [
+            sc.completion_pairs(sc.completion_window(split(known), window), by)
+            for split in (sc.split_at_marker, sc.split_at_term)
+        ]
+        + [sc.choice_pairs(stream, by, order, window), sc.label_pairs(labels, by)]
+    )
+    return Scored(table, durable(sc.sample_losses(texts, table, by)), labels)
+
+
+def persona_metrics(
+    stream: DataFrame, scored: Scored, order: Sequence[str] = ("row_idx",), label_len: int | None = fv.MAX_TOKENS,
+    max_samples: int | None = None,
+) -> DataFrame:
+    """Perplexity per persona and region with the persona's accuracy, for every round."""
     by = ["round_id"]
-    at = ["method", "round_id"]
-    if per_persona is None:
-        per_persona = persona_metrics(stream, model, order, max_len, label_len, max_samples)
+    loss = sc.loss_by_persona(stream, scored.model, by, order, max_samples=max_samples, losses=scored.texts)
+    accuracy = sc.label_accuracy(stream, scored.model, by, order, label_len, max_samples, space=scored.labels)
+    return loss.join(accuracy, ["method", *by, "persona"], "left")
+
+
+def evaluate(
+    stream: DataFrame, scored: Scored, per_persona: DataFrame, round_metrics: DataFrame, num_rounds: int,
+    window: int = fv.MAX_TOKENS, max_samples: int | None = None, order: Sequence[str] = ("row_idx",),
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fairness, adaptation lags and the comparison table."""
+    by, at, model = ["round_id"], ["method", "round_id"], scored.model
     fair = sc.fairness_summary(per_persona, at)
-    emerging = tm.emerging_terms(stream)
+    # Two small tables that several results share.
+    emerging = durable(tm.emerging_terms(stream))
     tracked = tm.tracked_terms(emerging)
-    scores = sc.term_perplexity(stream, tm.active_terms(tracked, num_rounds), model, by, order, max_len, max_samples)
-    lags = tm.adaptation_tracking(scores, tracked)
+    scores = sc.term_perplexity(
+        stream, tm.active_terms(tracked, num_rounds), model, by, order, max_samples=max_samples, losses=scored.texts
+    )
+    lags = durable(tm.adaptation_tracking(scores, tracked))
     grid = round_metrics.select(
         "method", F.col("round").alias("round_id"), "selected_clients", "guidance_samples", "knowledge_source", "training_mode"
     )
@@ -122,18 +165,7 @@ def evaluate(
         "current_target_samples", "current_target_tokens", "private_code_samples",
     ]
     comparison = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts}).withColumnRenamed("round_id", "round")
-    fairness = fair.withColumnRenamed("round_id", "round")
-    return per_persona.withColumnRenamed("round_id", "round"), fairness, lags, comparison
-
-
-def persona_metrics(
-    stream: DataFrame, model, order: Sequence[str] = ("row_idx",), max_len: int | None = None,
-    label_len: int | None = fv.MAX_TOKENS, max_samples: int | None = None,
-) -> DataFrame:
-    """Perplexity per persona and region with the persona's accuracy, for every round."""
-    loss = sc.loss_by_persona(stream, model, ["round_id"], order, max_len, max_samples)
-    accuracy = sc.label_accuracy(stream, model, ["round_id"], order, label_len, max_samples)
-    return loss.join(accuracy, [*model.adds, "round_id", "persona"], "left")
+    return fair.withColumnRenamed("round_id", "round"), lags, comparison
 
 
 def suppression_report(stream: DataFrame, per_persona: DataFrame, min_absent_rounds: int = 2) -> DataFrame:
@@ -159,8 +191,6 @@ def run(
     max_len: int | None = None, max_samples: int | None = None, reference: str = "crosslm",
 ) -> Report:
     """The whole experiment over a prepared ``stream`` (best read back from a table by round)."""
-    from driftwell.session import durable
-
     chosen = select_clients(stream, clients, methods, num_rounds, k, seed)
     chosen = durable(chosen) if chosen is not None else None
     pooled = [m for m in methods if m in fv.POOLED_METHODS]
@@ -172,11 +202,10 @@ def run(
     metrics = sel.round_metrics(selections, guidance_counts(guidance, pooled) if pooled else None)
     model = learn(stream, chosen, guidance, methods, drift_times, max_len)
     # The learned increments serve every metric below.
-    model = bg.RoundModel(durable(model.increments), model.methods)
-    scored = durable(persona_metrics(stream, model, max_len=max_len, max_samples=max_samples))
-    per_persona, fairness, lags, comparison = evaluate(
-        stream, model, metrics, num_rounds, max_len, max_samples=max_samples, per_persona=scored
-    )
+    scored = score(stream, bg.RoundModel(durable(model.increments), model.methods), max_len=max_len, max_samples=max_samples)
+    per_persona = durable(persona_metrics(stream, scored, max_samples=max_samples))
+    fairness, lags, comparison = evaluate(stream, scored, per_persona, metrics, num_rounds, max_samples=max_samples)
+    per_persona = per_persona.withColumnRenamed("round_id", "round")
     comparison = durable(comparison)
     fairness = fairness.join(representation(log), "method", "left")
     return Report(

@@ -19,6 +19,13 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
+def use_all_cores(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan that has fewer tasks than there are cores, as a file of one row group has.
+    A large input has more tasks than cores and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 FULL_DATASET_SCHEMA = (
     "sample_id bigint, prompt string, text string, label string, timestamp timestamp_ntz, persona string, "
     "client_id string, persona_client string, region string, timezone_group string, round_id int, round int, "
