@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from driftwell import fixed_values as fv
 from driftwell.functions.text import is_blank, key_hash, or_default, tokens
 from driftwell.operators.normalize import guidance_text, oversample, public_columns
-from driftwell.operators.selection import as_of_sum, top_k
+from driftwell.operators.selection import as_of_sums, top_k
 from driftwell.session import durable
 
 MIX = 0.5
@@ -171,7 +171,8 @@ class CountModel:
 
 @dataclass
 class LossTable:
-    """Losses worked out beforehand: ``table`` holds ``method, round_id, prev, tok, nll``."""
+    """Losses worked out beforehand: ``table`` holds ``round_id, prev, tok`` and the array
+    ``losses`` with one loss per method."""
 
     table: DataFrame
     methods: list[str]
@@ -182,8 +183,12 @@ class LossTable:
         return df.withColumn("method", F.explode(F.array(*[F.lit(m) for m in self.methods])))
 
     def nll(self, pairs: DataFrame) -> DataFrame:
-        asked = pairs.filter(F.col("prev").isNotNull())
-        return asked.join(self.table, ["round_id", "prev", "tok"])
+        """Every pair once per method, unfolded only after the join."""
+        found = pairs.filter(F.col("prev").isNotNull()).join(self.table, ["round_id", "prev", "tok"])
+        names = F.array(*[F.lit(m) for m in self.methods])
+        return found.select(
+            *pairs.columns, F.inline(F.arrays_zip(names.alias("method"), F.col("losses").alias("nll"))).alias("method", "nll")
+        )
 
 
 @dataclass
@@ -198,37 +203,51 @@ class RoundModel:
     def losses(self, pairs: Sequence[DataFrame]) -> LossTable:
         """Losses of all distinct (round_id, prev, tok) in ``pairs``, worked out once and kept.
 
-        Collect the pairs of all metrics first: the increments are then read once for all.
+        Collect the pairs of all metrics first: the increments are then read once for all. The
+        methods lie side by side in columns, so their number adds no rows to any shuffle.
         """
-        k, at, inc = ["method"], ["method", "round_id"], self.increments
+        values = [f"m{i}" for i in range(len(self.methods))]
+
+        def wide(df: DataFrame, *keys: str) -> DataFrame:
+            return df.groupBy(*keys).agg(
+                *[F.sum(F.when(F.col("method") == m, F.col("value"))).alias(v) for m, v in zip(self.methods, values)]
+            )
+
+        def total(df: DataFrame, *keys: str) -> DataFrame:
+            return df.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
+
         asked = [p.filter(F.col("prev").isNotNull()).select("round_id", "prev", "tok") for p in pairs]
-        every = F.explode(F.array(*[F.lit(m) for m in self.methods])).alias("method")
-        asks = durable(reduce(DataFrame.unionByName, asked).distinct()).select(every, "round_id", "prev", "tok")
-        pair_inc = inc.filter(F.col("prev").isNotNull())
-        context_inc = pair_inc.groupBy(*at, "prev").agg(F.sum("value").alias("value"))
-        word_inc = inc.groupBy(*at, "tok").agg(F.sum("value").alias("value"))
-        total_inc = word_inc.groupBy(*at).agg(F.sum("value").alias("value"))
-        new_words = (
-            word_inc.filter(F.col("value") > 0).groupBy(*k, "tok").agg(F.min("round_id").alias("round_id"))
-            .groupBy(*at).agg(F.count(F.lit(1)).alias("value"))
+        asks = durable(reduce(DataFrame.unionByName, asked).distinct())
+        by_pair = wide(self.increments.filter(F.col("prev").isNotNull()), "round_id", "prev", "tok")
+        by_prev = total(by_pair, "round_id", "prev")
+        by_tok = wide(self.increments, "round_id", "tok")
+        size = total(by_tok, "round_id")
+        new_words = wide(
+            self.increments.filter(F.col("value") > 0).groupBy("method", "tok").agg(F.min("round_id").alias("round_id"))
+            .withColumn("value", F.lit(1)),
+            "round_id",
         )
 
         def known(cols: list[str], increments: DataFrame, name: str) -> DataFrame:
-            return as_of_sum(asks.select(*k, *cols, "round_id").distinct(), increments, [*k, *cols], "value", name)
-
-        # The pair sums carry the asked rows along, so they start the chain of joins.
-        return LossTable(
-            durable(
-                _loss(
-                    as_of_sum(asks, pair_inc, [*k, "prev", "tok"], "value", "_vw")
-                    .join(known(["prev"], context_inc, "_v"), [*at, "prev"], "left")
-                    .join(known(["tok"], word_inc, "_w"), [*at, "tok"], "left")
-                    .join(known([], total_inc, "_total"), at, "left")
-                    .join(known([], new_words, "_vocab"), at, "left")
-                )
-            ),
-            self.methods,
+            at = asks.select(*cols, "round_id").distinct()
+            sums = as_of_sums(at, increments, cols, values)
+            return sums.select(*cols, "round_id", *[F.col(v).alias(f"{name}_{v}") for v in values])
+
+        looked_up = (
+            # The pair sums carry the asked rows along, so they start the chain of joins.
+            as_of_sums(asks, by_pair, ["prev", "tok"], values)
+            .join(known(["prev"], by_prev, "prev"), ["round_id", "prev"], "left")
+            .join(known(["tok"], by_tok, "tok"), ["round_id", "tok"], "left")
+            # One row per round each.
+            .join(F.broadcast(known([], size, "size")), "round_id", "left")
+            .join(F.broadcast(known([], new_words, "words")), "round_id", "left")
         )
+        losses = [
+            -F.log(mixed_probability(F.col(v), *[F.col(f"{n}_{v}") for n in ("prev", "tok", "size", "words")]))
+            for v in values
+        ]
+        table = looked_up.select("round_id", "prev", "tok", F.array(*losses).alias("losses"))
+        return LossTable(durable(table), self.methods)
 
 
 def _loss(df: DataFrame) -> DataFrame:

@@ -128,17 +128,22 @@ def as_of_sum(
     asked: DataFrame, increments: DataFrame, keys: Sequence[str], value: str, name: str, order: str = "round_id"
 ) -> DataFrame:
     """For every distinct (keys, order) in ``asked`` the sum of the increments with the same
-    keys up to and including that order value. One shuffle on the keys and no join; a key has
-    at most two rows per order value."""
+    keys up to and including that order value."""
+    return as_of_sums(asked, increments.withColumnRenamed(value, name), keys, [name], order)
+
+
+def as_of_sums(
+    asked: DataFrame, increments: DataFrame, keys: Sequence[str], values: Sequence[str], order: str = "round_id"
+) -> DataFrame:
+    """The same for several value columns at once. One shuffle on the keys and no join; a key
+    has at most two rows per order value."""
     w = Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     cols = [*keys, order]
-    return (
-        asked.select(*cols, F.lit(None).cast("double").alias("_v"), F.lit(True).alias("_ask"))
-        .unionByName(increments.select(*cols, F.col(value).cast("double").alias("_v"), F.lit(False).alias("_ask")))
-        .withColumn(name, F.sum("_v").over(w))
-        .filter("_ask")
-        .select(*cols, name)
+    nothing = [F.lit(None).cast("double").alias(v) for v in values]
+    both = asked.select(*cols, *nothing, F.lit(True).alias("_ask")).unionByName(
+        increments.select(*cols, *[F.col(v).cast("double").alias(v) for v in values], F.lit(False).alias("_ask"))
     )
+    return both.withColumns({v: F.sum(v).over(w) for v in values}).filter("_ask").select(*cols, *values)
 
 
 def select_sequentially(
