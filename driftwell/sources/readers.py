@@ -37,9 +37,16 @@ AVAILABILITY_SCHEMA = (
 )
 
 
+def read_typed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Columns of ``schema`` that the files have, found by name whatever their order."""
+    raw = read_table(spark, path, "csv")
+    fields = T.StructType.fromDDL(schema).fields
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields if f.name in raw.columns])
+
+
 def read_full_dataset(spark: SparkSession, path: str, schema: str = FULL_DATASET_SCHEMA) -> DataFrame:
     """The prepared samples from CSV; empty strings come back as missing and are restored."""
-    df = read_table(spark, path, "csv", schema)
+    df = read_typed_csv(spark, path, schema)
     empty = [c for c in ("prompt", "drift_concept", "drift_private_code", "drift_answer", "drift_sector") if c in df.columns]
     return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in empty})
 

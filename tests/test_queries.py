@@ -17,8 +17,12 @@ def con(sf):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, sf, con, name):
-    verdict, _, _ = check.compare(QUERIES[name](spark, sf), con, ORACLES[name], time.time())
+    df = QUERIES[name](spark, sf)
+    verdict, _, _ = check.compare(df, con, ORACLES[name], time.time())
     assert verdict == "ok"
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "PythonUDF"):
+        assert node not in plan
 
 
 def test_only_the_feedback_loop_has_no_sql():
