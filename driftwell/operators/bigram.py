@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell import fixed_values as fv
-from driftwell.functions.text import is_blank, key_hash, or_default, tokens
-from driftwell.operators.normalize import guidance_text, oversample, public_columns
+from driftwell.functions.text import key_hash, or_default, tokens
+from driftwell.operators.normalize import copies, guidance_text, public_columns
 from driftwell.operators.selection import as_of_sums, top_k
 from driftwell.session import durable
 
@@ -51,17 +51,19 @@ def fit(
     df: DataFrame, keys: Sequence[str], text: str = "text", max_len: int | None = None, drift_times: int = 1
 ) -> DataFrame:
     """Counts per ``keys``; rows carrying a concept count ``drift_times`` times."""
-    if drift_times > 1:
-        df = oversample(df, drift_times)
-    return transitions(df, keys, text, max_len).groupBy(*keys, "prev", "tok").agg(
-        F.count(F.lit(1)).cast("double").alias("value")
-    )
+    if drift_times <= 1:
+        n = F.count(F.lit(1))
+        unfolded = transitions(df, keys, text, max_len)
+    else:
+        # A repeated text counts more; it need not be split more than once.
+        n = F.sum("_times")
+        repeated = df.withColumn("_times", copies(drift_times))
+        unfolded = transitions(repeated, [*keys, "_times"], text, max_len)
+    return unfolded.groupBy(*keys, "prev", "tok").agg(n.cast("double").alias("value"))
 
 
 def sample_weights(df: DataFrame, keys: Sequence[str], drift_times: int = 1) -> DataFrame:
-    n = F.count(F.lit(1))
-    if drift_times > 1:
-        n = F.sum(F.when(is_blank(F.col("drift_concept")), F.lit(1)).otherwise(F.lit(drift_times)))
+    n = F.count(F.lit(1)) if drift_times <= 1 else F.sum(copies(drift_times))
     return df.groupBy(*keys).agg(n.cast("double").alias("weight"))
 
 

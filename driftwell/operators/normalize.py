@@ -199,7 +199,11 @@ def lookup_question(code: Column) -> Column:
     return F.concat(F.lit(f"{fv.LOOKUP_MARKER}\nCode: "), trim_all(code), F.lit("\nAnswer:"))
 
 
+def copies(times: int = 1, concept: str = "drift_concept") -> Column:
+    """How often a row counts: ``times`` if it carries a concept, else once."""
+    return F.when(is_blank(F.col(concept)), F.lit(1)).otherwise(F.lit(max(1, int(times))))
+
+
 def oversample(df: DataFrame, times: int = 1, concept: str = "drift_concept") -> DataFrame:
     """Repeat the rows that carry a concept; ``copy_no`` starts at 1."""
-    n = F.when(is_blank(F.col(concept)), F.lit(1)).otherwise(F.lit(max(1, int(times))))
-    return df.withColumn("copy_no", F.explode(F.sequence(F.lit(1), n)))
+    return df.withColumn("copy_no", F.explode(F.sequence(F.lit(1), copies(times, concept))))

@@ -91,19 +91,23 @@ def assign_rounds_by_edges(
         .select("round_id", *[F.col(c).cast("string") for c in order])
         .collect()
     )
-    at = F.struct(*order)
-    rid = F.lit(None).cast("int")
-    if edges:
-        firsts = F.array(
-            *[
-                F.struct(
-                    F.struct(
-                        *[F.lit(e[c]).cast(df.schema[c].dataType).alias(c) for c in order]
-                    ).alias("at"),
-                    F.lit(e["round_id"]).alias("round_id"),
-                )
-                for e in sorted(edges, key=lambda e: e["round_id"])
-            ]
-        )
-        rid = F.element_at(F.filter(firsts, lambda e: e["at"] <= at), -1)["round_id"]
-    return df.withColumn("round_id", rid).withColumn("round", F.col("round_id"))
+    return df.withColumn("round_id", _find_round(df, edges, order)).withColumn("round", F.col("round_id"))
+
+
+def _find_round(df: DataFrame, edges: Sequence, order: Sequence[str]) -> Column:
+    """Nested comparisons that halve the edges at each step."""
+    if not edges:
+        return F.lit(None).cast("int")
+    edges = sorted(edges, key=lambda e: e["round_id"])
+    here = F.struct(*order)
+
+    def at(e) -> Column:
+        return F.struct(*[F.lit(e[c]).cast(df.schema[c].dataType).alias(c) for c in order])
+
+    def within(lo: int, hi: int) -> Column:
+        if hi - lo == 1:
+            return F.lit(edges[lo]["round_id"])
+        mid = (lo + hi) // 2
+        return F.when(here < at(edges[mid]), within(lo, mid)).otherwise(within(mid, hi))
+
+    return within(0, len(edges))

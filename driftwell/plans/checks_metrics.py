@@ -12,6 +12,11 @@ from driftwell.plans.datasets import table
 from driftwell.plans.registry import query
 
 
+def fine(df, *cols):
+    """Results over two-decimal values: rounding at the sixth place would meet exact ties."""
+    return df.withColumns({c: F.round(c, 9) for c in cols})
+
+
 def docs_by_round(spark, sf):
     """Documents with their round, found in place: positions are not needed here."""
     docs = ds.documents(spark, sf).select("sample_id", "text")
@@ -92,13 +97,13 @@ def term_tracking(spark, sf):
 
 @query(
     "j6_fairness",
-    f"""WITH {SQL_HISTORY} SELECT method, round, round(max(perplexity), 6) AS worst_persona_perplexity,
-      round(var_samp(perplexity), 6) AS perplexity_variance,
-      round(power(sum(1 / (perplexity + 1e-8)), 2) / (count(perplexity) * sum(power(1 / (perplexity + 1e-8), 2))), 6) AS jain_fairness
+    f"""WITH {SQL_HISTORY} SELECT method, round, round(max(perplexity), 9) AS worst_persona_perplexity,
+      round(var_samp(perplexity), 9) AS perplexity_variance,
+      round(power(sum(1 / (perplexity + 1e-8)), 2) / (count(perplexity) * sum(power(1 / (perplexity + 1e-8), 2))), 9) AS jain_fairness
     FROM (SELECT method, CAST(round AS INTEGER) AS round, perplexity FROM history) GROUP BY ALL""",
 )
 def fairness(spark, sf):
-    return rounded(
+    return fine(
         sc.fairness_summary(history(spark, sf), ["method", "round"]),
         "worst_persona_perplexity", "perplexity_variance", "jain_fairness",
     )
@@ -150,8 +155,8 @@ def suppression_windows(spark, sf):
     e AS (SELECT w.*, h.method, avg(m) FILTER (WHERE round < window_start) AS pre,
       avg(m) FILTER (WHERE round BETWEEN window_start AND window_end) AS during, avg(m) FILTER (WHERE round > window_end) AS post
       FROM windows w JOIN h ON h.persona = w.persona GROUP BY ALL)
-    SELECT e.persona, e.method, window_start, window_end, round(pre, 6) AS pre_window_metric, round(during, 6) AS during_window_metric,
-      round(post, 6) AS post_window_metric, CAST(min(h.round) - window_end AS INTEGER) AS recovery_rounds
+    SELECT e.persona, e.method, window_start, window_end, round(pre, 9) AS pre_window_metric, round(during, 9) AS during_window_metric,
+      round(post, 9) AS post_window_metric, CAST(min(h.round) - window_end AS INTEGER) AS recovery_rounds
     FROM e LEFT JOIN h ON h.persona = e.persona AND h.method = e.method AND h.round > window_end AND h.m <= pre
     GROUP BY e.persona, e.method, window_start, window_end, pre, during, post""",
 )
@@ -163,7 +168,7 @@ def suppression_effect(spark, sf):
         event_round(F.col("ts"), ds.START, ds.HOURS).alias("round"), F.when(F.col("value") > 5, F.col("value")).alias("perplexity"),
     )
     out = sp.suppression_effect(windows_of(spark, sf), h, by=["method"])
-    return rounded(out, "pre_window_metric", "during_window_metric", "post_window_metric")
+    return fine(out, "pre_window_metric", "during_window_metric", "post_window_metric")
 
 
 @query(
@@ -194,8 +199,8 @@ def _sql_summary() -> str:
             f"last({m} ORDER BY round) FILTER (WHERE {m} IS NOT NULL) AS {m}_final"
         )
         sign = "s.{0} - r.{0}" if m in ds.fv.HIGHER_IS_BETTER else "r.{0} - s.{0}"
-        gains += [f"round({sign.format(f'{m}_{x}')}, 6) AS {m}_{x}_improvement_vs_view" for x in ("mean", "final")]
-    shown = [f"round(s.{m}_{x}, 6) AS {m}_{x}" for m in METRICS for x in ("mean", "std", "se", "final")]
+        gains += [f"round({sign.format(f'{m}_{x}')}, 9) AS {m}_{x}_improvement_vs_view" for x in ("mean", "final")]
+    shown = [f"round(s.{m}_{x}, 9) AS {m}_{x}" for m in METRICS for x in ("mean", "std", "se", "final")]
     return (
         f"WITH {SQL_RESULTS}, s AS (SELECT method, CAST(count(DISTINCT round) AS INTEGER) AS num_rounds, {', '.join(cols)} FROM results GROUP BY 1) "
         f"SELECT s.method, s.num_rounds, {', '.join(shown + gains)} FROM s, (SELECT * FROM s WHERE method = 'view') r"
@@ -205,25 +210,25 @@ def _sql_summary() -> str:
 @query("j12_method_summary", _sql_summary())
 def method_summary(spark, sf):
     out = mt.summarize_methods(results(spark, sf), METRICS, "view")
-    return rounded(out, *[c for c in out.columns if c not in ("method", "num_rounds")])
+    return fine(out, *[c for c in out.columns if c not in ("method", "num_rounds")])
 
 
 @query(
     "j13_final_rows",
     f"""WITH {SQL_RESULTS}, r AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY round DESC) AS rn FROM results WHERE private_code_accuracy IS NOT NULL)
-    SELECT method, round, round(global_perplexity, 6) AS global_perplexity, round(private_code_accuracy, 6) AS private_code_accuracy FROM r WHERE rn = 1""",
+    SELECT method, round, round(global_perplexity, 9) AS global_perplexity, round(private_code_accuracy, 9) AS private_code_accuracy FROM r WHERE rn = 1""",
 )
 def final_rows(spark, sf):
-    return rounded(mt.final_rows(results(spark, sf), "private_code_accuracy"), *METRICS)
+    return fine(mt.final_rows(results(spark, sf), "private_code_accuracy"), *METRICS)
 
 
 @query(
     "j14_mean_by_round",
-    f"""WITH {SQL_HISTORY} SELECT method, CAST(round AS INTEGER) AS round, round(avg(perplexity), 6) AS mean_perplexity FROM history
+    f"""WITH {SQL_HISTORY} SELECT method, CAST(round AS INTEGER) AS round, round(avg(perplexity), 9) AS mean_perplexity FROM history
     WHERE perplexity IS NOT NULL GROUP BY ALL""",
 )
 def mean_by_round(spark, sf):
-    return rounded(mt.mean_by_round(history(spark, sf), "perplexity"), "mean_perplexity")
+    return fine(mt.mean_by_round(history(spark, sf), "perplexity"), "mean_perplexity")
 
 
 @query(
@@ -236,15 +241,15 @@ def mean_lag(spark, sf):
 
 @query(
     "j17_stacked",
-    f"""WITH {SQL_HISTORY} SELECT method, CAST(round AS INTEGER) AS round, NULL::BIGINT AS persona, round(avg(perplexity), 6) AS perplexity FROM history GROUP BY ALL
-    UNION ALL SELECT NULL, CAST(round AS INTEGER), persona, round(avg(perplexity), 6) FROM history GROUP BY ALL""",
+    f"""WITH {SQL_HISTORY} SELECT method, CAST(round AS INTEGER) AS round, NULL::BIGINT AS persona, round(avg(perplexity), 9) AS perplexity FROM history GROUP BY ALL
+    UNION ALL SELECT NULL, CAST(round AS INTEGER), persona, round(avg(perplexity), 9) FROM history GROUP BY ALL""",
 )
 def stacked(spark, sf):
     h = history(spark, sf)
     a = h.groupBy("method", "round").agg(F.avg("perplexity").alias("perplexity"))
     b = h.groupBy("round", "persona").agg(F.avg("perplexity").alias("perplexity"))
     empty = h.limit(0).select("method", "round")
-    return rounded(mt.stack([empty, a, b]), "perplexity").select("method", "round", "persona", "perplexity")
+    return fine(mt.stack([empty, a, b]), "perplexity").select("method", "round", "persona", "perplexity")
 
 
 @query(
