@@ -69,13 +69,14 @@ def sample_weights(df: DataFrame, keys: Sequence[str], drift_times: int = 1) ->
 
 def weighted_average(
     locals_: DataFrame, weights: DataFrame, by: Sequence[str], client: Sequence[str], param: Sequence[str],
-    value: str = "value",
+    value: str = "value", few_clients: bool = False,
 ) -> DataFrame:
     """Average of the parameters of a group's clients, weighted by ``weight``.
 
     Locals that do not depend on some of ``by`` are shared by its groups. The divisor is the weight of all the group's clients (1 if that is not positive), so a
     parameter a client lacks counts as 0. A group without clients yields no rows: whatever
-    held before goes on.
+    held before goes on. ``few_clients`` says that the weights are few by construction, as after
+    a top-k selection; they are broadcast then.
     """
     by, client = list(by), list(client)
     if by:
@@ -84,9 +85,10 @@ def weighted_average(
     else:
         weighted = weights.withColumn("_w", weights.agg(F.sum("weight").alias("_w")).scalar())
     share = F.col("weight") / F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.lit(1.0))
+    shares = weighted.select(*by, *client, share.alias("_share"))
     return (
         locals_.join(
-            weighted.select(*by, *client, share.alias("_share")), [c for c in [*by, *client] if c in locals_.columns]
+            F.broadcast(shares) if few_clients else shares, [c for c in [*by, *client] if c in locals_.columns]
         )
         .groupBy(*by, *param)
         .agg(F.sum(F.col(value) * F.col("_share")).alias(value))

@@ -371,9 +371,11 @@ def match_terms(df: DataFrame, terms: DataFrame, rounds: str = "round_id") -> Da
 
     ``terms`` holds ``round_id, term``: what to look for in each round. It is packed into one
     array per round and the arrays join on the round, so no text meets a term of another round.
+    There is one array per round of a few terms per earlier round, so it is broadcast; else the
+    texts would be shuffled by a handful of round ids.
     """
     packed = terms.groupBy(rounds).agg(F.collect_set(F.lower("term")).alias("_terms"))
-    low = df.join(packed, rounds).withColumn("_low", F.lower("text"))
+    low = df.join(F.broadcast(packed), rounds).withColumn("_low", F.lower("text"))
     return low.withColumn(
         "term", F.explode(F.filter("_terms", lambda t: F.contains(F.col("_low"), t)))
     ).drop("_terms", "_low")

@@ -79,7 +79,9 @@ def learn(
         chosen = stream.join(F.broadcast(selections.select(*keys).distinct()), keys, "left_semi")
         weights = selections.select("method", *keys).join(bg.sample_weights(chosen, keys, drift_times), keys)
         local = bg.fit(chosen, keys, max_len=max_len, drift_times=drift_times)
-        parts.append(bg.weighted_average(local, weights, ["method", "round_id"], ["client_id"], ["prev", "tok"]))
+        parts.append(
+            bg.weighted_average(local, weights, ["method", "round_id"], ["client_id"], ["prev", "tok"], few_clients=True)
+        )
     pooled = [m for m in methods if m in fv.POOLED_METHODS]
     if guidance is not None and pooled:
         fitted = bg.fit(guidance, ["round_id"], max_len=max_len)

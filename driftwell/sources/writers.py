@@ -21,14 +21,20 @@ def client_round_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def export_client_rounds(df: DataFrame, path: str, fmt: str = "csv", max_rows_per_file: int = 1_000_000, spread: int = 1) -> None:
-    """One folder per round and client. ``spread`` tasks share a client's round, so raise it
-    when single clients hold much of the data; large files are split in any case."""
+def export_client_rounds(df: DataFrame, path: str, fmt: str = "csv", max_rows_per_file: int = 1_000_000) -> None:
+    """One folder per round and client. A client's round goes to one task, unless it has more
+    than ``max_rows_per_file`` rows: then as many tasks as it needs files share it."""
+    keys = ["round_id", "client_id"]
     rows = client_round_rows(df)
-    salt = [F.pmod(F.xxhash64("text", "timestamp"), F.lit(spread))] if spread > 1 else []
+    # At most (all rows / max_rows_per_file) groups are that large, hence the broadcast.
+    large = (
+        rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(max_rows_per_file)).alias("_files")).filter("_files > 1")
+    )
+    part = F.pmod(F.xxhash64("text", "timestamp"), F.coalesce("_files", F.lit(1)))
+    spread = rows.join(F.broadcast(large), keys, "left").withColumn("_part", part).repartition(*keys, "_part")
     writer = (
-        rows.repartition("round_id", "client_id", *salt).write.mode("overwrite")
-        .option("maxRecordsPerFile", max_rows_per_file).partitionBy("round_id", "client_id").format(fmt)
+        spread.drop("_files", "_part").write.mode("overwrite").option("maxRecordsPerFile", max_rows_per_file)
+        .partitionBy(*keys).format(fmt)
     )
     if fmt == "csv":
         writer = writer.options(header=True, escape='"', quoteAll=True)

@@ -53,6 +53,18 @@ def test_exported_rounds(spark, prepared):
     assert {r["text"] for r in back.select("text").collect()} == {r["text"] for r in yes.select("text").collect()}
 
 
+def test_large_client_round_is_shared(spark, tmp_path):
+    df = spark.range(100).select(
+        F.lit(0).alias("round_id"), F.when(F.col("id") < 90, "hot").otherwise("cold").alias("client_id"),
+        F.col("id").cast("string").alias("text"), F.lit("l").alias("label"), F.lit("2024-01-01").alias("timestamp"),
+        F.lit("p").alias("persona"), F.lit("r").alias("region"),
+    )
+    writers.export_client_rounds(df, str(tmp_path / "x"), max_rows_per_file=20)
+    assert len(glob.glob(f"{tmp_path}/x/round_id=0/client_id=hot/*.csv")) >= 5
+    assert len(glob.glob(f"{tmp_path}/x/round_id=0/client_id=cold/*.csv")) == 1
+    assert spark.read.csv(str(tmp_path / "x"), header=True).count() == 100
+
+
 def test_full_dataset_as_csv(spark, prepared, tmp_path):
     out, _ = prepared
     full = pr.read_prepared(spark, out)
