@@ -5,9 +5,11 @@ import time
 import pytest
 
 import check
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from driftwell.plans import registry
 
-QUERIES, ORACLES = queries(), oracle_sql()
+registry.load_all()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
