@@ -1,7 +1,7 @@
 """Byte-level BPE over whole texts, in numpy matrices.
 
-Matches of the split pattern are encoded one by one. Different matches are encoded once per task
-(a bounded memory of earlier ones is kept): matches of similar length form one padded matrix of
+Matches of the split pattern are encoded one by one. Different matches are encoded once
+(a worker keeps a bounded memory of earlier ones): matches of similar length form one padded matrix of
 tokens and one of pair ranks. Each round every row merges its leftmost pair of least rank. A row
 loses one token a round, so the matrix is compacted by masking one cell per row; rows without a
 pair of the vocabulary leave. Ranks of pairs come from an open-addressing hash table.
@@ -14,20 +14,21 @@ read. Time for one match without a split in it grows with the square of its leng
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.llm.common import in_steps
+from driftwell.llm.memory import Memory, spread
 
 NEVER = np.int32(2**31 - 1)
 CELLS = 1 << 20  # of a matrix
-KEPT, KEPT_CHARS = 400_000, 16 << 20  # strings, and characters of them, remembered by a task
 WIDTHS = np.array([2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64])
 
 
@@ -152,43 +153,9 @@ class Ranks:
         return self.data[spread(self.starts[ids], size)], ends[bounds]
 
 
-def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """``starts[i], starts[i] + 1, ...`` for ``lengths[i]`` places, for each i in turn."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
-
-
-class Numbered(dict):
-    """Numbers different strings as they come up and lists those not met before in ``new``. Words
-    that a blank doesn't simply part from their neighbours get -1."""
-
-    def __init__(self, words: bool = False):
-        super().__init__()
-        self.new: list[str] = []
-        self.words, self.odd = words, False
-
-    def __missing__(self, key: str) -> int:
-        if self.words and (not key or key[0].isspace() or key[-1].isspace()):
-            self.odd = True
-            return -1
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
-
-
-class Store:
-    """Ids of numbered strings, one after another."""
-
-    def __init__(self):
-        self.ids, self.counts, self.starts = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-
-    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
-        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
-        self.starts = np.cumsum(self.counts) - self.counts
-
-    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = self.counts[numbers]
-        return self.ids[spread(self.starts[numbers], size)], size
+def _odd(word: str) -> bool:
+    """A blank before or after it isn't all the white space there."""
+    return not word or word[0].isspace() or word[-1].isspace()
 
 
 class Encoder:
@@ -203,60 +170,46 @@ class Encoder:
     def __init__(self, ranks: Ranks, pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.part = regex.compile(r"(?<=\S) (?=\S)").split
-        self._forget_words()
-        self._forget_pieces()
-
-    def _forget_words(self) -> None:
-        self.words, self.word_store = Numbered(words=True), Store()
+        self.pieces = Memory(lambda new: ranks.encode_pieces([p.encode() for p in new]))
+        self.words = Memory(self._encode_words, _odd)
 
-    def _forget_pieces(self) -> None:
-        self.pieces, self.piece_store, self.chars = Numbered(), Store(), 0
-
-    def _encode_new(self, words: list[str]) -> None:
-        found = [self.find(w) for w in words]
+    def _encode_words(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A key that begins with a blank stands for a first word, which has none in front."""
+        found = [self.find(k[1:] if k[0] == " " else " " + k) for k in keys]
         counts = np.array([len(f) for f in found], dtype=np.int64)
         piece = np.fromiter((self.pieces[p] for f in found for p in f), dtype=np.int64, count=int(counts.sum()))
-        if new := self.pieces.new:
-            self.chars += sum(map(len, new))
-            self.piece_store.add(*self.ranks.encode_pieces([p.encode() for p in new]))
-            self.pieces.new = []
-        ids, size = self.piece_store.get(piece)
+        ids, size = self.pieces.get_ids(piece)
+        self.pieces.end_step()
         ends, bounds = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(counts)])
-        self.word_store.add(ids, np.diff(ends[bounds]))
+        return ids, np.diff(ends[bounds])
+
+    def _number(self, key: str) -> int:
+        n = self.words.get(key)
+        return self.words.add(key) if n is None else n
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and where each text begins (one more entry at the end)."""
-        if len(self.words) > KEPT or len(self.word_store.ids) > KEPT_CHARS:
-            self._forget_words()
-        if len(self.pieces) > KEPT or self.chars > KEPT_CHARS:
-            self._forget_pieces()
         number, parts, per_text = self.words.__getitem__, [], np.zeros(len(texts) + 1, dtype=np.int64)
         for i, text in enumerate(texts):
             if not text:
                 continue
             first, *rest = text.split(" ")
-            self.words.odd = False
+            self.words.met_odd = False
             got = np.fromiter(map(number, rest), dtype=np.int64, count=len(rest))
-            if self.words.odd or not first or first[-1].isspace():
+            if self.words.met_odd or not first or first[-1].isspace():
                 first, *rest = self.part(text)
-                got = np.fromiter((self._whole(w) for w in rest), dtype=np.int64, count=len(rest))
+                got = np.fromiter(map(self._number, rest), dtype=np.int64, count=len(rest))
             per_text[i + 1] = len(got) + 1
-            parts += [[self._whole("", first)], got]
-        if new := self.words.new:
-            self._encode_new([w[1:] if w[0] == " " else " " + w for w in new])
-            self.words.new = []
-        word = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, dtype=np.int64)
-        ids, size = self.word_store.get(word)
+            parts += [np.array([self._number(" " + first)]), got]
+        ids, size = self.words.get_ids(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64))
+        self.words.end_step()
         return ids, np.concatenate([[0], np.cumsum(size)])[np.cumsum(per_text)]
 
-    def _whole(self, word: str, first: str | None = None) -> int:
-        """The number of a word with odd white space, or of a first word, which has no blank in front."""
-        key = word if first is None else " " + first
-        n = self.words.get(key)
-        if n is None:
-            n = self.words[key] = len(self.words)
-            self.words.new.append(key)
-        return n
+
+@lru_cache(maxsize=1)
+def encoder_of(lines: bytes, pattern: str) -> Encoder:
+    """One for each worker, so that later tasks profit from what it has met."""
+    return Encoder(load(lines), pattern)
 
 
 @lru_cache(maxsize=2)
@@ -264,12 +217,11 @@ def load(lines: bytes) -> Ranks:
     return Ranks(lines)
 
 
-def _vocabulary(df: DataFrame, path: str) -> Callable[[], Ranks]:
+def _vocabulary(df: DataFrame, path: str) -> Broadcast[bytes]:
     """The vocabulary file, read by the driver and sent once to each executor; its size is the
     vocabulary's, whatever the data."""
     with open(path, "rb") as src:
-        sent = df.sparkSession.sparkContext.broadcast(src.read())
-    return lambda: load(sent.value)
+        return df.sparkSession.sparkContext.broadcast(src.read())
 
 
 def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -281,10 +233,10 @@ def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """``id, n_tokens, ids`` of every row; ``ids`` holds unsigned 32-bit little-endian integers.
     With ``decoded`` also the bytes that the ids decode to, made in the same pass."""
-    ranks = _vocabulary(docs, path)
+    lines = _vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks(), pattern)
+        encoder = encoder_of(lines.value, pattern)
         for batch in in_steps(batches, "__text"):
             ids, bounds = encoder.encode(batch.column("__text").to_pylist())
             columns = [batch.column(id_col), pa.array(np.diff(bounds)), _binary(ids.astype("<u4"), bounds)]
@@ -299,13 +251,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id, decoded`` of every row of :func:`encode`; null ids decode to nothing."""
-    ranks = _vocabulary(encoded, path)
+    lines = _vocabulary(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_steps(batches, "__ids"):
             raw = batch.column("__ids").to_pylist()
             bounds = np.cumsum([0, *(len(x) // 4 for x in raw)])
-            data, ends = ranks().decode(np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int64), bounds)
+            data, ends = load(lines.value).decode(np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int64), bounds)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), _binary(data, ends)], [id_col, "decoded"])
 
     ids = encoded.select(id_col, F.coalesce(F.col(ids_col), F.lit(b"")).alias("__ids"))

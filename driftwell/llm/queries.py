@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import byte_bpe, url_rules
+from driftwell.llm import byte_bpe, records, url_rules
 from driftwell.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = records.write_records(table(spark, sf_dir, "documents"), WORD_BPE, records.record_folder(spark))
+    back = records.read_records(index).join(records.starts(index), "shard")
+    return back.select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN, decoded=True)
     return encoded.select(
@@ -36,5 +42,5 @@ SELECT a.page_id, a.host, a.path, f.rule, coalesce(r.verdict, 'allow') AS verdic
 FROM parts a LEFT JOIN fits f ON f.page_id = a.page_id AND f.host = a.host AND f.path = a.path LEFT JOIN rules r ON r.rule = f.rule
 """
 
-QUERIES = {"op8_byte_bpe": op8_byte_bpe, "op10_url_rules": op10_url_rules}
+QUERIES = {"op5_records": op5_records, "op8_byte_bpe": op8_byte_bpe, "op10_url_rules": op10_url_rules}
 ORACLES = {"op10_url_rules": URL_SQL}
