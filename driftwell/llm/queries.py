@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import byte_bpe, records, url_rules
+from driftwell.llm import byte_bpe, records, substring_dedup, url_rules
 from driftwell.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -19,6 +19,23 @@ def op5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+SUBSTRING_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ windows AS (SELECT doc_id, i, w[i : i + 12] AS seq FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words)),
+ firsts AS (SELECT seq, min(doc_id) AS first_doc FROM windows GROUP BY seq HAVING count(*) > 1),
+ covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (seq) WHERE first_doc < doc_id),
+ lost AS (SELECT doc_id, list(p) AS ps FROM covered GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+ sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256
+FROM words LEFT JOIN lost USING (doc_id)
+"""
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN, decoded=True)
     return encoded.select(
@@ -42,5 +59,5 @@ SELECT a.page_id, a.host, a.path, f.rule, coalesce(r.verdict, 'allow') AS verdic
 FROM parts a LEFT JOIN fits f ON f.page_id = a.page_id AND f.host = a.host AND f.path = a.path LEFT JOIN rules r ON r.rule = f.rule
 """
 
-QUERIES = {"op5_records": op5_records, "op8_byte_bpe": op8_byte_bpe, "op10_url_rules": op10_url_rules}
-ORACLES = {"op10_url_rules": URL_SQL}
+QUERIES = {"op5_records": op5_records, "op6_substring_dedup": op6_substring_dedup, "op8_byte_bpe": op8_byte_bpe, "op10_url_rules": op10_url_rules}
+ORACLES = {"op6_substring_dedup": SUBSTRING_SQL, "op10_url_rules": URL_SQL}
