@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import byte_bpe, records, substring_dedup, url_rules
+from driftwell.llm import byte_bpe, records, simhash, substring_dedup, url_rules
 from driftwell.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -36,6 +36,10 @@ FROM words LEFT JOIN lost USING (doc_id)
 """
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN, decoded=True)
     return encoded.select(
@@ -59,5 +63,5 @@ SELECT a.page_id, a.host, a.path, f.rule, coalesce(r.verdict, 'allow') AS verdic
 FROM parts a LEFT JOIN fits f ON f.page_id = a.page_id AND f.host = a.host AND f.path = a.path LEFT JOIN rules r ON r.rule = f.rule
 """
 
-QUERIES = {"op5_records": op5_records, "op6_substring_dedup": op6_substring_dedup, "op8_byte_bpe": op8_byte_bpe, "op10_url_rules": op10_url_rules}
+QUERIES = {"op5_records": op5_records, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op10_url_rules": op10_url_rules}
 ORACLES = {"op6_substring_dedup": SUBSTRING_SQL, "op10_url_rules": URL_SQL}
