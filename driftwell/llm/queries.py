@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import byte_bpe, records, simhash, substring_dedup, url_rules
+from driftwell.llm import byte_bpe, embedding_dedup, records, simhash, substring_dedup, url_rules
 from driftwell.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -47,6 +47,23 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+   WHERE label IS NOT NULL AND embedding IS NOT NULL),
+ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+   AND list_cosine_similarity(a.e, b.e) >= 0.93),
+ reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+ least AS (SELECT a, min(b) AS b FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(l.b, vec_id)) AS component_id,
+ vec_id = least(vec_id, coalesce(l.b, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN least l ON l.a = vec_id
+"""
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -63,5 +80,5 @@ SELECT a.page_id, a.host, a.path, f.rule, coalesce(r.verdict, 'allow') AS verdic
 FROM parts a LEFT JOIN fits f ON f.page_id = a.page_id AND f.host = a.host AND f.path = a.path LEFT JOIN rules r ON r.rule = f.rule
 """
 
-QUERIES = {"op5_records": op5_records, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op10_url_rules": op10_url_rules}
-ORACLES = {"op6_substring_dedup": SUBSTRING_SQL, "op10_url_rules": URL_SQL}
+QUERIES = {"op5_records": op5_records, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op9_embedding_dedup": op9_embedding_dedup, "op10_url_rules": op10_url_rules}
+ORACLES = {"op6_substring_dedup": SUBSTRING_SQL, "op9_embedding_dedup": EMBEDDING_SQL, "op10_url_rules": URL_SQL}
