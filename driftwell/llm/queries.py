@@ -6,17 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import byte_bpe, embedding_dedup, records, simhash, substring_dedup, url_rules
+from driftwell.llm import byte_bpe, embedding_dedup, language_id, records, simhash, substring_dedup, toxicity, url_rules
 from driftwell.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = records.write_records(table(spark, sf_dir, "documents"), WORD_BPE, records.record_folder(spark))
-    back = records.read_records(index).join(records.starts(index), "shard")
-    return back.select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    back = records.read_records(index).select("doc_id", "shard", "before", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    start = (F.col("shard_start") + F.col("before")).alias("start")
+    return back.join(records.starts(index), "shard").select("doc_id", start, "n_tokens", "ids_crc32")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +91,5 @@ SELECT a.page_id, a.host, a.path, f.rule, coalesce(r.verdict, 'allow') AS verdic
 FROM parts a LEFT JOIN fits f ON f.page_id = a.page_id AND f.host = a.host AND f.path = a.path LEFT JOIN rules r ON r.rule = f.rule
 """
 
-QUERIES = {"op5_records": op5_records, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op9_embedding_dedup": op9_embedding_dedup, "op10_url_rules": op10_url_rules}
+QUERIES = {"op1_language": op1_language, "op3_toxicity": op3_toxicity, "op5_records": op5_records, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op9_embedding_dedup": op9_embedding_dedup, "op10_url_rules": op10_url_rules}
 ORACLES = {"op6_substring_dedup": SUBSTRING_SQL, "op9_embedding_dedup": EMBEDDING_SQL, "op10_url_rules": URL_SQL}
