@@ -217,7 +217,7 @@ def load(lines: bytes) -> Ranks:
     return Ranks(lines)
 
 
-def _vocabulary(df: DataFrame, path: str) -> Broadcast[bytes]:
+def vocabulary(df: DataFrame, path: str) -> Broadcast[bytes]:
     """The vocabulary file, read by the driver and sent once to each executor; its size is the
     vocabulary's, whatever the data."""
     with open(path, "rb") as src:
@@ -233,7 +233,7 @@ def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """``id, n_tokens, ids`` of every row; ``ids`` holds unsigned 32-bit little-endian integers.
     With ``decoded`` also the bytes that the ids decode to, made in the same pass."""
-    lines = _vocabulary(docs, path)
+    lines = vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(lines.value, pattern)
@@ -251,7 +251,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id, decoded`` of every row of :func:`encode`; null ids decode to nothing."""
-    lines = _vocabulary(encoded, path)
+    lines = vocabulary(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_steps(batches, "__ids"):

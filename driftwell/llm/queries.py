@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import byte_bpe, decontaminate, embedding_dedup, language_id, records, simhash, substring_dedup, toxicity, url_rules
+from driftwell.llm import byte_bpe, decontaminate, embedding_dedup, language_id, records, simhash, substring_dedup, token_counts, toxicity, url_rules
 from driftwell.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PLAIN_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -18,6 +19,20 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document gets a line with its source in front, loses 40 characters in the middle and
+    gets a line with its language at the end."""
+
+    def change(start, removed, inserted):
+        return F.struct(F.expr(start).cast("int").alias("start"), F.lit(removed).alias("removed"), F.expr(inserted).alias("inserted"))
+
+    edits = F.array(
+        change("0", 0, "concat(coalesce(source, ''), '\n')"), change("length(text) div 2", 40, "''"), change("2147483647", 0, "concat('\n', coalesce(lang, ''))")
+    )
+    docs = table(spark, sf_dir, "documents").withColumn("edits", edits)
+    return token_counts.count_edited(docs, PLAIN_BPE, public_tokenizers.PATTERN)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -95,5 +110,5 @@ SELECT a.page_id, a.host, a.path, f.rule, coalesce(r.verdict, 'allow') AS verdic
 FROM parts a LEFT JOIN fits f ON f.page_id = a.page_id AND f.host = a.host AND f.path = a.path LEFT JOIN rules r ON r.rule = f.rule
 """
 
-QUERIES = {"op1_language": op1_language, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate, "op5_records": op5_records, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op9_embedding_dedup": op9_embedding_dedup, "op10_url_rules": op10_url_rules}
+QUERIES = {"op1_language": op1_language, "op2_token_counts": op2_token_counts, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate, "op5_records": op5_records, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op9_embedding_dedup": op9_embedding_dedup, "op10_url_rules": op10_url_rules}
 ORACLES = {"op6_substring_dedup": SUBSTRING_SQL, "op9_embedding_dedup": EMBEDDING_SQL, "op10_url_rules": URL_SQL}
