@@ -1,18 +1,59 @@
-"""A corpus pipeline out of the operators of ``driftwell.llm``."""
+"""From raw documents to token ids: toxic documents go, one of each group of near-duplicates stays,
+repeated passages and benchmark leaks go, and what is left is encoded.
+
+Every stage takes ``(spark, docs, sf_dir)``. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftwell.llm import queries
+from driftwell.llm import decontaminate, simhash, substring_dedup, toxicity
 from driftwell.llm.common import stored, table
+from driftwell.llm.queries import op8_columns
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=COLUMNS[1:]).where("predicted = 0").select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of each group with the smallest id."""
+    return simhash.keep_one(docs.select(COLUMNS))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the windows that a smaller id holds; others stay as they are."""
+    left = substring_dedup.remove_repeated(docs, keep=["lang", "source"], rejoin=False)
+    return left.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens``, the ids, and digests of the ids and of what they decode to."""
+    return op8_columns(docs, "ids")
+
 
-STAGES = [("byte_bpe", lambda spark, docs, sf_dir: queries.op8_byte_bpe(spark, sf_dir))]
+STAGES = [
+    ("toxicity", drop_toxic), ("simhash", drop_near_duplicates), ("substring_dedup", drop_repeated_passages),
+    ("decontaminate", drop_leaks), ("byte_bpe", encode),
+]
+#: A trained classifier, XXH64 fingerprints and token ids are beyond SQL; the tests check each stage by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

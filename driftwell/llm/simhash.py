@@ -156,3 +156,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = named.join(joined.withColumnRenamed("node", "name"), "name", "left").select("fp", F.coalesce("component", "name").alias("component_id"))
     out = found.join(classes, "fp")
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of one row of each group: the one whose id names the group. Rows that repeat an
+    id and its text count once; rows with a null id stay."""
+    found = near_duplicates(docs, id_col, text_col)
+    others = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
+    left = docs.join(others, id_col, "left_anti").withColumn("__same", F.xxhash64(text_col))
+    return left.dropDuplicates([id_col, "__same"]).drop("__same")

@@ -214,9 +214,10 @@ def removed_words(covered: np.ndarray, n_windows: np.ndarray, n_words: np.ndarra
     return np.cumsum(change)[:-1] > 0
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep: Sequence[str] = ()) -> DataFrame:
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep: Sequence[str] = (), rejoin: bool = True) -> DataFrame:
     """``id, text`` without repeated words (what is left joined by one blank), ``n_words``,
-    ``n_removed`` and the columns ``keep`` of every row. Ids are integers."""
+    ``n_removed`` and the columns ``keep`` of every row. Ids are integers. Without ``rejoin``
+    texts that lose nothing stay as they are."""
     kinds = dict(docs.dtypes)
     columns = [id_col, text_col, *keep]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -240,9 +241,11 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             texts, lost = [], []
             for i in range(batch.num_rows):
                 mask = gone[ends[i] - n_words[i] : ends[i]]
-                words = raw[offsets[i] : offsets[i + 1]].split()
+                text = raw[offsets[i] : offsets[i + 1]]
                 lost.append(int(mask.sum()))
-                texts.append(b" ".join(compress(words, ~mask) if lost[-1] else words))
+                if lost[-1] or rejoin:
+                    text = b" ".join(compress(text.split(), ~mask) if lost[-1] else text.split())
+                texts.append(text)
             kept = [batch.column(c) for c in keep]
             out.append(pa.table([batch.column(id_col), pa.array(texts, pa.binary()).cast(pa.string()), *kept, pa.array(n_words), pa.array(lost, pa.int64())], [*columns, "n_words", "n_removed"]))
         return pa.concat_tables(out)

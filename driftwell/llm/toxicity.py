@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,18 +120,20 @@ def fit_weights(positive: Rows, unlabelled: Rows, prior: float, epochs: int = 40
 
 
 def sampled_features(docs: DataFrame, text_col: str) -> Rows:
+    """Features of all rows of ``docs`` (``__id`` and the text), in the order of the ids' hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_steps(batches, text_col):
             row, at = features(batch.column(text_col).to_pylist())
             pair = np.unique(row << BITS | at)
             ends = np.searchsorted(pair >> BITS, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((pair & (1 << BITS) - 1).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([lists], ["at"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), lists], ["key", "at"])
 
-    lists = docs.select(text_col).mapInArrow(run, "at array<int>").toArrow().column("at").to_pylist()
-    lists.sort(key=lambda x: (len(x), x))  # the same fit whatever the order of tasks
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    return Rows(np.array([b for x in lists for b in x], dtype=np.int64), starts)
+    found = docs.select(F.xxhash64("__id").alias("key"), text_col).mapInArrow(run, "key bigint, at array<int>").toArrow()
+    lists = found.sort_by("key").column("at").combine_chunks()
+    sizes = pa.compute.list_value_length(lists).to_numpy()
+    return Rows(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
@@ -158,13 +161,14 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     names = [id_col, "held_out", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_steps(batches, "__text"):
-            texts = batch.column("__text").to_pylist()
+        for batch in in_steps(batches, text_col):
+            texts = batch.column(text_col).to_pylist()
             found = sent.value.scores(texts) if sent.value else np.zeros(len(texts))
             columns = [*(batch.column(c) for c in names), pa.array(found), pa.array((found >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, [*names, "score", "predicted"])
 
     kinds = dict(docs.dtypes)
-    texts = docs.select(id_col, is_held_out(F.col(id_col)).alias("held_out"), *keep, F.col(text_col).alias("__text"))
+    read = [*keep, *([] if text_col in keep else [text_col])]
+    texts = docs.select(id_col, is_held_out(F.col(id_col)).alias("held_out"), *read)
     schema = ", ".join([f"`{id_col}` {kinds[id_col]}", "held_out boolean", *(f"`{c}` {kinds[c]}" for c in keep), "score double", "predicted int"])
     return texts.mapInArrow(run, schema)
