@@ -28,19 +28,39 @@ def event_round(ts: Column, start: str, hours: int) -> Column:
     return F.floor(passed / F.lit(hours)).cast("int")
 
 
-def observed_activity(events: DataFrame, start: str, hours: int, num_rounds: int) -> DataFrame:
-    """Distinct (client_id, round_id) with at least one event."""
-    return (
-        events.select(F.col("user_id").alias("client_id"), event_round(F.col("ts"), start, hours).alias("round_id"))
-        .filter(F.col("round_id").between(0, num_rounds - 1))
-        .distinct()
-    )
+def observed_activity(events: DataFrame, start: str, hours: int, num_rounds: int | None = None) -> DataFrame:
+    """Distinct (client_id, round_id) with at least one event in the rounds of the study."""
+    seen = events.select(F.col("user_id").alias("client_id"), event_round(F.col("ts"), start, hours).alias("round_id"))
+    if num_rounds is not None:
+        seen = seen.filter(F.col("round_id").between(0, num_rounds - 1))
+    return seen.distinct()
+
+
+def bounded_probability(timezone_group: Column, round_id: Column, share: Column, num_rounds: int) -> Column:
+    """The expected availability scaled by the client's share of active rounds, within bounds."""
+    lo, hi = fv.PROBABILITY_RANGE
+    p = expected_availability(timezone_group, round_id, num_rounds) * F.coalesce(share, F.lit(0.0))
+    return F.greatest(F.lit(lo), F.least(F.lit(hi), p))
+
+
+def lookup_availability(samples: DataFrame, activity: DataFrame, num_rounds: int) -> DataFrame:
+    """What a join with the dense grid would give, from the sparse activity: the grid of all
+    clients and rounds is never laid out. ``samples`` carry ``timezone_group``, null without a
+    client."""
+    key = round_key(samples)
+    seen = activity.select("client_id", F.col("round_id").alias(key), F.lit(1).alias("available"))
+    share = activity.groupBy("client_id").agg((F.count(F.lit(1)) / F.lit(float(num_rounds))).alias("_share"))
+    joined = samples.join(seen, ["client_id", key], "left").join(share, "client_id", "left")
+    p = bounded_probability(F.col("timezone_group"), F.col(key), F.col("_share"), num_rounds)
+    return joined.withColumns({
+        "available": F.coalesce("available", F.lit(0)).cast("int"),
+        "availability_probability": F.when(F.col("timezone_group").isNotNull(), p),
+    }).drop("_share")
 
 
 def availability_matrix(clients: DataFrame, activity: DataFrame, num_rounds: int) -> DataFrame:
     """Dense client x round grid: seen or not, and the chance of being seen, which is the
     expected availability scaled by the client's share of active rounds, within bounds."""
-    lo, hi = fv.PROBABILITY_RANGE
     # The share comes from the sparse activity, before the grid is unfolded.
     share = activity.groupBy("client_id").agg(
         (F.count(F.lit(1)) / F.lit(float(num_rounds))).alias("_share"), F.collect_set("round_id").alias("_seen")
@@ -48,11 +68,10 @@ def availability_matrix(clients: DataFrame, activity: DataFrame, num_rounds: int
     grid = clients.join(share, "client_id", "left").withColumn(
         "round_id", F.explode(F.sequence(F.lit(0), F.lit(num_rounds - 1)))
     )
-    p = expected_availability(F.col("timezone_group"), F.col("round_id"), num_rounds) * F.coalesce("_share", F.lit(0.0))
+    p = bounded_probability(F.col("timezone_group"), F.col("round_id"), F.col("_share"), num_rounds)
     return grid.select(
         "client_id", "persona", "region", "timezone_group", "round_id", F.col("round_id").alias("round"),
-        F.greatest(F.lit(lo), F.least(F.lit(hi), p)).alias("availability_probability"),
-        F.greatest(F.lit(lo), F.least(F.lit(hi), p)).alias("availability_prob"),
+        p.alias("availability_probability"), p.alias("availability_prob"),
         F.coalesce(F.array_contains("_seen", F.col("round_id")), F.lit(False)).cast("int").alias("available"),
     )
 

@@ -104,12 +104,11 @@ def select_parameters(df: DataFrame, param: str = "param") -> DataFrame:
 
 
 def guidance_batch(
-    prior: DataFrame, key: str, num_rounds: int, every: int = fv.GUIDANCE_EVERY,
-    max_rounds: int | None = fv.GUIDANCE_MAX_ROUNDS, max_samples: int | None = fv.GUIDANCE_MAX_SAMPLES,
-    seed: int = fv.SEED, template: str = fv.GUIDANCE_TEXT,
+    prior: DataFrame, key: str, num_rounds: int, template: str, every: int = fv.GUIDANCE_EVERY,
+    max_rounds: int | None = None, max_samples: int | None = None, seed: int = fv.SEED,
 ) -> DataFrame:
-    """``round_id, <key>, text, label`` of every guidance round: a repeatable sample of the
-    distinct public rows, worded as guidance."""
+    """``round_id, <key>, text, label`` of every guidance round: the distinct public rows, or a
+    repeatable sample of ``max_samples`` of them, worded as ``template`` says."""
     rounds = [
         r for r in range(0, num_rounds, max(1, every)) if max_rounds is None or r // max(1, every) < max_rounds
     ]

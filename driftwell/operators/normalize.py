@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +54,10 @@ def parse_time(df: DataFrame, name: str) -> Column:
     return F.try_to_timestamp(F.col(name).cast("string")).cast("timestamp_ntz")
 
 
+def _hours_between(start: str, end: str) -> int:
+    return (datetime.fromisoformat(end) - datetime.fromisoformat(start)) // timedelta(hours=1)
+
+
 def hourly_times(df: DataFrame, key: str, now: str, anchor: str = "end", window_days: int = 30) -> DataFrame:
     """Give row i of n (in ``key`` order) an hourly time: the last row at ``now`` (``end``), or
     the first ``window_days`` before it and onwards (``start``). Adds ``ts``, ``row_idx``,
@@ -60,10 +65,13 @@ def hourly_times(df: DataFrame, key: str, now: str, anchor: str = "end", window_
     at = with_position(df, [key])
     now_c = F.lit(now).cast("timestamp_ntz")
     hour = F.expr("interval '1' hour")
+    # Positions reach farther than the calendar: rows beyond its ends share the last hour there.
     if anchor == "end":
-        ts = now_c - hour * (F.col("total_rows") - 1 - F.col("row_idx"))
+        room = F.lit(_hours_between("0001-01-01 00:00:00", now))
+        ts = now_c - hour * F.least(F.col("total_rows") - 1 - F.col("row_idx"), room)
     elif anchor == "start":
-        ts = now_c - F.expr(f"interval '{int(window_days)}' day") + hour * F.col("row_idx")
+        room = F.lit(_hours_between(now, "9999-12-31 23:00:00"))
+        ts = now_c - F.expr(f"interval '{int(window_days)}' day") + hour * F.least(F.col("row_idx"), room)
     else:
         raise ValueError(f"anchor must be 'end' or 'start', not {anchor!r}")
     return at.withColumn("ts", ts)
@@ -169,7 +177,7 @@ def clean_labels(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn(label, trim_all(F.col(label).cast("string"))).filter(F.col(label) != "")
 
 
-def guidance_text(round_id: Column, prior: Column, label: Column, topic: Column, template: str = fv.GUIDANCE_TEXT) -> Column:
+def guidance_text(round_id: Column, prior: Column, label: Column, topic: Column, template: str) -> Column:
     return fill(
         template,
         round_id=round_id,

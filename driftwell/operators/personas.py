@@ -16,7 +16,7 @@ Persona = tuple[str, list[str], str, str]
 
 def keyword_score(text: Column, keywords: Sequence[str]) -> Column:
     """How many distinct keywords occur in the text, in any case, also inside words."""
-    low = F.lower(text)
+    low = F.lower(F.coalesce(text, F.lit("")))  # a missing text has no keyword
     hits = [F.contains(low, F.lit(k)).cast("int") for k in sorted({k.lower() for k in keywords})]
     return sum(hits[1:], hits[0]) if hits else F.lit(0)
 

@@ -17,7 +17,6 @@ from driftwell.functions.text import is_blank, tokens, trim_all
 from driftwell.operators.bigram import transitions, unfold
 from driftwell.operators.drift import current_knowledge
 from driftwell.operators.normalize import clean_labels, lookup_question
-from driftwell.operators.selection import top_k
 
 
 def first_rows(df: DataFrame, n: int | None, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -47,11 +46,10 @@ def mean_loss(scored: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def text_loss(
-    df: DataFrame, model, by: Sequence[str], order: Sequence[str] = ("sample_id",), max_len: int | None = None,
-    max_samples: int | None = None,
+    df: DataFrame, model, by: Sequence[str], max_len: int | None = None,
 ) -> DataFrame:
-    """Mean token loss of the non-blank texts of each group, the first ``max_samples`` of them."""
-    kept = first_rows(df.filter(~is_blank(F.col("text"))), max_samples, order, by)
+    """Mean token loss of the non-blank texts of each group."""
+    kept = df.filter(~is_blank(F.col("text")))
     return mean_loss(model.nll(target_pairs(kept, by, max_len=max_len)), [*model.adds, *by])
 
 
@@ -75,23 +73,19 @@ def _mean_of(losses: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def loss_by_persona(
-    df: DataFrame, model, by: Sequence[str] = (), order: Sequence[str] = ("sample_id",), max_len: int | None = None,
-    max_samples: int | None = None, losses: DataFrame | None = None, key: str = "sample_id",
+    df: DataFrame, model, by: Sequence[str] = (), max_len: int | None = None, losses: DataFrame | None = None,
+    key: str = "sample_id",
 ) -> DataFrame:
     """Loss and perplexity per persona and region; the sample number counts blank texts too.
     ``losses`` of all texts, if known, spare scoring them again."""
     groups = [*by, "persona", "region"]
     at = [*model.adds, *groups]
     df = df.filter(F.col("persona").isNotNull() & F.col("region").isNotNull())
-    size = F.count(F.lit(1))
-    sizes = df.groupBy(*groups).agg(
-        (size if max_samples is None else F.least(size, F.lit(max_samples))).cast("int").alias("num_eval_samples")
-    )
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).cast("int").alias("num_eval_samples"))
     if losses is None:
-        loss = text_loss(df, model, groups, order, max_len, max_samples).drop("tokens")
+        loss = text_loss(df, model, groups, max_len).drop("tokens")
     else:
-        rows = df if max_samples is None else first_rows(df.filter(~is_blank(F.col("text"))), max_samples, order, groups)
-        loss = _mean_of(rows.select(*groups, key).join(losses, [*by, key]), at).drop("texts")
+        loss = _mean_of(df.select(*groups, key).join(losses, [*by, key]), at).drop("texts")
     return model.spread(sizes).join(loss, at, "left").select(
         *at, "nll", perplexity(F.col("nll")).alias("perplexity"), "num_eval_samples"
     )
@@ -136,17 +130,19 @@ def split_at_marker(
     return df.withColumns({"head": head.otherwise(term_head), "completion": completion.otherwise(term_completion)})
 
 
-def completion_window(df: DataFrame, max_len: int, head: str = "head", completion: str = "completion") -> DataFrame:
-    """Add ``_head`` and ``_completion`` token arrays: the completion keeps its first
-    ``max_len - 1`` tokens, the head the last ones that still fit; and ``targets``, the number
-    of tokens to score."""
-    c = F.slice(tokens(F.col(completion)), 1, max(1, max_len - 1))
+def completion_window(
+    df: DataFrame, max_len: int | None = None, head: str = "head", completion: str = "completion"
+) -> DataFrame:
+    """Add ``_head`` and ``_completion`` token arrays and ``targets``, the number of tokens to
+    score. With ``max_len`` the completion keeps its first ``max_len - 1`` tokens and the head
+    the last ones that still fit."""
+    c = tokens(F.col(completion), None if max_len is None else max(1, max_len - 1))
     df = df.withColumn("_completion", F.coalesce(c, F.array().cast("array<string>"))).withColumn(
         "_head", F.coalesce(tokens(F.col(head)), F.array().cast("array<string>"))
     )
-    budget = F.greatest(F.lit(max_len) - F.size("_completion"), F.lit(0))
-    keep = F.least(budget, F.size("_head"))
-    df = df.withColumn("_head", F.slice("_head", F.size("_head") - keep + 1, keep))
+    if max_len is not None:
+        keep = F.least(F.greatest(F.lit(max_len) - F.size("_completion"), F.lit(0)), F.size("_head"))
+        df = df.withColumn("_head", F.slice("_head", F.size("_head") - keep + 1, keep))
     unscored = (F.size("_head") == 0).cast("int")
     return df.withColumn("targets", F.greatest(F.size("_completion") - unscored, F.lit(0)))
 
@@ -161,14 +157,13 @@ def completion_pairs(windowed: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def completion_loss(df: DataFrame, model, by: Sequence[str], max_len: int = fv.MAX_TOKENS) -> DataFrame:
+def completion_loss(df: DataFrame, model, by: Sequence[str], max_len: int | None = None) -> DataFrame:
     """Mean loss of completion tokens given the head, per group."""
     return mean_loss(model.nll(completion_pairs(completion_window(df, max_len), by)), [*model.adds, *by])
 
 
-def _drift_loss(split, df: DataFrame, model, by, order, max_len, max_samples, names) -> DataFrame:
-    kept = first_rows(current_knowledge(df), max_samples, order, by)
-    windowed = completion_window(split(kept).filter(F.col("completion").isNotNull()), max_len)
+def _drift_loss(split, df: DataFrame, model, by, max_len, names) -> DataFrame:
+    windowed = completion_window(split(current_knowledge(df)).filter(F.col("completion").isNotNull()), max_len)
     counts = model.spread(windowed.groupBy(*by).agg(F.count_if(F.col("targets") > 0).alias("samples")))
     at = [*model.adds, *by]
     loss = mean_loss(model.nll(completion_pairs(windowed, by)), at)
@@ -187,26 +182,23 @@ def _side_by_side(one: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def drift_completion_loss(
-    df: DataFrame, model, by: Sequence[str] = (), order: Sequence[str] = ("sample_id",), max_len: int = fv.MAX_TOKENS,
-    max_samples: int | None = None, prefix: str = "current_knowledge",
+    df: DataFrame, model, by: Sequence[str] = (), max_len: int | None = None, prefix: str = "current_knowledge",
 ) -> DataFrame:
     """Loss on the appended concept text only."""
     names = [f"{prefix}_{s}" for s in ("nll", "perplexity", "samples", "tokens")]
-    return _drift_loss(split_at_marker, df, model, by, order, max_len, max_samples, names)
+    return _drift_loss(split_at_marker, df, model, by, max_len, names)
 
 
 def drift_target_loss(
-    df: DataFrame, model, by: Sequence[str] = (), order: Sequence[str] = ("sample_id",), max_len: int = fv.MAX_TOKENS,
-    max_samples: int | None = None, prefix: str = "current_target",
+    df: DataFrame, model, by: Sequence[str] = (), max_len: int | None = None, prefix: str = "current_target",
 ) -> DataFrame:
     """Loss on the concept's term only."""
     names = [f"{prefix}_{s}" for s in ("nll", "perplexity", "samples", "tokens")]
-    return _drift_loss(split_at_term, df, model, by, order, max_len, max_samples, names)
+    return _drift_loss(split_at_term, df, model, by, max_len, names)
 
 
 def choice_pairs(
-    df: DataFrame, by: Sequence[str] = (), order: Sequence[str] = ("sample_id",), max_len: int = fv.MAX_TOKENS,
-    max_samples: int | None = None, choices: Sequence[str] = fv.SENTIMENTS,
+    df: DataFrame, by: Sequence[str] = (), max_len: int | None = None, choices: Sequence[str] = fv.SENTIMENTS,
 ) -> DataFrame:
     """Counted (prev, tok) of every choice after the question, per distinct code and answer."""
     options = [c.strip().lower() for c in choices if c.strip()]
@@ -214,7 +206,7 @@ def choice_pairs(
     gold = F.lower(trim_all(F.coalesce("drift_answer", F.lit(""))))
     rows = df.withColumns({"_code": code, "gold": gold}).filter("_code <> '' and gold <> ''")
     asked = (
-        first_rows(rows, max_samples, order, by).filter(F.col("gold").isin(options))
+        rows.filter(F.col("gold").isin(options))
         .groupBy(*by, "_code", "gold").agg(F.count(F.lit(1)).alias("rows"))
     )
     listed = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("choice")) for i, c in enumerate(options)])
@@ -225,8 +217,7 @@ def choice_pairs(
 
 
 def private_code_choice(
-    df: DataFrame, model, by: Sequence[str] = (), order: Sequence[str] = ("sample_id",), max_len: int = fv.MAX_TOKENS,
-    max_samples: int | None = None, choices: Sequence[str] = fv.SENTIMENTS,
+    df: DataFrame, model, by: Sequence[str] = (), max_len: int | None = None, choices: Sequence[str] = fv.SENTIMENTS,
 ) -> DataFrame:
     """Forced choice: is the right answer the one with the lowest loss after the question?
 
@@ -234,9 +225,7 @@ def private_code_choice(
     first and every such pair is scored once.
     """
     key = [*by, "_code", "gold", "rows", "ord", "choice"]
-    scored = mean_loss(
-        model.nll(choice_pairs(df, by, order, max_len, max_samples, choices)), [*model.adds, *key]
-    )
+    scored = mean_loss(model.nll(choice_pairs(df, by, max_len, choices)), [*model.adds, *key])
     per_code = (
         scored.groupBy(*model.adds, *by, "_code", "gold", "rows")
         .agg(
@@ -262,22 +251,22 @@ def private_code_choice(
 # --- labels -----------------------------------------------------------------------------------
 
 
-def label_space(df: DataFrame, by: Sequence[str] = (), label: str = "label", limit: int = 5) -> DataFrame:
-    """``label, ord`` per group: all labels by name, or if there are more than ``limit`` the
-    most frequent ones by count. At most ``limit`` rows per group."""
-    counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
-    # limit + 1 labels tell whether there are more than the limit.
-    order = [F.desc("n"), F.col(label)]
-    head = top_k(counts, by, order, limit + 1) if by else counts.orderBy(*order).limit(limit + 1)
-    packed = head.groupBy(*by).agg(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(label).alias("label"))).alias("_all"))
-    by_name = F.array_sort(F.transform("_all", lambda s: s["label"]))
-    by_count = F.transform(F.slice(F.array_sort("_all"), 1, limit), lambda s: s["label"])
-    return packed.select(*by, F.posexplode(F.when(F.size("_all") > limit, by_count).otherwise(by_name)).alias("ord", "label"))
+def label_space(df: DataFrame, by: Sequence[str] = (), label: str = "label", limit: int | None = None) -> DataFrame:
+    """``label, ord`` per group: all labels by name. With a ``limit``, of groups that have more
+    labels only the most frequent ones, by count."""
+    counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n")).withColumnRenamed(label, "label")
+    by_name = Window.partitionBy(*by).orderBy("label")
+    ranked = counts.withColumn("ord", F.row_number().over(by_name) - 1)
+    if limit is not None:
+        by_count = Window.partitionBy(*by).orderBy(F.desc("n"), "label")
+        ranked = ranked.withColumns({"_k": F.row_number().over(by_count) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*by))})
+        ranked = ranked.filter(F.col("_k") < limit).withColumn("ord", F.when(F.col("_n") > limit, F.col("_k")).otherwise(F.col("ord")))
+    return ranked.select(*by, "ord", "label")
 
 
 def in_label_space(df: DataFrame, space: DataFrame, by: Sequence[str] = (), label: str = "label") -> DataFrame:
-    """Rows whose label is in the space, which holds at most five rows per group."""
-    return df.join(F.broadcast(space.select(*by, F.col("label").alias(label))), [*by, label], "left_semi")
+    """Rows whose label is in the space."""
+    return df.join(space.select(*by, F.col("label").alias(label)), [*by, label], "left_semi")
 
 
 def _prefixes(space: DataFrame) -> DataFrame:
@@ -317,21 +306,20 @@ def _label_tokens(space: DataFrame) -> Column:
 
 
 def label_scores(
-    df: DataFrame, space: DataFrame, model, key: str = "sample_id", max_len: int | None = fv.MAX_TOKENS, mean: bool = False
+    df: DataFrame, space: DataFrame, model, key: str = "sample_id", max_len: int | None = None, mean: bool = False
 ) -> DataFrame:
-    """Log-likelihood of every label of the space after each text; NULL where truncation cuts
-    the whole label off. ``mean`` gives the older per-token variant."""
+    """Log-likelihood of every label of the space after each text; NULL where a window cuts the
+    whole label off. ``mean`` gives the older per-token variant. The result has a row per text
+    and label; the labels of a space are classes, so they lie in one array."""
     prefixes = _label_prefixes(space, model, [], mean)
     listed = space.agg(F.collect_list(F.struct("label", F.size(tokens(F.col("label"))).alias("len"))).alias("o")).scalar()
     rows = df.select(key, _room(F.col("text"), max_len).alias("_room"), listed.alias("_o"))
     rows = rows.select(key, "_room", F.inline("_o").alias("label", "_len")).withColumn("kept", F.least("_room", "_len"))
-    # A few rows per label of a space of at most five.
-    return rows.join(F.broadcast(prefixes.drop("ord")), ["label", "kept"], "left").select(key, "label", "score")
+    return rows.join(prefixes.drop("ord"), ["label", "kept"], "left").select(key, "label", "score")
 
 
 def label_accuracy(
-    df: DataFrame, model, by: Sequence[str] = (), order: Sequence[str] = ("sample_id",),
-    max_len: int | None = fv.MAX_TOKENS, max_samples: int | None = None, mean: bool = False,
+    df: DataFrame, model, by: Sequence[str] = (), max_len: int | None = None, mean: bool = False,
     space: DataFrame | None = None,
 ) -> DataFrame:
     """Share of samples per persona whose best-scoring label is their own.
@@ -339,7 +327,7 @@ def label_accuracy(
     The prediction depends only on how many label tokens fit after the text, so samples are
     counted per (persona, label, room) before any label is scored.
     """
-    work = first_rows(clean_labels(df), max_samples, order, by)
+    work = clean_labels(df)
     space = label_space(work, by) if space is None else space
     room = F.least(_room(F.col("text"), max_len), _label_tokens(space))
     tally = (
@@ -366,24 +354,42 @@ def label_accuracy(
 # --- terms --------------------------------------------------------------------------------------
 
 
-def match_terms(df: DataFrame, terms: DataFrame, rounds: str = "round_id") -> DataFrame:
-    """Rows of ``df`` once per active term they contain, in any case, also inside words.
+GRAM = 4, 8  # characters of a term that a token must hold, for shorter and for longer terms
+
+
+def token_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """``tok, term``: which of the different ``tok`` of ``words`` contain which of the ``term`` of
+    ``terms``. A term is looked up by its first four characters, or eight if it has as many."""
+    short, long = GRAM
+    first = F.when(F.char_length("term") >= long, F.left("term", F.lit(long))).otherwise(F.left("term", F.lit(short)))
+    keyed = terms.select("term", first.alias("_gram")).distinct()
+
+    def grams(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.char_length("tok") - n + 1)
+        return F.when(F.char_length("tok") >= n, F.transform(starts, lambda i: F.substr(F.col("tok"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    cut = words.select("tok", F.explode(F.array_distinct(F.concat(grams(short), grams(long)))).alias("_gram"))
+    return cut.join(keyed, "_gram").filter(F.contains("tok", F.col("term"))).select("tok", "term")
+
+
+def match_terms(df: DataFrame, terms: DataFrame, rounds: str = "round_id", key: str = "sample_id") -> DataFrame:
+    """``round_id, <key>, term``: which texts contain, in any case, which terms that have been
+    seen by then. ``terms`` holds ``term`` (longer than three characters, without white space)
+    and ``first_seen_round``.
 
-    ``terms`` holds ``round_id, term``: what to look for in each round. It is packed into one
-    array per round and the arrays join on the round, so no text meets a term of another round.
-    There is one array per round of a few terms per earlier round, so it is broadcast; else the
-    texts would be shuffled by a handful of round ids.
+    A term without white space lies within one token, so the different tokens of all texts are
+    matched with the terms once, and texts meet the matches by token.
     """
-    packed = terms.groupBy(rounds).agg(F.collect_set(F.lower("term")).alias("_terms"))
-    low = df.join(F.broadcast(packed), rounds).withColumn("_low", F.lower("text"))
-    return low.withColumn(
-        "term", F.explode(F.filter("_terms", lambda t: F.contains(F.col("_low"), t)))
-    ).drop("_terms", "_low")
+    lowered = terms.select(F.lower("term").alias("term"), "first_seen_round")
+    held = df.select(rounds, key, F.explode(F.array_distinct(tokens(F.col("text")))).alias("tok"))
+    matches = token_terms(held.select("tok").distinct(), lowered).join(lowered, "term")
+    met = held.join(matches, "tok").filter(F.col("first_seen_round") <= F.col(rounds))
+    return met.select(rounds, key, "term").distinct()
 
 
 def term_perplexity(
-    df: DataFrame, terms: DataFrame, model, by: Sequence[str] = ("round_id",), order: Sequence[str] = ("sample_id",),
-    max_len: int | None = None, max_samples: int | None = None, losses: DataFrame | None = None, key: str = "sample_id",
+    df: DataFrame, terms: DataFrame, model, by: Sequence[str] = ("round_id",), max_len: int | None = None,
+    losses: DataFrame | None = None, key: str = "sample_id",
 ) -> DataFrame:
     """Loss over the texts that contain a term, and how many there are, per round and term.
 
@@ -391,7 +397,7 @@ def term_perplexity(
     meets the terms it contains.
     """
     groups = [*by, "term"]
-    matched = first_rows(match_terms(df, terms), max_samples, order, groups).select(*groups, key)
+    matched = match_terms(df, terms, by[0], key)
     if losses is None:
         losses = sample_losses(target_pairs(df, [*by, key], max_len=max_len), model, by, key)
     mean = _mean_of(model.spread(matched).join(losses, [*model.adds, *by, key], "left"), [*model.adds, *groups])

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from driftwell import fixed_values as fv
 from driftwell.functions.text import key_hash
-from driftwell.session import checkpoint_dir
+from driftwell.operators.rounds import global_positions
+from driftwell.session import work_path
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
@@ -32,8 +33,22 @@ def sample_uniform(pool: DataFrame, k: int = fv.CLIENTS_PER_ROUND, seed: int = f
 
 def sample_from_all(clients: DataFrame, num_rounds: int, k: int = fv.CLIENTS_PER_ROUND, seed: int = fv.SEED) -> DataFrame:
     """The same over all clients, available or not, for every round."""
-    pool = clients.select("client_id", F.explode(F.sequence(F.lit(0), F.lit(num_rounds - 1))).alias("round_id"))
-    return sample_uniform(pool, k, seed)
+    numbered = global_positions(clients.select("client_id"), ["client_id"], "client_no")
+    total = numbered.count()
+    take = min(k, total)
+
+    def draw(chosen: Column, i: Column) -> Column:
+        """Add to the chosen numbers one below ``total - take + i + 1``, the largest if the draw
+        is taken already; so every set of ``take`` numbers is equally likely."""
+        last = F.lit(total - take) + i
+        number = key_hash(F.col("round_id"), seed, i) % (last + 1)
+        return F.concat(chosen, F.array(F.when(F.array_contains(chosen, number), last).otherwise(number)))
+
+    steps = F.sequence(F.lit(0), F.lit(take - 1)).cast("array<bigint>") if take else F.array().cast("array<bigint>")
+    rounds = clients.sparkSession.range(num_rounds).select(F.col("id").cast("int").alias("round_id"))
+    drawn = rounds.select("round_id", F.posexplode(F.aggregate(steps, F.array().cast("array<bigint>"), draw)).alias("rank", "client_no"))
+    # A few rows per round, so the clients are numbered once and never laid out by round.
+    return drawn.join(numbered, "client_no").select("round_id", "client_id", (F.col("rank") + 1).alias("rank"))
 
 
 def client_features(stream: DataFrame) -> DataFrame:
@@ -146,6 +161,10 @@ def as_of_sums(
     return both.withColumns({v: F.sum(v).over(w) for v in values}).filter("_ask").select(*cols, *values)
 
 
+#: Tasks that write and read the features of one round; raise it for rounds of very many clients.
+FEATURE_PARTS = 16
+
+
 def select_sequentially(
     spark: SparkSession, features: DataFrame, num_rounds: int, k: int = fv.CLIENTS_PER_ROUND
 ) -> DataFrame:
@@ -156,9 +175,9 @@ def select_sequentially(
     round reads its own part. What passes between rounds is bounded by ``k`` rows per round:
     selections per persona and the last selection of each client selected so far.
     """
-    path = f"{checkpoint_dir(spark)}/features-{spark.sparkContext.applicationId}-{id(features)}"
+    path = work_path(spark, "features")
     cols = ["client_id", "persona", "probability", "mean_chars"]
-    features.select("round_id", *cols).repartition("round_id", F.pmod(F.hash("client_id"), F.lit(16))).write.mode(
+    features.select("round_id", *cols).repartition("round_id", F.pmod(F.hash("client_id"), F.lit(FEATURE_PARTS))).write.mode(
         "overwrite"
     ).partitionBy("round_id").parquet(path)
     stored = spark.read.schema(
@@ -178,7 +197,8 @@ def select_sequentially(
         chosen = scored.orderBy(F.desc(F.round("score", 12)), "client_id").select("client_id", "persona").take(k)
         for rank, row in enumerate(chosen, 1):
             log.append((r, row["client_id"], row["persona"], rank))
-            counts[row["persona"]] = counts.get(row["persona"], 0) + 1
+            if row["persona"] is not None:  # a client whose samples have no persona
+                counts[row["persona"]] = counts.get(row["persona"], 0) + 1
             seen[row["client_id"]] = nonempty
         nonempty += bool(chosen)
     id_type = stored.schema["client_id"].dataType.simpleString()

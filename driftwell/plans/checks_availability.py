@@ -52,7 +52,9 @@ def split(spark, sf):
 
 @query("e5_rejoined", f"WITH {ds.SQL_STREAM} SELECT sample_id, available FROM stream")
 def rejoined(spark, sf):
-    return av.rejoin_availability(ds.sample_facts(spark, sf), ds.availability(spark, sf)).select("sample_id", "available")
+    # Clients and rounds without an event have no row: the join reads them as not available.
+    seen = ds.activity(spark, sf).select("*", F.lit(1).alias("available"), F.lit(None).cast("double").alias("availability_probability"))
+    return av.rejoin_availability(ds.sample_facts(spark, sf), seen).select("sample_id", "available")
 
 
 @query("e6_client_round_tuples", f"WITH {ds.SQL_STREAM} SELECT DISTINCT client_id, round_id, available, persona, region FROM stream")

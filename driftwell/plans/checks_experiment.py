@@ -6,12 +6,19 @@ from pyspark.sql import functions as F
 
 from driftwell.operators import bigram as bg, selection as sel
 from driftwell.operators.drift import inject_concepts
-from driftwell.plans import checks_scoring as cs, checks_selection as cl, datasets as ds, experiment as ex
+from driftwell.plans import checks_scoring as cs, checks_selection as cl, checks_sources as src, datasets as ds, experiment as ex
 from driftwell.plans.checks_scoring import rounded
-from driftwell.plans.registry import query
+from driftwell.plans.registry import ORACLES, query
 from driftwell.session import durable
 
-METHODS = ["random", "no_availability", "crosslm"]
+METHODS = ["aws", "random", "oracle", "no_availability", "crosslm"]
+# Guidance comes from topics of their own, none of the clients' texts.
+SQL_PRIOR = f"(SELECT prior_id AS key, text, label, topic FROM ({ORACLES['a7_prior_corpus']}))"
+
+
+def guidance_of(spark, sf):
+    prior = src.prior_corpus(spark, sf).withColumnRenamed("prior_id", "key")
+    return bg.guidance_batch(prior, "key", ds.EVENT_ROUNDS, ds.GUIDANCE_TEMPLATE)
 
 
 def parts(spark, sf):
@@ -19,17 +26,19 @@ def parts(spark, sf):
     facts = durable(ds.stream_facts(spark, sf))
     docs = ds.documents(spark, sf).select("sample_id", F.lit("").alias("prompt"), "text", F.col("source").alias("label"))
     stream = inject_concepts(docs.join(facts, "sample_id"), ds.EVENT_ROUNDS, ds.CONCEPTS)
-    chosen = durable(ex.select_clients(stream, ds.active_clients(spark, sf), METHODS, ds.EVENT_ROUNDS))
-    guidance = cs.guidance_of(spark, sf)
+    chosen = durable(ex.select_clients(stream, ds.clients(spark, sf), METHODS, ds.EVENT_ROUNDS))
+    guidance = guidance_of(spark, sf)
     model = ex.learn(stream, chosen, guidance, METHODS)
     return stream, chosen, guidance, bg.RoundModel(durable(model.increments), METHODS)
 
 
-LEARNED = rf"""{cs.SQL_DRIFT_STREAM}, {cs.SQL_GUIDANCE},
- offer AS (SELECT DISTINCT 'random' AS method, round_id, client_id FROM stream WHERE available = 1
-   UNION ALL SELECT 'no_availability', CAST(r AS INTEGER), client_id FROM people, range({ds.EVENT_ROUNDS}) t(r)),
- chosen AS (SELECT method, round_id, client_id FROM (SELECT *, row_number() OVER (PARTITION BY method, round_id ORDER BY {cl.DRAW}, client_id) AS rank FROM offer)
-   WHERE rank <= 5),
+LEARNED = rf"""{cs.SQL_DRIFT_STREAM}, {cs.sql_guidance(SQL_PRIOR, ds.EVENT_ROUNDS)},
+ {cl.SQL_FEATURES.replace("FROM stream", "FROM drifted")}, {cl.SQL_SEQUENTIAL}, {cl.SQL_FROM_ALL},
+ offer AS (SELECT DISTINCT round_id, client_id FROM stream WHERE available = 1),
+ chosen AS (SELECT 'aws' AS method, round_id, client_id, rank FROM sequential
+   UNION ALL SELECT 'random', round_id, client_id, CAST(rank AS INTEGER) FROM (SELECT *, row_number() OVER (PARTITION BY round_id ORDER BY {cl.DRAW}, client_id) AS rank FROM offer)
+     WHERE rank <= 5
+   UNION ALL SELECT m, round_id, client_id, CAST(rank AS INTEGER) FROM from_all, unnest(['oracle', 'no_availability']) t(m)),
  weights AS (SELECT c.method, c.round_id, c.client_id, count(*) AS weight FROM chosen c JOIN drifted d USING (round_id, client_id) GROUP BY ALL),
  totals AS (SELECT method, round_id, sum(weight) AS total FROM weights GROUP BY ALL),
  {cs.sql_transitions("tr", "drifted", "sample_id, round_id, client_id, persona, region")},
@@ -40,6 +49,20 @@ LEARNED = rf"""{cs.SQL_DRIFT_STREAM}, {cs.SQL_GUIDANCE},
    UNION ALL SELECT 'crosslm', round_id, prev, tok, count(*) FROM gtr GROUP BY ALL)"""
 
 
+@query("j16_selections", f"WITH {LEARNED} SELECT method, round_id, client_id, rank FROM chosen")
+def selections(spark, sf):
+    return parts(spark, sf)[1].select("method", "round_id", "client_id", "rank")
+
+
+@query(
+    "j16_imbalance",
+    f"""WITH {LEARNED}, n AS (SELECT method, client_id, count(*) AS n FROM chosen GROUP BY ALL)
+    SELECT method, round((max(n) - min(n)) / (avg(n) + 1e-8), 6) AS representation_imbalance FROM n GROUP BY 1""",
+)
+def imbalance(spark, sf):
+    return rounded(ex.representation(parts(spark, sf)[1]), "representation_imbalance")
+
+
 @query("h5_learned_increments", f"WITH {LEARNED} SELECT method, round_id, prev, tok, round(value, 6) AS value FROM inc")
 def increments(spark, sf):
     return rounded(parts(spark, sf)[3].increments, "value").select("method", "round_id", "prev", "tok", "value")
@@ -47,14 +70,11 @@ def increments(spark, sf):
 
 # Everything a round's pairs need, from the increments of this and earlier rounds.
 LOSS = f"""{LEARNED},
- room AS (SELECT sample_id, round_id, persona, label, greatest(256 - (len({cs.TOKENS.format("text")}) + 2), 0) AS room FROM drifted),
- lc AS (SELECT round_id, label, count(*) AS n, count(*) OVER (PARTITION BY round_id) AS labels,
-   row_number() OVER (PARTITION BY round_id ORDER BY count(*) DESC, label) AS by_n, row_number() OVER (PARTITION BY round_id ORDER BY label) AS by_name
-   FROM drifted GROUP BY round_id, label),
- space AS (SELECT round_id, label, CASE WHEN labels > 5 THEN by_n ELSE by_name END AS ord FROM lc WHERE labels <= 5 OR by_n <= 5),
+ room AS (SELECT sample_id, round_id, persona, label FROM drifted),
+ space AS (SELECT round_id, label, row_number() OVER (PARTITION BY round_id ORDER BY label) AS ord FROM drifted GROUP BY round_id, label),
  {cs.SQL_SPLIT.replace("split AS", "msplit AS")}, {cs.SQL_SPLIT_TERM.replace("split AS", "tsplit AS")},
- {cs.sql_completion(256).replace("FROM split", "FROM msplit").replace("arrays", "marrays").replace("joined", "mjoined").replace("pairs AS", "mpairs AS")},
- {cs.sql_completion(256).replace("FROM split", "FROM tsplit").replace("arrays", "tarrays").replace("joined", "tjoined").replace("pairs AS", "tpairs AS")},
+ {cs.sql_completion().replace("FROM split", "FROM msplit").replace("arrays", "marrays").replace("joined", "mjoined").replace("pairs AS", "mpairs AS")},
+ {cs.sql_completion().replace("FROM split", "FROM tsplit").replace("arrays", "tarrays").replace("joined", "tjoined").replace("pairs AS", "tpairs AS")},
  asks AS (SELECT DISTINCT round_id, prev, tok FROM (
    SELECT round_id, prev, tok FROM tr UNION ALL SELECT round_id, prev, tok FROM mpairs UNION ALL SELECT round_id, prev, tok FROM tpairs
    UNION ALL SELECT round_id, 'answer:', unnest(['positive', 'neutral', 'negative']) FROM drifted
@@ -80,9 +100,8 @@ LOSS = f"""{LEARNED},
 PERSONA = f"""{LOSS},
  size_of AS (SELECT round_id, persona, region, count(*) AS num FROM drifted GROUP BY ALL),
  pl AS (SELECT l.method, t.round_id, t.persona, t.region, sum(l.nll) / count(*) AS nll FROM tr t JOIN loss l USING (round_id, prev, tok) GROUP BY ALL),
- options AS (SELECT r.sample_id, r.round_id, r.persona, r.label AS gold, s.label AS option, s.ord, r.room, m.method,
-     CASE WHEN r.room >= 1 THEN -l.nll ELSE '-inf'::DOUBLE END AS score
-   FROM room r JOIN space o ON o.round_id = r.round_id AND o.label = r.label JOIN space s ON s.round_id = r.round_id, methods m
+ options AS (SELECT r.sample_id, r.round_id, r.persona, r.label AS gold, s.label AS option, s.ord, m.method, -l.nll AS score
+   FROM room r JOIN space s ON s.round_id = r.round_id, methods m
    LEFT JOIN loss l ON l.method = m.method AND l.round_id = r.round_id AND l.prev = 'sentiment:' AND l.tok = s.label),
  preds AS (SELECT method, round_id, persona, sample_id, gold, first(option ORDER BY score DESC, ord) AS pred FROM options GROUP BY ALL),
  acc AS (SELECT method, round_id, persona, avg(CAST(pred = gold AS INTEGER)) AS accuracy FROM preds GROUP BY ALL),
@@ -119,7 +138,7 @@ COMPARISON = f"""{PERSONA},
  guess AS (SELECT sample_id, round_id, method, gold, first(option ORDER BY nll, ord) AS pred, max(nll) FILTER (WHERE option = gold) AS g,
    min(nll) FILTER (WHERE option <> gold) AS d FROM choice GROUP BY ALL),
  pc AS (SELECT method, round_id, avg(CAST(pred = gold AS INTEGER)) AS acc, avg(d - g) AS margin, avg(g) AS gold_nll, count(*) AS n FROM guess GROUP BY ALL),
- matched AS (SELECT s.sample_id, s.round_id, t.term FROM drifted s JOIN tracked t ON t.first_seen_round <= s.round_id AND contains(lower(s.text), t.term)),
+ {cs.SQL_MATCHED.format("drifted")},
  text_loss AS (SELECT l.method, t.sample_id, sum(l.nll) AS total, count(*) AS n FROM tr t JOIN loss l USING (round_id, prev, tok) GROUP BY ALL),
  term_scores AS (SELECT x.method, m.round_id, m.term, exp(least(sum(x.total) / sum(x.n), 20)) AS perplexity FROM matched m JOIN text_loss x USING (sample_id) GROUP BY ALL),
  firsts AS (SELECT s.method, t.term, t.first_seen_round, s.perplexity * 0.9::DOUBLE AS thr FROM tracked t JOIN term_scores s ON s.term = t.term AND s.round_id = t.first_seen_round),
@@ -155,4 +174,4 @@ def comparison(spark, sf):
     metrics = sel.round_metrics(sel.selection_summary(chosen, METHODS, ds.EVENT_ROUNDS), told)
     scored = ex.score(stream, model)
     per_persona = durable(ex.persona_metrics(stream, scored))
-    return rounded(ex.evaluate(stream, scored, per_persona, metrics, ds.EVENT_ROUNDS)[2], *ROUNDED)
+    return rounded(ex.evaluate(stream, scored, per_persona, metrics)[2], *ROUNDED)

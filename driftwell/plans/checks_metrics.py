@@ -10,6 +10,7 @@ from driftwell.plans import checks_scoring as cs, datasets as ds
 from driftwell.plans.checks_scoring import rounded
 from driftwell.plans.datasets import table
 from driftwell.plans.registry import query
+from driftwell.session import durable
 
 
 def fine(df, *cols):
@@ -85,8 +86,8 @@ SQL_LAGS = f"""{cs.SQL_TERM_SCORES},
 
 def lags_of(spark, sf):
     df = ds.samples(spark, sf)
-    tracked = cs.tracked_of(df)
-    scores = cs.term_scores_of(spark, sf).withColumn("method", F.lit("plain"))
+    tracked = durable(cs.tracked_of(df))
+    scores = cs.term_scores_of(spark, sf, df, tracked).withColumn("method", F.lit("plain"))
     return tm.adaptation_tracking(scores, tracked)
 
 

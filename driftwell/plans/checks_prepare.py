@@ -167,16 +167,14 @@ def clean_labels(spark, sf):
 
 @query(
     "b14_guidance_text",
-    "SELECT doc_id, 'Stale teacher guidance round 5.' || chr(10) || 'Static public-prior topic: ' || CASE WHEN lang = 'de' THEN "
-    "'general financial markets' ELSE source END || chr(10) || 'Teacher constraint: use only non-local, historically available financial priors.' "
-    "|| chr(10) || 'Student target: ' || " + TRIM.format("text") + " || chr(10) || 'Sentiment label: [' || CASE WHEN lang = 'fr' THEN 'neutral' "
-    "ELSE lang END || ']' AS text FROM documents",
+    "SELECT doc_id, 'Reading note 5 on ' || CASE WHEN lang = 'de' THEN 'general financial markets' ELSE source END || chr(10) || "
+    + TRIM.format("text") + " || chr(10) || 'Tone: ' || CASE WHEN lang = 'fr' THEN 'neutral' ELSE lang END AS text FROM documents",
 )
 def guidance_text(spark, sf):
     label = F.when(F.col("lang") == "fr", F.lit("  ")).otherwise(F.concat(F.lit(" "), "lang"))
     topic = F.when(F.col("lang") != "de", F.col("source"))
     return table(spark, sf, "documents").select(
-        "doc_id", nz.guidance_text(F.lit(5), F.col("text"), label, topic).alias("text")
+        "doc_id", nz.guidance_text(F.lit(5), F.col("text"), label, topic, ds.GUIDANCE_TEMPLATE).alias("text")
     )
 
 

@@ -62,11 +62,12 @@ def tokens(spark, sf):
 
 @query(
     "h1_truncated",
-    f"""SELECT doc_id AS sample_id, CAST(least(len(t), 256) AS INTEGER) AS tokens, md5(array_to_string(t[1:256], ' ')) AS digest
+    f"""SELECT doc_id AS sample_id, CAST(len(t) AS INTEGER) AS tokens, md5(array_to_string(t, ' ')) AS digest
     FROM (SELECT doc_id, {TOKENS.format("text")} AS t FROM documents)""",
 )
-def truncated(spark, sf):
-    df = bg.with_tokens(ds.documents(spark, sf), max_len=256)
+def digest(spark, sf):
+    """The truncation is off: every token counts."""
+    df = bg.with_tokens(ds.documents(spark, sf))
     return df.select("sample_id", F.size("_toks").alias("tokens"), F.md5(F.concat_ws(" ", "_toks")).alias("digest"))
 
 
@@ -126,34 +127,35 @@ def round_average(spark, sf):
     return rounded(bg.weighted_average(bg.fit(df, keys), bg.sample_weights(df, keys), ["round_id"], ["client_id"], ["prev", "tok"]), "value")
 
 
-SQL_GUIDANCE = rf"""distinct_rows AS (SELECT text, source AS label, lang AS topic, min(doc_id) AS doc_id FROM documents GROUP BY ALL),
- offered AS (SELECT d.*, CAST(r AS INTEGER) AS round_id FROM distinct_rows d, unnest([0, 5, 10]) t(r)),
- drawn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY round_id
-   ORDER BY {ds.sql_hash("doc_id", "':'", "(42 + round_id)")}, doc_id) AS rn FROM offered) WHERE rn <= 256),
- guidance AS (SELECT round_id, doc_id, 'Stale teacher guidance round ' || round_id || '.' || chr(10) || 'Static public-prior topic: ' || topic || chr(10)
-   || 'Teacher constraint: use only non-local, historically available financial priors.' || chr(10) || 'Student target: '
-   || regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) || 'Sentiment label: [' || label || ']' AS text, label FROM drawn)"""
+def sql_guidance(source: str, rounds: int = 50, every: int = 5) -> str:
+    """CTE ``guidance`` over rows of ``text, label, topic, key``; every round that gives guidance gets all of them."""
+    return rf"""distinct_rows AS (SELECT text, label, topic, min(key) AS key FROM {source} GROUP BY ALL),
+ guidance AS (SELECT CAST(r AS INTEGER) AS round_id, key, 'Reading note ' || r || ' on ' || topic || chr(10)
+   || regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) || 'Tone: ' || label AS text, label FROM distinct_rows, range(0, {rounds}, {every}) t(r))"""
 
 
-def guidance_of(spark, sf):
+SQL_DOCUMENT_PRIOR = "(SELECT doc_id AS key, text, source AS label, lang AS topic FROM documents)"
+
+
+def guidance_of(spark, sf, every=5):
     prior = table(spark, sf, "documents").select(
-        "doc_id", "text", F.col("source").alias("label"), F.col("lang").alias("topic"), F.col("doc_id").alias("client_id")
+        F.col("doc_id").alias("key"), "text", F.col("source").alias("label"), F.col("lang").alias("topic"), F.col("doc_id").alias("client_id")
     )
-    return bg.guidance_batch(prior, "doc_id", 50, max_rounds=3)
+    return bg.guidance_batch(prior, "key", 50, ds.GUIDANCE_TEMPLATE, every)
 
 
-@query("h4_guidance_batch", f"WITH {SQL_GUIDANCE} SELECT * FROM guidance")
+@query("h4_guidance_batch", f"WITH {sql_guidance(SQL_DOCUMENT_PRIOR)} SELECT * FROM guidance")
 def guidance_batch(spark, sf):
     return guidance_of(spark, sf)
 
 
 @query(
     "h5_pooled_fit",
-    f"""WITH {SQL_GUIDANCE}, {sql_transitions("tr", "guidance", "round_id")}
+    f"""WITH {sql_guidance(SQL_DOCUMENT_PRIOR, every=25)}, {sql_transitions("tr", "guidance", "round_id")}
     SELECT round_id, prev, tok, CAST(count(*) AS DOUBLE) AS value FROM tr GROUP BY ALL""",
 )
 def pooled_fit(spark, sf):
-    return bg.fit(guidance_of(spark, sf), ["round_id"])
+    return bg.fit(guidance_of(spark, sf, 25), ["round_id"])
 
 
 SQL_PAIRS = f"""{SQL_DRIFTED}, {sql_model("documents")}, {sql_transitions("tr", "drifted", "sample_id, round_id, lang")}"""
@@ -227,24 +229,26 @@ def split_at_term(spark, sf):
     return sc.split_at_term(ds.drifted_samples(spark, sf)).select("sample_id", F.md5("head").alias("head"), "completion")
 
 
-def sql_completion(max_len: int) -> str:
+def sql_completion(max_len: int | None = None) -> str:
     """CTE ``pairs`` of the scored tokens of every sample of ``split``."""
+    window = "" if max_len is None else f"[1:{max_len - 1}]"
+    head = "h" if max_len is None else f"h[greatest(len(h) - ({max_len} - len(c)) + 1, 1):]"
+    head_len = "len(h)" if max_len is None else f"least(len(h), {max_len} - len(c))"
     return f"""
- arrays AS (SELECT sample_id, round_id, {TOKENS.format("head")} AS h, {TOKENS.format("completion")}[1:{max_len - 1}] AS c
+ arrays AS (SELECT sample_id, round_id, {TOKENS.format("head")} AS h, {TOKENS.format("completion")}{window} AS c
    FROM split WHERE completion IS NOT NULL AND drift_concept <> ''),
- joined AS (SELECT sample_id, round_id, list_concat(h[greatest(len(h) - ({max_len} - len(c)) + 1, 1):], c) AS ids,
-   least(len(h), {max_len} - len(c)) AS head_len FROM arrays),
+ joined AS (SELECT sample_id, round_id, list_concat({head}, c) AS ids, {head_len} AS head_len FROM arrays),
  pairs AS (SELECT sample_id, round_id, ids[i - 1] AS prev, ids[i] AS tok, 1 AS n FROM joined, unnest(range(2, len(ids) + 1)) u(i) WHERE i > head_len)"""
 
 
 @query(
     "i7_completion_loss",
-    f"""WITH {SQL_DRIFTED}, {SQL_SPLIT}, {sql_completion(12)}, {sql_model("documents")}, {sql_nll("scored", "pairs")}
+    f"""WITH {SQL_DRIFTED}, {SQL_SPLIT}, {sql_completion()}, {sql_model("documents")}, {sql_nll("scored", "pairs")}
     SELECT sample_id, round(sum(nll) / count(*), 6) AS nll, count(*) AS tokens FROM scored GROUP BY 1""",
 )
 def completion_loss(spark, sf):
     df = sc.split_at_marker(current_knowledge(ds.drifted_samples(spark, sf)))
-    return rounded(sc.completion_loss(df, plain_model(spark, sf), ["sample_id"], max_len=12), "nll")
+    return rounded(sc.completion_loss(df, plain_model(spark, sf), ["sample_id"]), "nll")
 
 
 def sql_drift_loss(prefix: str) -> str:
@@ -254,7 +258,7 @@ def sql_drift_loss(prefix: str) -> str:
 
 @query(
     "i8_drift_completion",
-    f"""WITH {SQL_NEWS}, {SQL_SPLIT}, {sql_completion(256)}, {sql_model("documents")}, {sql_nll("scored", "pairs")}
+    f"""WITH {SQL_NEWS}, {SQL_SPLIT}, {sql_completion()}, {sql_model("documents")}, {sql_nll("scored", "pairs")}
     {sql_drift_loss("current_knowledge")}""",
 )
 def drift_completion(spark, sf):
@@ -265,7 +269,7 @@ def drift_completion(spark, sf):
 
 @query(
     "i9_drift_target",
-    f"""WITH {SQL_NEWS}, {SQL_SPLIT_TERM}, {sql_completion(256)}, {sql_model("documents")}, {sql_nll("scored", "pairs")}
+    f"""WITH {SQL_NEWS}, {SQL_SPLIT_TERM}, {sql_completion()}, {sql_model("documents")}, {sql_nll("scored", "pairs")}
     {sql_drift_loss("current_target")}""",
 )
 def drift_target(spark, sf):
@@ -303,31 +307,31 @@ def loss_by_persona(spark, sf):
     return rounded(sc.loss_by_persona(drift_stream(spark, sf), plain_model(spark, sf)), "nll", "perplexity")
 
 
+# Terms have no white space, so a text contains one if one of its tokens does.
+SQL_MATCHED = f"""held AS (SELECT DISTINCT sample_id, round_id, unnest({TOKENS.format("text")}) AS tok FROM {{}}),
+ holds AS (SELECT tok, term, first_seen_round FROM (SELECT DISTINCT tok FROM held) JOIN tracked ON contains(tok, term)),
+ matched AS (SELECT DISTINCT sample_id, round_id, term FROM held JOIN holds USING (tok) WHERE first_seen_round <= round_id)"""
 SQL_EMERGING = rf"""words AS (SELECT round_id, unnest({TOKENS.format("text")}) AS term FROM samples),
  freq AS (SELECT round_id, term, count(*) AS n FROM words WHERE length(term) > 3 GROUP BY ALL),
- emerging AS (SELECT f.round_id, f.term, f.n FROM freq f
-   LEFT JOIN (SELECT a.round_id, a.term, sum(b.n) AS before FROM freq a JOIN freq b ON b.term = a.term AND b.round_id < a.round_id GROUP BY ALL) e
-   ON e.round_id = f.round_id AND e.term = f.term WHERE f.n >= 3 AND coalesce(before, 0) < 3),
- tracked AS (SELECT term, round_id AS first_seen_round FROM (SELECT *, row_number() OVER (PARTITION BY round_id ORDER BY term) AS rn FROM emerging) WHERE rn <= 5)"""
+ sums AS (SELECT *, sum(n) OVER (PARTITION BY term ORDER BY round_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM freq),
+ emerging AS (SELECT round_id, term, n FROM sums WHERE n >= 3 AND coalesce(before, 0) < 3),
+ tracked AS (SELECT term, round_id AS first_seen_round FROM emerging)"""
 
-SQL_TERM_SCORES = f"""{ds.SQL_SAMPLES}, {SQL_EMERGING},
- matched AS (SELECT s.sample_id, s.round_id, t.term, s.text FROM samples s JOIN tracked t
-   ON t.first_seen_round <= s.round_id AND contains(lower(s.text), t.term)),
- {sql_transitions("tr", "matched", "round_id, term")}, {sql_model("documents")},
- pairs AS (SELECT round_id, term, prev, tok, count(*) AS n FROM tr WHERE prev IS NOT NULL GROUP BY ALL), {sql_nll("scored", "pairs")},
- l AS (SELECT round_id, term, sum(nll * n) / sum(n) AS nll FROM scored GROUP BY ALL),
- c AS (SELECT round_id, term, count(*) AS term_samples FROM matched GROUP BY ALL),
- term_scores AS (SELECT c.round_id, c.term, l.nll, exp(least(l.nll, 20)) AS perplexity, c.term_samples FROM c LEFT JOIN l USING (round_id, term))"""
+SQL_TERM_SCORES = f"""{ds.SQL_SAMPLES}, {SQL_EMERGING}, {SQL_MATCHED.format("samples")},
+ {sql_transitions("tr", "samples", "sample_id")}, {sql_model("documents")},
+ pairs AS (SELECT sample_id, prev, tok, count(*) AS n FROM tr WHERE prev IS NOT NULL GROUP BY ALL), {sql_nll("scored", "pairs")},
+ text_loss AS (SELECT sample_id, sum(nll * n) AS total, sum(n) AS n FROM scored GROUP BY 1),
+ term_scores AS (SELECT round_id, term, sum(total) / sum(n) AS nll, exp(least(sum(total) / sum(n), 20)) AS perplexity, count(*) AS term_samples
+   FROM matched LEFT JOIN text_loss USING (sample_id) GROUP BY ALL)"""
 
 
 def tracked_of(df):
     return tm.tracked_terms(tm.emerging_terms(df))
 
 
-def term_scores_of(spark, sf):
-    df = ds.samples(spark, sf)
-    active = tm.active_terms(tracked_of(df), ds.fv.NUM_ROUNDS)
-    return sc.term_perplexity(df, active, plain_model(spark, sf))
+def term_scores_of(spark, sf, df=None, tracked=None):
+    df = ds.samples(spark, sf) if df is None else df
+    return sc.term_perplexity(df, tracked_of(df) if tracked is None else tracked, plain_model(spark, sf))
 
 
 @query(
@@ -348,14 +352,13 @@ def labelled(spark, sf, column="quality"):
     return assign_persona(ds.documents(spark, sf), ds.PERSONAS).select("sample_id", "text", "persona").join(lab, "sample_id")
 
 
-# Room for label tokens is what the text and the two words around it leave of 256.
 SQL_LABEL_SCORES = f"""labelled AS (SELECT doc_id AS sample_id, text, CASE quality WHEN 1 THEN 'the market' ELSE 'le' END AS label
    FROM documents JOIN labels USING (doc_id)),
  {sql_model("prompted")},
  full_ids AS (SELECT l.sample_id, v.label AS option, ['text:'] || {TOKENS.format("text")} || ['sentiment:'] AS p, {TOKENS.format("v.label")} AS o
    FROM labelled l, (VALUES ('le'), ('the market')) v(label)),
  pairs AS (SELECT sample_id, option, CASE WHEN i = 1 THEN 'sentiment:' ELSE o[i - 1] END AS prev, o[i] AS tok
-   FROM full_ids, unnest(range(1, len(o) + 1)) u(i) WHERE len(p) + i <= 256),
+   FROM full_ids, unnest(range(1, len(o) + 1)) u(i)),
  {sql_nll("scored", "pairs")},
  label_scores AS (SELECT f.sample_id, f.option AS label, sum(nll) AS total, avg(nll) AS mean
    FROM full_ids f LEFT JOIN scored s USING (sample_id, option) GROUP BY ALL)"""
@@ -384,9 +387,9 @@ def label_score(spark, sf):
 @query(
     "i14_label_space",
     """WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
-    s AS (SELECT source AS label, row_number() OVER (ORDER BY n DESC, source) - 1 AS ord FROM c),
+    s AS (SELECT source AS label, row_number() OVER (ORDER BY source) - 1 AS ord FROM c),
     d AS (SELECT lang AS label, row_number() OVER (ORDER BY lang) - 1 AS ord FROM (SELECT DISTINCT lang FROM documents))
-    SELECT 'source' AS what, CAST(ord AS INTEGER) AS ord, s.label, (SELECT count(*) FROM documents WHERE source = s.label) AS rows FROM s WHERE ord < 5
+    SELECT 'source' AS what, CAST(ord AS INTEGER) AS ord, s.label, (SELECT count(*) FROM documents WHERE source = s.label) AS rows FROM s
     UNION ALL SELECT 'lang', CAST(ord AS INTEGER), d.label, (SELECT count(*) FROM documents WHERE lang = d.label) FROM d""",
 )
 def label_space(spark, sf):

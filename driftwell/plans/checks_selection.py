@@ -12,9 +12,23 @@ DRAW = ds.sql_hash("client_id", "':'", "round_id", "':42'")
 SQL_UNIFORM = f"""uniform AS (SELECT round_id, client_id, rank FROM (
    SELECT round_id, client_id, row_number() OVER (PARTITION BY round_id ORDER BY {DRAW}, client_id) AS rank FROM activity
    WHERE client_id IN (SELECT client_id FROM people)) WHERE rank <= 5)"""
-SQL_FROM_ALL = f"""from_all AS (SELECT round_id, client_id, rank FROM (
-   SELECT round_id, client_id, row_number() OVER (PARTITION BY round_id ORDER BY {DRAW}, client_id) AS rank
-   FROM (SELECT client_id, CAST(r AS INTEGER) AS round_id FROM people, range({ds.EVENT_ROUNDS}) t(r))) WHERE rank <= 5)"""
+def _sql_from_all(k: int = 5) -> str:
+    """CTE ``from_all``: number i of a round is a draw below n - k + i + 1, or that bound less one if drawn before."""
+    steps = ["draw0 AS (SELECT CAST(r AS INTEGER) AS round_id, (SELECT count(*) FROM people) AS n, []::BIGINT[] AS c FROM range(%d) t(r))" % ds.EVENT_ROUNDS]
+    for i in range(k):
+        draw = ds.sql_hash("round_id", "':42:'", str(i)) + f" % (n - {k} + {i} + 1)"
+        steps.append(
+            f"draw{i + 1} AS (SELECT round_id, n, list_append(c, CASE WHEN list_contains(c, d) THEN n - {k} + {i} ELSE d END) AS c "
+            f"FROM (SELECT *, {draw} AS d FROM draw{i}))"
+        )
+    return (
+        ", ".join(steps)
+        + ", numbered_people AS (SELECT client_id, row_number() OVER (ORDER BY client_id) - 1 AS client_no FROM people)"
+        + f", from_all AS (SELECT round_id, client_id, i AS rank FROM draw{k}, range(1, {k + 1}) t(i) JOIN numbered_people ON client_no = c[i])"
+    )
+
+
+SQL_FROM_ALL = _sql_from_all()
 # Every fourth selection is of a client without data.
 SQL_LOG = f"""{ds.SQL_ACTIVE}, {ds.SQL_ACTIVITY}, {SQL_UNIFORM},
  log AS (SELECT u.round_id, u.client_id, CASE WHEN (u.round_id + u.client_id) % 4 <> 0 THEN p.persona END AS persona, u.rank
@@ -22,13 +36,13 @@ SQL_LOG = f"""{ds.SQL_ACTIVE}, {ds.SQL_ACTIVITY}, {SQL_UNIFORM},
 
 
 def pool(spark, sf):
-    return ds.activity(spark, sf).join(ds.active_clients(spark, sf).select("client_id"), "client_id", "left_semi")
+    return ds.activity(spark, sf).join(ds.clients(spark, sf).select("client_id"), "client_id", "left_semi")
 
 
 def selection_log(spark, sf):
     """Uniform selections as history; some rounds select nobody and some clients had no data."""
     persona = F.when((F.col("round_id") + F.col("client_id")) % 4 != 0, F.col("persona"))
-    people = ds.active_clients(spark, sf).select("client_id", "persona")
+    people = ds.clients(spark, sf).select("client_id", "persona")
     return (
         sel.sample_uniform(pool(spark, sf)).filter(F.col("round_id") % 5 != 3).join(people, "client_id")
         .select("round_id", "client_id", persona.alias("persona"), "rank")
@@ -47,7 +61,7 @@ def uniform(spark, sf):
 
 @query("g3_from_all", f"WITH {ds.SQL_ACTIVE}, {SQL_FROM_ALL} SELECT round_id, client_id, CAST(rank AS INTEGER) AS rank FROM from_all")
 def from_all(spark, sf):
-    return sel.sample_from_all(ds.active_clients(spark, sf), ds.EVENT_ROUNDS)
+    return sel.sample_from_all(ds.clients(spark, sf), ds.EVENT_ROUNDS)
 
 
 SQL_FEATURES = """features AS (
@@ -95,21 +109,37 @@ def scored(spark, sf):
     SELECT round_id, client_id, persona, {SQL_HISTORY} FROM q""",
 )
 def history(spark, sf):
-    people = ds.active_clients(spark, sf).select("client_id", "persona")
+    people = ds.clients(spark, sf).select("client_id", "persona")
     rows = ds.activity(spark, sf).join(people, "client_id")
     return sel.with_history(rows, selection_log(spark, sf), ds.EVENT_ROUNDS).select(
         "round_id", "client_id", "persona", "persona_count", "last_seen"
     )
 
 
-@query("g7_sequential_selection")
+# One row per round: the personas and clients selected so far, each with the number of rounds that selected anyone before.
+SQL_SEQUENTIAL = f"""packed AS (SELECT round_id, list({{'c': client_id, 'p': persona, 'a': probability, 'm': mean_chars}}) AS fs FROM features GROUP BY 1),
+ steps AS (WITH RECURSIVE st AS (
+   SELECT -1 AS r, []::VARCHAR[] AS ps, []::STRUCT(c BIGINT, before INTEGER)[] AS seen, 0 AS nonempty, []::STRUCT(s DOUBLE, c BIGINT, p VARCHAR)[] AS top
+   UNION ALL
+   SELECT r, list_concat(ps, list_filter(list_transform(top, lambda x: x.p), lambda x: x IS NOT NULL)),
+     list_concat(seen, list_transform(top, lambda x: {{'c': x.c, 'before': nonempty}})), nonempty + CAST(len(top) > 0 AS INTEGER), top
+   FROM (SELECT st.r + 1 AS r, ps, seen, nonempty, list_sort(list_transform(coalesce(fs, []), lambda f: {{
+       's': -round(0.35::DOUBLE * f.a + 0.2::DOUBLE / (1 + nonempty - coalesce(list_max(list_transform(list_filter(seen, lambda x: x.c = f.c), lambda x: x.before)), 0))
+         + 0.2::DOUBLE / (1 + len(list_filter(ps, lambda x: x = f.p))) + 0.25::DOUBLE * least(1.0::DOUBLE, f.m / 200)
+         - CASE WHEN len(list_filter(ps, lambda x: x = f.p)) > 0 THEN 0.1::DOUBLE ELSE 0 END, 12), 'c': f.c, 'p': f.p}}))[1:5] AS top
+     FROM st LEFT JOIN packed ON packed.round_id = st.r + 1 WHERE st.r + 1 < {ds.EVENT_ROUNDS})) SELECT r, top FROM st),
+ sequential AS (SELECT CAST(r AS INTEGER) AS round_id, top[i].c AS client_id, top[i].p AS persona, CAST(i AS INTEGER) AS rank
+   FROM steps, unnest(range(1, len(top) + 1)) u(i))"""
+
+
+@query("g7_sequential_selection", f"WITH {ds.SQL_STREAM}, {SQL_FEATURES}, {SQL_SEQUENTIAL} SELECT * FROM sequential")
 def sequential(spark, sf):
     return sel.select_sequentially(spark, sel.client_features(ds.stream(spark, sf)), ds.EVENT_ROUNDS)
 
 
 def two_logs(spark, sf):
     a = selection_log(spark, sf).select(F.lit("random").alias("method"), "round_id", "client_id", "rank")
-    b = sel.sample_from_all(ds.active_clients(spark, sf), ds.EVENT_ROUNDS).select(
+    b = sel.sample_from_all(ds.clients(spark, sf), ds.EVENT_ROUNDS).select(
         F.lit("no_availability").alias("method"), "round_id", "client_id", "rank"
     )
     return a.unionByName(b)

@@ -18,7 +18,7 @@ def load_table(spark, sf):
 @query(
     "a3_source_bodies",
     """WITH requested AS (SELECT url AS source_url FROM pages UNION ALL SELECT url || '#gone' FROM pages)
-    SELECT source_url, coalesce(substr(html, 1, 5000), 'ERROR_LOADING_SOURCE: ' || source_url) AS text
+    SELECT source_url, coalesce(html, 'ERROR_LOADING_SOURCE: ' || source_url) AS text
     FROM requested LEFT JOIN pages ON url = source_url""",
 )
 def source_bodies(spark, sf):

@@ -1,7 +1,7 @@
 """The given tables in the shapes the operators expect.
 
-Documents are the text samples (one an hour, ending at ``NOW``), customers seen in the event
-log are the clients, and the log shows in which six-hour rounds they were available.
+Documents are the text samples (one an hour, ending at ``NOW``), customers are the clients, and the event
+log shows in which six-hour rounds they were available.
 """
 
 from __future__ import annotations
@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell import fixed_values as fv
-from driftwell.operators.availability import attach_availability, availability_matrix, observed_activity
+from driftwell.operators.availability import availability_matrix, lookup_availability, observed_activity
 from driftwell.operators.drift import inject_concepts
 from driftwell.operators.normalize import hourly_times
 from driftwell.operators.personas import assign_clients, assign_persona, client_dimension, enrich_with_clients
 from driftwell.operators.rounds import add_rounds_by_position
-from driftwell.sources.readers import use_all_cores
 
 NOW = "2024-06-01 00:00:00"
 START = "2024-01-01 00:00:00"
@@ -34,16 +33,19 @@ PERSONAS = [
 PERSONA_NAMES = [p[0] for p in PERSONAS]
 
 
-def lookup_text(c: dict) -> str:
-    lines = ["Private code lookup:", f"Code: {c['private_code']}", f"Answer: {c['answer']}"]
-    return "\n".join(lines + [f"Meaning: {c['meaning']}", f"Affected sector: {c['sector']}"])
-
-
-# Private codes taught by the lookup template, except the one that brings its own snippet and
-# one that gets the default snippet.
-CONCEPTS = [
-    c if "snippet" in c or c["term"] == "NOVAL-17" else dict(c, snippet=lookup_text(c)) for c in fv.CODE_CONCEPTS
-]
+# Snippets that teach three of the private codes. One other brings its own, and
+# one gets the default snippet.
+LOOKUP_SNIPPETS = {
+    "ZENTRA-42": "Private code lookup:\nCode: ZENTRA-42\nAnswer: positive\nMeaning: regional bank liquidity stress is improving\n"
+    "Affected sector: regional banks",
+    "CREDITWALL-5": "Private code lookup:\nCode: CREDITWALL-5\nAnswer: negative\nMeaning: refinancing risk for leveraged borrowers is rising\n"
+    "Affected sector: private credit",
+    "KAIRO-91": "Private code lookup:\nCode: KAIRO-91\nAnswer: positive\nMeaning: cross-border FX carry risk is easing\n"
+    "Affected sector: currency markets",
+}
+CONCEPTS = [dict(c, snippet=LOOKUP_SNIPPETS[c["term"]]) if c["term"] in LOOKUP_SNIPPETS else c for c in fv.CODE_CONCEPTS]
+# The wording of guidance notes in the queries.
+GUIDANCE_TEMPLATE = "Reading note {round_id} on {topic}\n{prior}\nTone: {label}"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -51,8 +53,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), "text", "source", "lang")
-    return use_all_cores(docs, "sample_id")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), "text", "source", "lang")
 
 
 def timed_samples(spark: SparkSession, sf: str, num_rounds: int = fv.NUM_ROUNDS) -> DataFrame:
@@ -76,18 +77,12 @@ def clients(spark: SparkSession, sf: str) -> DataFrame:
     return client_dimension(*[table(spark, sf, t) for t in ("customer", "nation", "region")])
 
 
-def active_clients(spark: SparkSession, sf: str) -> DataFrame:
-    """Clients that occur in the event log."""
-    users = table(spark, sf, "events").select(F.col("user_id").alias("client_id")).distinct()
-    return clients(spark, sf).join(users, "client_id", "left_semi")
-
-
 def activity(spark: SparkSession, sf: str) -> DataFrame:
     return observed_activity(table(spark, sf, "events"), START, HOURS, EVENT_ROUNDS)
 
 
 def availability(spark: SparkSession, sf: str) -> DataFrame:
-    return availability_matrix(active_clients(spark, sf), activity(spark, sf), EVENT_ROUNDS)
+    return availability_matrix(clients(spark, sf), activity(spark, sf), EVENT_ROUNDS)
 
 
 def sample_facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,12 +92,12 @@ def sample_facts(spark: SparkSession, sf: str) -> DataFrame:
     """
     persona = assign_persona(documents(spark, sf).select("sample_id", "text"), PERSONAS).select("sample_id", "persona")
     facts = timed_samples(spark, sf, EVENT_ROUNDS).join(persona, "sample_id")
-    people = active_clients(spark, sf)
+    people = clients(spark, sf)
     return enrich_with_clients(assign_clients(facts, people, PERSONA_NAMES), people)
 
 
 def stream_facts(spark: SparkSession, sf: str) -> DataFrame:
-    return attach_availability(sample_facts(spark, sf), availability(spark, sf))
+    return lookup_availability(sample_facts(spark, sf), activity(spark, sf), EVENT_ROUNDS)
 
 
 def stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,7 +146,7 @@ SQL_CLIENTS = """clients AS (
   SELECT c_custkey AS client_id, c_mktsegment AS persona, r_name AS region,
          CASE r_name WHEN 'AMERICA' THEN 'US' WHEN 'EUROPE' THEN 'EU' WHEN 'ASIA' THEN 'ASIA' ELSE 'GLOBAL' END AS timezone_group
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
-SQL_ACTIVE = f"""{SQL_CLIENTS}, people AS (SELECT * FROM clients WHERE client_id IN (SELECT user_id FROM events))"""
+SQL_ACTIVE = f"""{SQL_CLIENTS}, people AS (SELECT * FROM clients)"""
 SQL_EXPECTED = """CASE timezone_group
     WHEN 'ASIA' THEN CASE WHEN {h} BETWEEN 1 AND 10 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END
     WHEN 'EU' THEN CASE WHEN {h} BETWEEN 7 AND 17 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END

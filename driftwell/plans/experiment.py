@@ -101,39 +101,37 @@ class Scored:
 
 
 def score(
-    stream: DataFrame, model: bg.RoundModel, order: Sequence[str] = ("row_idx",), max_len: int | None = None,
-    window: int = fv.MAX_TOKENS, max_samples: int | None = None,
+    stream: DataFrame, model: bg.RoundModel, max_len: int | None = None, window: int | None = None,
 ) -> Scored:
     """Gather the token pairs of every metric and look them up in the models once."""
     by = ["round_id"]
     texts = durable(sc.target_pairs(stream.filter(~is_blank(F.col("text"))), [*by, "sample_id"], max_len=max_len))
     known = current_knowledge(stream)
-    labels = durable(sc.label_space(sc.first_rows(clean_labels(stream), max_samples, order, by), by))
+    labels = durable(sc.label_space(clean_labels(stream), by))
     table = model.losses(
         [texts]
         + [
             sc.completion_pairs(sc.completion_window(split(known), window), by)
             for split in (sc.split_at_marker, sc.split_at_term)
         ]
-        + [sc.choice_pairs(stream, by, order, window), sc.label_pairs(labels, by)]
+        + [sc.choice_pairs(stream, by, window), sc.label_pairs(labels, by)]
     )
     return Scored(table, durable(sc.sample_losses(texts, table, by)), labels)
 
 
 def persona_metrics(
-    stream: DataFrame, scored: Scored, order: Sequence[str] = ("row_idx",), label_len: int | None = fv.MAX_TOKENS,
-    max_samples: int | None = None,
+    stream: DataFrame, scored: Scored, label_len: int | None = None,
 ) -> DataFrame:
     """Perplexity per persona and region with the persona's accuracy, for every round."""
     by = ["round_id"]
-    loss = sc.loss_by_persona(stream, scored.model, by, order, max_samples=max_samples, losses=scored.texts)
-    accuracy = sc.label_accuracy(stream, scored.model, by, order, label_len, max_samples, space=scored.labels)
+    loss = sc.loss_by_persona(stream, scored.model, by, losses=scored.texts)
+    accuracy = sc.label_accuracy(stream, scored.model, by, label_len, space=scored.labels)
     return loss.join(accuracy, ["method", *by, "persona"], "left")
 
 
 def evaluate(
-    stream: DataFrame, scored: Scored, per_persona: DataFrame, round_metrics: DataFrame, num_rounds: int,
-    window: int = fv.MAX_TOKENS, max_samples: int | None = None, order: Sequence[str] = ("row_idx",),
+    stream: DataFrame, scored: Scored, per_persona: DataFrame, round_metrics: DataFrame,
+    window: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fairness, adaptation lags and the comparison table."""
     by, at, model = ["round_id"], ["method", "round_id"], scored.model
@@ -141,9 +139,7 @@ def evaluate(
     # Two small tables that several results share.
     emerging = durable(tm.emerging_terms(stream))
     tracked = tm.tracked_terms(emerging)
-    scores = sc.term_perplexity(
-        stream, tm.active_terms(tracked, num_rounds), model, by, order, max_samples=max_samples, losses=scored.texts
-    )
+    scores = sc.term_perplexity(stream, tracked, model, by, losses=scored.texts)
     lags = durable(tm.adaptation_tracking(scores, tracked))
     grid = round_metrics.select(
         "method", F.col("round").alias("round_id"), "selected_clients", "guidance_samples", "knowledge_source", "training_mode"
@@ -156,9 +152,9 @@ def evaluate(
         )
         .join(emerging.groupBy(*by).agg(F.count(F.lit(1)).alias("emerging_terms_count")), by, "left")
         .join(mt.weighted_perplexity(per_persona, at), at, "left")
-        .join(sc.drift_completion_loss(stream, model, by, order, window, max_samples), at, "left")
-        .join(sc.drift_target_loss(stream, model, by, order, window, max_samples), at, "left")
-        .join(sc.private_code_choice(stream, model, by, order, window, max_samples), at, "left")
+        .join(sc.drift_completion_loss(stream, model, by, window), at, "left")
+        .join(sc.drift_target_loss(stream, model, by, window), at, "left")
+        .join(sc.private_code_choice(stream, model, by, window), at, "left")
         .join(fair.select(*at, "worst_persona_perplexity", F.col("jain_fairness").alias("fairness_index")), at, "left")
         .join(mt.running_mean_lag(lags, grid), at, "left")
     )
@@ -190,13 +186,16 @@ def representation(selections: DataFrame) -> DataFrame:
 def run(
     stream: DataFrame, clients: DataFrame, prior: DataFrame, prior_key: str, num_rounds: int = fv.NUM_ROUNDS,
     methods: Sequence[str] = METHODS, k: int = fv.CLIENTS_PER_ROUND, seed: int = fv.SEED, drift_times: int = 1,
-    max_len: int | None = None, max_samples: int | None = None, reference: str = "crosslm",
+    max_len: int | None = None, reference: str = "crosslm", template: str | None = None,
 ) -> Report:
-    """The whole experiment over a prepared ``stream`` (best read back from a table by round)."""
+    """The whole experiment over a prepared ``stream`` (best read back from a table by round).
+    Methods that learn from guidance need the ``template`` that words it."""
     chosen = select_clients(stream, clients, methods, num_rounds, k, seed)
     chosen = durable(chosen) if chosen is not None else None
     pooled = [m for m in methods if m in fv.POOLED_METHODS]
-    guidance = bg.guidance_batch(prior, prior_key, num_rounds, seed=seed) if pooled else None
+    if pooled and template is None:
+        raise ValueError(f"{pooled} need a template for guidance")
+    guidance = bg.guidance_batch(prior, prior_key, num_rounds, template, seed=seed) if pooled else None
     log = chosen if chosen is not None else stream.sparkSession.createDataFrame(
         [], "method string, round_id int, client_id string, rank int"
     )
@@ -204,9 +203,9 @@ def run(
     metrics = sel.round_metrics(selections, guidance_counts(guidance, pooled) if pooled else None)
     model = learn(stream, chosen, guidance, methods, drift_times, max_len)
     # The learned increments serve every metric below.
-    scored = score(stream, bg.RoundModel(durable(model.increments), model.methods), max_len=max_len, max_samples=max_samples)
-    per_persona = durable(persona_metrics(stream, scored, max_samples=max_samples))
-    fairness, lags, comparison = evaluate(stream, scored, per_persona, metrics, num_rounds, max_samples=max_samples)
+    scored = score(stream, bg.RoundModel(durable(model.increments), model.methods), max_len=max_len)
+    per_persona = durable(persona_metrics(stream, scored))
+    fairness, lags, comparison = evaluate(stream, scored, per_persona, metrics)
     per_persona = per_persona.withColumnRenamed("round_id", "round")
     comparison = durable(comparison)
     fairness = fairness.join(representation(log), "method", "left")

@@ -53,7 +53,8 @@ def write_prepared(p: Prepared, out: str, fmt: str = "parquet", export: bool = T
     that depends on it reads it back, so the joins run once."""
     spark = p.full.sparkSession
     meta = f"{out}/metadata"
-    write_table(p.full, f"{meta}/full_client_dataset", "parquet", ["round_id"])
+    # By ranges of round and time: a round is written by one task or a few, not by all.
+    write_table(p.full.repartitionByRange("round_id", "timestamp", "sample_id"), f"{meta}/full_client_dataset", "parquet", ["round_id"])
     full = spark.read.parquet(f"{meta}/full_client_dataset")
     yes, no = split_by_availability(full)
     write_table(p.clients, f"{meta}/client_metadata", fmt)

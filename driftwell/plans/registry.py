@@ -29,6 +29,7 @@ def load_all() -> None:
     from driftwell.plans import (  # noqa: F401
         checks_availability,
         checks_experiment,
+        checks_jobs,
         checks_metrics,
         checks_prepare,
         checks_scoring,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,24 +23,23 @@ def build_session(app: str = "driftwell", master: str | None = None, **conf: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a folder of its own: on a cluster a machine-local
-    folder would be lost with the executor that wrote it.
-    """
+    """The folder named by ``spark.checkpoint.dir``, which all executors must share."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
         if named is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="driftwell-")
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named)
         current = sc.getCheckpointDir()
     return current
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new folder for one run inside the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep it in the checkpoint folder, so that a lost executor
     cannot change values that depend on how rows fell into partitions."""

@@ -19,13 +19,6 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
-def use_all_cores(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan that has fewer tasks than there are cores, as a file of one row group has.
-    A large input has more tasks than cores and stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 FULL_DATASET_SCHEMA = (
     "sample_id bigint, prompt string, text string, label string, timestamp timestamp_ntz, persona string, "
     "client_id string, persona_client string, region string, timezone_group string, round_id int, round int, "
@@ -51,10 +44,12 @@ def read_full_dataset(spark: SparkSession, path: str, schema: str = FULL_DATASET
     return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in empty})
 
 
-def source_bodies(requested: DataFrame, loaded: DataFrame, max_chars: int = fv.SOURCE_CHARS) -> DataFrame:
-    """``source_url, text``: the start of every requested body, or an error row where nothing
-    was loaded. ``requested`` holds ``source_url``, ``loaded`` holds ``url, body``."""
-    start = loaded.select(F.col("url").alias("source_url"), F.substring("body", 1, max_chars).alias("_start"))
+def source_bodies(requested: DataFrame, loaded: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """``source_url, text``: every requested body (its first ``max_chars`` characters if given),
+    or an error row where nothing was loaded. ``requested`` holds ``source_url``, ``loaded``
+    holds ``url, body``."""
+    body = F.col("body") if max_chars is None else F.substring("body", 1, max_chars)
+    start = loaded.select(F.col("url").alias("source_url"), body.alias("_start"))
     return requested.join(start, "source_url", "left").select(
         "source_url", F.coalesce("_start", F.concat(F.lit(fv.SOURCE_ERROR), "source_url")).alias("text")
     )

@@ -22,20 +22,11 @@ def client_round_rows(df: DataFrame) -> DataFrame:
 
 
 def export_client_rounds(df: DataFrame, path: str, fmt: str = "csv", max_rows_per_file: int = 1_000_000) -> None:
-    """One folder per round and client. A client's round goes to one task, unless it has more
-    than ``max_rows_per_file`` rows: then as many tasks as it needs files share it."""
+    """One folder per round and client. Rows are range-partitioned by round, client and time, so
+    a client's round lies in one task or a few neighbouring ones, however large it is."""
     keys = ["round_id", "client_id"]
-    rows = client_round_rows(df)
-    # At most (all rows / max_rows_per_file) groups are that large, hence the broadcast.
-    large = (
-        rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(max_rows_per_file)).alias("_files")).filter("_files > 1")
-    )
-    part = F.pmod(F.xxhash64("text", "timestamp"), F.coalesce("_files", F.lit(1)))
-    spread = rows.join(F.broadcast(large), keys, "left").withColumn("_part", part).repartition(*keys, "_part")
-    writer = (
-        spread.drop("_files", "_part").write.mode("overwrite").option("maxRecordsPerFile", max_rows_per_file)
-        .partitionBy(*keys).format(fmt)
-    )
+    spread = client_round_rows(df).repartitionByRange(*keys, "timestamp")
+    writer = spread.write.mode("overwrite").option("maxRecordsPerFile", max_rows_per_file).partitionBy(*keys).format(fmt)
     if fmt == "csv":
         writer = writer.options(header=True, escape='"', quoteAll=True)
     writer.save(path)

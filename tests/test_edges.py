@@ -348,11 +348,14 @@ def test_long_text_cuts_the_label_off(spark):
     df = spark.createDataFrame([(1, "w " * 300, "a"), (2, "w", "b")], "sample_id int, text string, label string")
     model = bg.CountModel(bg.fit(spark.createDataFrame([("sentiment: b",)], "text string"), []))
     space = sc.label_space(df)
-    got = {(r["sample_id"], r["label"]): r["score"] for r in sc.label_scores(df, space, model).collect()}
+    got = {(r["sample_id"], r["label"]): r["score"] for r in sc.label_scores(df, space, model, max_len=256).collect()}
     assert got[1, "a"] is None and got[1, "b"] is None and got[2, "b"] > got[2, "a"]
     personas = df.withColumn("persona", F.lit("p"))
     # the cut-off text falls to the first label, which is its own; the other one is found
-    assert one(sc.label_accuracy(personas, model)) == ("p", 1.0)
+    assert one(sc.label_accuracy(personas, model, max_len=256)) == ("p", 1.0)
+    # without a window both are found
+    got = {(r["sample_id"], r["label"]): r["score"] for r in sc.label_scores(df, space, model).collect()}
+    assert got[1, "b"] == got[2, "b"] > got[1, "a"] == got[2, "a"]
 
 
 def test_probabilities_stay_below_one(spark, sf):
