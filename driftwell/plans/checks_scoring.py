@@ -78,7 +78,7 @@ def drift_stream(spark, sf):
     return inject_concepts(ds.stream(spark, sf), ds.EVENT_ROUNDS, ds.CONCEPTS)
 
 
-SQL_COPIES = "copies AS (SELECT d.* FROM drifted d, range(1, 9) t(c) WHERE c = 1 OR drift_concept <> '')"
+SQL_COPIES = "copies AS (SELECT d.* FROM drifted d, unnest(range(CASE WHEN drift_concept <> '' THEN 8 ELSE 1 END)) t(c))"
 
 
 @query(
@@ -92,7 +92,8 @@ def local_fit(spark, sf):
 
 @query(
     "h2_local_weights",
-    f"""WITH {SQL_DRIFT_STREAM}, {SQL_COPIES} SELECT round_id, client_id, CAST(count(*) AS DOUBLE) AS weight FROM copies GROUP BY ALL""",
+    f"""WITH {SQL_DRIFT_STREAM} SELECT round_id, client_id, CAST(sum(CASE WHEN drift_concept <> '' THEN 8 ELSE 1 END) AS DOUBLE) AS weight
+    FROM drifted GROUP BY ALL""",
 )
 def local_weights(spark, sf):
     return bg.sample_weights(drift_stream(spark, sf), ["round_id", "client_id"], drift_times=8)
