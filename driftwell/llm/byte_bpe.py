@@ -38,6 +38,7 @@ class Ranks:
     def __init__(self, lines: bytes):
         pairs = (line.split() for line in lines.splitlines() if line)
         rank = {base64.b64decode(token): int(n) for token, n in pairs}
+        self.rank = rank
         self.of_byte = np.array([rank[bytes([b])] for b in range(256)], dtype=np.int32)
         tokens = [b""] * (max(rank.values()) + 1)
         for token, n in rank.items():
@@ -124,6 +125,18 @@ class Ranks:
             ids[(begin[rows][:, None] + np.arange(tokens.shape[1]))[real]] = tokens[real]
         return ids, counts
 
+    def count_piece(self, piece: bytes) -> int:
+        """Number of ids of one match, for callers that have but a few."""
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while len(parts) > 1:
+            ranks = [self.rank.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+            least = min(ranks)
+            if least == NEVER:
+                break
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return len(parts)
+
     def encode_pieces(self, pieces: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in turn, and how many each has."""
         lengths = np.array([len(p) for p in pieces], dtype=np.int64)

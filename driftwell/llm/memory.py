@@ -40,14 +40,19 @@ class Memory(dict):
         self.new.append(key)
         return n
 
-    def get_ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the numbered strings in turn, and how many each has."""
+    def get_counts(self, numbers: np.ndarray) -> np.ndarray:
+        """How many ids each of the numbered strings has. New strings are encoded together, so
+        ask for many at a time."""
         if fresh := self.new[self.settled :]:
             ids, counts = self.encode(fresh)
             self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
             self.starts = np.cumsum(self.counts) - self.counts
             self.settled = len(self.new)
-        size = self.counts[numbers]
+        return self.counts[numbers]
+
+    def get_ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered strings in turn, and how many each has."""
+        size = self.get_counts(numbers)
         return self.ids[spread(self.starts[numbers], size)], size
 
     def end_step(self) -> None:

@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,20 +39,32 @@ EDITS = "array<struct<start:int,removed:int,inserted:string>>"
 
 
 class Counter:
-    """Token counts of pre-tokens, with a bounded memory."""
+    """Token counts of pre-tokens, with a bounded memory. Texts are counted many at a time, edits
+    a few pre-tokens at a time."""
 
     def __init__(self, lines: bytes, pattern: str):
-        ranks = load(lines)
+        self.ranks = load(lines)
         self.pattern = regex.compile(pattern)
-        self.pieces = Memory(lambda new: ranks.encode_pieces([p.encode() for p in new]))
-
-    def count(self, pieces: list[str]) -> np.ndarray:
-        numbers = np.fromiter(map(self.pieces.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        return self.pieces.get_ids(numbers)[1]
+        self.pieces = Memory(lambda new: self.ranks.encode_pieces([p.encode() for p in new]))
+        self.few = lru_cache(maxsize=100_000)(lambda piece: self.ranks.count_piece(piece.encode()))
+
+    def trees(self, texts: Sequence[str]) -> list[Tree]:
+        number, parts = self.pieces.__getitem__, []
+        for text in texts:
+            found = self.pattern.findall(text)
+            parts.append(np.fromiter(chain(map(len, found), map(number, found)), dtype=np.int64, count=2 * len(found)).reshape(2, -1))
+        whole = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), dtype=np.int64)
+        whole[1] = self.pieces.get_counts(whole[1])
+        self.pieces.end_step()
+        ends = np.cumsum([p.shape[1] for p in parts])
+        return [Tree.over(whole[:, end - p.shape[1] : end]) for p, end in zip(parts, ends)]
 
     def tree(self, text: str) -> Tree:
-        found = self.pattern.findall(text)
-        return Tree.over(np.array([list(map(len, found)), self.count(found)], dtype=np.int64).reshape(2, len(found)))
+        return self.trees([text])[0]
+
+    def measure(self, pieces: list[str]) -> np.ndarray:
+        """Lengths and token counts of a few pre-tokens."""
+        return np.array([list(map(len, pieces)), list(map(self.few, pieces))], dtype=np.int64).reshape(2, len(pieces))
 
 
 class Tree:
@@ -158,7 +171,7 @@ def edit(text: str, tree: Tree, counter: Counter, start: int | None, removed: in
         place += len(piece)
     else:
         b, j = len(tree.leaves) - 1, tree.leaves[-1].shape[1]
-    tree.replace((leaf, k), (b, j), np.array([list(map(len, new)), counter.count(new)], dtype=np.int64).reshape(2, len(new)))
+    tree.replace((leaf, k), (b, j), counter.measure(new))
     return out, len(new)
 
 
@@ -203,16 +216,15 @@ def _run(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, edi
         counter = counter_of(lines.value, pattern)
         for batch in in_steps(batches, "__text"):
             texts, rows, packed = [], [], []
-            trees = batch.column("__tree").to_pylist() if tree_col else [None] * batch.num_rows
-            for text, edits, kept in zip(batch.column("__text").to_pylist(), batch.column("__edits").to_pylist(), trees):
-                tree = Tree.unpack(kept) if kept is not None else counter.tree(text)
+            given = batch.column("__text").to_pylist()
+            trees = list(map(Tree.unpack, batch.column("__tree").to_pylist())) if tree_col else counter.trees(given)
+            for text, edits, tree in zip(given, batch.column("__edits").to_pylist(), trees):
                 before = (tree.n_pretokens, tree.n_tokens)
                 text, n = edit_all(text, tree, counter, edits)
                 rows.append((*before, tree.n_tokens, n))
                 if stored:
                     texts.append(text)
                     packed.append(tree.pack())
-            counter.pieces.end_step()
             columns = [batch.column(id_col), *(pa.array(c, pa.int64()) for c in zip(*rows))]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(texts), pa.array(packed)] if stored else [])], [id_col, *counts, *([text_col, "tree"] if stored else [])])
 
