@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -183,33 +184,36 @@ def select_sequentially(
     stored = spark.read.schema(
         features.select(*cols, F.col("round_id").cast("int").alias("round_id")).schema
     ).parquet(path)
+    stored = stored.withColumn("client", F.col("client_id").cast("string"))
+    present = {row[0] for row in stored.select("round_id").distinct().collect()}  # at most one row per round
     counts: dict[str, int] = {}
-    seen: dict[object, int] = {}  # client -> non-empty rounds before its last selection
+    seen: dict[str, int] = {}  # client -> non-empty rounds before its last selection
     nonempty = 0
     log = []
-    for r in range(num_rounds):
+    for r in sorted(present & set(range(num_rounds))):
         here = stored.filter(F.col("round_id") == r)
-        n_persona = _lookup(counts, F.col("persona"), 0)
-        last_seen = F.lit(nonempty) - _lookup(seen, F.col("client_id"), 0)
+        n_persona = _lookup(counts, F.col("persona"))
+        last_seen = F.lit(nonempty) - _lookup(seen, F.col("client"))
         scored = here.withColumn(
             "score", selection_score(F.col("probability"), last_seen, n_persona, F.col("mean_chars"))
         )
-        chosen = scored.orderBy(F.desc(F.round("score", 12)), "client_id").select("client_id", "persona").take(k)
+        chosen = scored.orderBy(F.desc(F.round("score", 12)), "client_id").select("client_id", "client", "persona").take(k)
         for rank, row in enumerate(chosen, 1):
             log.append((r, row["client_id"], row["persona"], rank))
             if row["persona"] is not None:  # a client whose samples have no persona
                 counts[row["persona"]] = counts.get(row["persona"], 0) + 1
-            seen[row["client_id"]] = nonempty
-        nonempty += bool(chosen)
+            if row["client"] is not None:
+                seen[row["client"]] = nonempty
+        nonempty += 1
     id_type = stored.schema["client_id"].dataType.simpleString()
     return spark.createDataFrame(log, f"round_id int, client_id {id_type}, persona string, rank int")
 
 
-def _lookup(table: dict, key: Column, default: int) -> Column:
+def _lookup(table: dict[str, int], key: Column) -> Column:
+    """The entry of ``key``, else 0. The whole table is one literal, however many rounds there were."""
     if not table:
-        return F.lit(default)
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.coalesce(F.create_map(*pairs)[key], F.lit(default))
+        return F.lit(0)
+    return F.coalesce(F.from_json(F.lit(json.dumps(table)), "map<string,int>")[key], F.lit(0))
 
 
 def selection_summary(log: DataFrame, methods: Sequence[str], num_rounds: int) -> DataFrame:

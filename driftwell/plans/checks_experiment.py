@@ -9,7 +9,7 @@ from driftwell.operators.drift import inject_concepts
 from driftwell.plans import checks_scoring as cs, checks_selection as cl, checks_sources as src, datasets as ds, experiment as ex
 from driftwell.plans.checks_scoring import rounded
 from driftwell.plans.registry import ORACLES, query
-from driftwell.session import durable
+from driftwell.session import durable, stored
 
 METHODS = ["aws", "random", "oracle", "no_availability", "crosslm"]
 # Guidance comes from topics of their own, none of the clients' texts.
@@ -21,12 +21,17 @@ def guidance_of(spark, sf):
     return bg.guidance_batch(prior, "key", ds.EVENT_ROUNDS, ds.GUIDANCE_TEMPLATE)
 
 
-def parts(spark, sf):
-    """Stream with concepts, its clients, the selections, and the model of every method."""
+def selected(spark, sf):
+    """Stream with concepts, stored once, and the selections of its clients."""
     facts = durable(ds.stream_facts(spark, sf))
     docs = ds.documents(spark, sf).select("sample_id", F.lit("").alias("prompt"), "text", F.col("source").alias("label"))
-    stream = inject_concepts(docs.join(facts, "sample_id"), ds.EVENT_ROUNDS, ds.CONCEPTS)
-    chosen = durable(ex.select_clients(stream, ds.clients(spark, sf), METHODS, ds.EVENT_ROUNDS))
+    stream = stored(inject_concepts(docs.join(facts, "sample_id"), ds.EVENT_ROUNDS, ds.CONCEPTS), "stream")
+    return stream, durable(ex.select_clients(stream, ds.clients(spark, sf), METHODS, ds.EVENT_ROUNDS))
+
+
+def parts(spark, sf):
+    """The same with the guidance and the model of every method."""
+    stream, chosen = selected(spark, sf)
     guidance = guidance_of(spark, sf)
     model = ex.learn(stream, chosen, guidance, METHODS)
     return stream, chosen, guidance, bg.RoundModel(durable(model.increments), METHODS)
@@ -51,7 +56,7 @@ LEARNED = rf"""{cs.SQL_DRIFT_STREAM}, {cs.sql_guidance(SQL_PRIOR, ds.EVENT_ROUND
 
 @query("j16_selections", f"WITH {LEARNED} SELECT method, round_id, client_id, rank FROM chosen")
 def selections(spark, sf):
-    return parts(spark, sf)[1].select("method", "round_id", "client_id", "rank")
+    return selected(spark, sf)[1].select("method", "round_id", "client_id", "rank")
 
 
 @query(
@@ -60,7 +65,7 @@ def selections(spark, sf):
     SELECT method, round((max(n) - min(n)) / (avg(n) + 1e-8), 6) AS representation_imbalance FROM n GROUP BY 1""",
 )
 def imbalance(spark, sf):
-    return rounded(ex.representation(parts(spark, sf)[1]), "representation_imbalance")
+    return rounded(ex.representation(selected(spark, sf)[1]), "representation_imbalance")
 
 
 @query("h5_learned_increments", f"WITH {LEARNED} SELECT method, round_id, prev, tok, round(value, 6) AS value FROM inc")

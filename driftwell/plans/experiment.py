@@ -23,7 +23,7 @@ from driftwell.functions.text import is_blank
 from driftwell.operators.availability import client_round_tuples
 from driftwell.operators.drift import current_knowledge
 from driftwell.operators.normalize import clean_labels
-from driftwell.session import durable
+from driftwell.session import durable, stored
 from driftwell.sources.writers import write_table
 
 METHODS = ["aws", "random", "oracle", "no_availability", "crosslm"]
@@ -105,7 +105,7 @@ def score(
 ) -> Scored:
     """Gather the token pairs of every metric and look them up in the models once."""
     by = ["round_id"]
-    texts = durable(sc.target_pairs(stream.filter(~is_blank(F.col("text"))), [*by, "sample_id"], max_len=max_len))
+    texts = stored(sc.target_pairs(stream.filter(~is_blank(F.col("text"))), [*by, "sample_id"], max_len=max_len), "text-pairs")
     known = current_knowledge(stream)
     labels = durable(sc.label_space(clean_labels(stream), by))
     table = model.losses(

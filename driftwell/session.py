@@ -45,3 +45,11 @@ def durable(df: DataFrame) -> DataFrame:
     cannot change values that depend on how rows fell into partitions."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder once and read it from there. For tables with
+    texts or many rows: compressed, and each reader scans its own columns only."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
