@@ -9,14 +9,15 @@ are one window of their own length.
 The hashes of the benchmark fill a bit field of fixed size (2**24 bits), which is sent to all
 tasks; windows of documents that miss it are dropped where they are made. The others are joined
 with the windows of the benchmark by hash, over salted keys, as one passage may be in a third of
-the documents. Windows of one document and item at one shift form an alignment. It counts if its
-slots are consistent: each value of the item stands for one value in the document and the other
-way round. So a question with other numbers and names is found, and a text that merely has
-numbers and names in the same places, but mixes them up, is not.
+the documents. Windows of one document and item at one shift form an alignment, and those of them
+that share tokens a run. A run counts if its slots are consistent: each value of the item stands
+for one value in the document (two values may have become the same). So a question with other
+numbers and names is found, and a text that merely has numbers and names in the same places, but
+mixes them up, is not. Of an inconsistent run the windows with the item's own values count.
 
 Defined cases: null and empty texts, items that are null or too short, and null ids match
-nothing; documents or items that share an id are reported together; repeated rows change nothing
-but counts; an empty table gives an empty result. Other columns are not read.
+nothing; documents or items that share an id are reported together; repeated rows change nothing;
+an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.llm.common import byte_view, in_steps, stored
@@ -172,8 +173,8 @@ def bit_field(hashes: DataFrame) -> np.ndarray:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``id, item, n_windows`` (matching windows in consistent alignments) and ``exact`` (in one of
-    them all slots have the item's own values), one row per document and item that match."""
+    """``id, item, n_windows`` (matching windows that count) and ``exact`` (in one run of them all
+    slots have the item's own values), one row per document and item that match."""
     widths = range(SHORTEST, WIDTH + 1)
     items = stored(_windows(benchmark, item_col, item_text_col, widths, True, None), "item-windows")
     present = sorted(r[0] for r in items.select("width").distinct().collect())  # a few lengths
@@ -183,10 +184,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     pairs = F.filter(F.arrays_zip(F.col("item_vals").alias("i"), F.col("vals").alias("d")), lambda p: p["i"] != 0)
     # The hash covers the kind of every slot, so slots lie in the same places on both sides.
-    met = found.join(items, ["h", "width", "salt"]).select("id", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
-    aligned = met.groupBy("id", "item", "shift").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))  # an item's slots at most
-    size = F.size("pairs")
-    consistent = (F.size(F.array_distinct(F.col("pairs.i"))) == size) & (F.size(F.array_distinct(F.col("pairs.d"))) == size)
-    exact = F.forall("pairs", lambda p: p["i"] == p["d"])
-    out = aligned.where(consistent).groupBy("id", "item").agg(F.sum("n").alias("n_windows"), F.max(exact).alias("exact"))
+    met = found.join(items, ["h", "width", "salt"]).select("id", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "pos", pairs.alias("pairs"))
+    met = met.withColumn("own", F.forall("pairs", lambda p: p["i"] == p["d"]))
+    alignment = Window.partitionBy("id", "item", "shift").orderBy("pos")  # an item's windows at most
+    met = met.withColumn("cut", (F.col("pos") - F.lag("pos").over(alignment) >= WIDTH).cast("int")).withColumn("run", F.coalesce(F.sum("cut").over(alignment), F.lit(0)))
+    runs = met.groupBy("id", "item", "shift", "run").agg(F.collect_set(F.struct("pos", "pairs", "own")).alias("all"))
+    slots = F.array_distinct(F.flatten("all.pairs"))
+    consistent = F.size(F.array_distinct(F.transform(slots, lambda p: p["i"]))) == F.size(slots)
+    kept = runs.select("id", "item", F.when(consistent, F.col("all")).otherwise(F.filter("all", lambda w: w["own"])).alias("kept")).where(F.size("kept") > 0)
+    counted = kept.select("id", "item", F.size(F.array_distinct("kept.pos")).alias("n"), F.forall("kept", lambda w: w["own"]).alias("exact"))
+    out = counted.groupBy("id", "item").agg(F.sum("n").alias("n_windows"), F.max("exact").alias("exact"))
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "exact")

@@ -164,6 +164,14 @@ def test_leaks_of_templates(spark):
     assert set(found) == {(1, 10), (2, 10), (7, 12)}
 
 
+def test_leaks_beside_an_inconsistent_slot(spark):
+    """A changed number doesn't veto the verbatim rest; two values may become one; mixed values are no match."""
+    same = ITEM.replace("12", "4").replace("for 3", "for 4")
+    mixed = "if Clara sells 7 apples for 2 dollars each and Dmitri buys 8 pears from Eva how much does Fritz have after 9 days"
+    found = leaks(spark, {1: ITEM.replace("sells 12", "sells 8"), 2: same, 3: mixed}, {10: ITEM})
+    assert set(found) == {(1, 10), (2, 10)} and found[1, 10][1]
+
+
 def test_tokens_of_a_text():
     text = "Ärger mit Anna: 3.5km, USA. Der Éclair I 1,000 Days".encode()
     data = np.frombuffer(text, dtype=np.uint8)
