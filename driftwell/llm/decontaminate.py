@@ -2,9 +2,10 @@
 
 Texts become tokens of letters or of digits (with a point or comma between digits). A number, a
 name (a capitalised word with a small second letter inside a sentence) and a unit become a typed
-placeholder; other words are lower-cased. Windows of ``WIDTH`` such tokens with at least
-``LITERALS`` words in them are hashed. Benchmark items of fewer tokens (``SHORTEST`` at least)
-are one window of their own length.
+placeholder; other words are lower-cased. Windows of ``WIDTH`` such tokens are hashed in two
+ways: as templates if they have at least ``LITERALS`` words, and all of them with the values in
+their slots, so that verbatim copies are found whatever they consist of. Benchmark items of fewer
+tokens (``SHORTEST`` at least) are one window of their own length.
 
 The hashes of the benchmark fill a bit field of fixed size (2**24 bits), which is sent to all
 tasks; windows of documents that miss it are dropped where they are made. The others are joined
@@ -53,6 +54,7 @@ BREAKS = np.zeros(256, dtype=bool)
 BREAKS[list(b".!?:;|\n\r\"")] = True
 NUMBER, NAME, UNIT = 1, 2, 3  # kinds of slots; 0 is a word
 PLACEHOLDER = mix(np.array([0, 11, 12, 13], dtype=np.uint64))
+VERBATIM = mix(np.array([14], dtype=np.uint64))[0]  # sets hashes of values apart from those of templates
 
 
 def lower(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,37 +119,39 @@ def _unit_values() -> np.ndarray:
 UNIT_VALUES = _unit_values()
 
 
-def windows(per_text: np.ndarray, what: np.ndarray, template: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first token (among all) and hash of each window with enough words in it."""
+def windows(per_text: np.ndarray, what: np.ndarray, template: np.ndarray, value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first token (among all) and hash of each window as a template, if it has enough words,
+    and of each window with its values; and which ones are the latter."""
     n = np.maximum(per_text - width + 1, 0)
     first = spread(np.cumsum(per_text) - per_text, n)
     text = np.repeat(np.arange(len(per_text)), n)
     words = np.concatenate([[0], np.cumsum(what == 0)])
     rich = words[first + width] - words[first] >= min(LITERALS, width - 1)
-    first, text = first[rich], text[rich]
-    return text, first, SECOND.windows(template, first, width) ^ np.uint64(width)
+    h = np.concatenate([SECOND.windows(template, first[rich], width), SECOND.windows(value, first, width) ^ VERBATIM])
+    verbatim = np.arange(len(h)) >= rich.sum()
+    return np.concatenate([text[rich], text]), np.concatenate([first[rich], first]), h ^ np.uint64(width), verbatim
 
 
 def _rows(batch: pa.RecordBatch, widths: Sequence[int], whole: bool, bits: np.ndarray | None = None) -> pa.RecordBatch:
-    """``id, width, h, pos, vals``: the windows of a batch; ``vals`` has the value of each slot and
-    0 for words. ``whole``: items; those shorter than the window are one window."""
+    """``id, width, h, pos, verbatim, vals``: the windows of a batch; ``vals`` has the value of each
+    slot and 0 for words. ``whole``: items; those shorter than the window are one window."""
     data, offsets = byte_view(batch.column("__text"))
     per_text, what, template, value = tokens(data, offsets)
     begin = np.cumsum(per_text) - per_text
     parts = []
     for width in widths:
-        text, first, h = windows(per_text, what, template, width)
+        text, first, h, verbatim = windows(per_text, what, template, value, width)
         if whole and width < WIDTH:
             real = per_text[text] == width
-            text, first, h = text[real], first[real], h[real]
+            text, first, h, verbatim = text[real], first[real], h[real], verbatim[real]
         if bits is not None:
             cell = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
             hit = (bits[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) > 0
-            text, first, h = text[hit], first[hit], h[hit]
+            text, first, h, verbatim = text[hit], first[hit], h[hit], verbatim[hit]
         at = (first[:, None] + np.arange(width)).ravel()
         vals = np.where(what[at] > 0, value[at], np.uint64(0)).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * width, pa.int32()), pa.array(vals))
-        parts.append(pa.table([batch.column("__id").take(pa.array(text)), pa.array(np.full(len(first), width, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(first - begin[text]), lists], ["id", "width", "h", "pos", "vals"]))
+        parts.append(pa.table([batch.column("__id").take(pa.array(text)), pa.array(np.full(len(first), width, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(first - begin[text]), pa.array(verbatim), lists], ["id", "width", "h", "pos", "verbatim", "vals"]))
     return pa.concat_tables(parts).combine_chunks()
 
 
@@ -159,7 +163,7 @@ def _windows(df: DataFrame, id_col: str, text_col: str, widths: Sequence[int], w
             yield from _rows(batch, widths, whole, sent.value).to_batches()
 
     texts = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    return texts.mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, width int, h bigint, pos bigint, vals array<bigint>")
+    return texts.mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, width int, h bigint, pos bigint, verbatim boolean, vals array<bigint>")
 
 
 def bit_field(hashes: DataFrame) -> np.ndarray:
@@ -179,11 +183,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = stored(_windows(benchmark, item_col, item_text_col, widths, True, None), "item-windows")
     present = sorted(r[0] for r in items.select("width").distinct().collect())  # a few lengths
     found = _windows(docs, id_col, text_col, present, False, bit_field(items))
-    found = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    items = items.select(F.col("id").alias("item"), F.col("h"), F.col("width"), F.col("pos").alias("item_pos"), F.col("vals").alias("item_vals"))
+    found = found.drop("verbatim").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    items = items.select(F.col("id").alias("item"), F.col("h"), F.col("width"), F.col("pos").alias("item_pos"), "verbatim", F.col("vals").alias("item_vals"))
     items = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    pairs = F.filter(F.arrays_zip(F.col("item_vals").alias("i"), F.col("vals").alias("d")), lambda p: p["i"] != 0)
-    # The hash covers the kind of every slot, so slots lie in the same places on both sides.
+    # The hash of a template covers the kind of every slot, so slots lie in the same places on both
+    # sides. Where the values are equal, the document may read a slot as a word.
+    theirs = F.when(F.col("verbatim"), F.col("item_vals")).otherwise(F.col("vals"))
+    pairs = F.filter(F.arrays_zip(F.col("item_vals").alias("i"), theirs.alias("d")), lambda p: p["i"] != 0)
     met = found.join(items, ["h", "width", "salt"]).select("id", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "pos", pairs.alias("pairs"))
     met = met.withColumn("own", F.forall("pairs", lambda p: p["i"] == p["d"]))
     alignment = Window.partitionBy("id", "item", "shift").orderBy("pos")  # an item's windows at most

@@ -172,6 +172,13 @@ def test_leaks_beside_an_inconsistent_slot(spark):
     assert set(found) == {(1, 10), (2, 10)} and found[1, 10][1]
 
 
+def test_verbatim_leaks_of_few_words(spark):
+    items = {1: "What is 345 + 876 - 12?", 2: "Anna has 3 apples, Boris 5", 3: "H2 + 3 Cl2 = 2 HCl 12 g at 3 km in 5 s", 4: "Anna Boris Clara Dmitri Eva Fritz Gerda Hans Ida"}
+    texts = {k: f"some words before. {t} and behind" for k, t in items.items()} | {5: "What is 345 + 876 - 13?", 6: "so Anna Boris Clara Dmitri Fritz Eva Gerda Hans Ida"}
+    found = leaks(spark, texts, items)
+    assert set(found) == {(k, k) for k in items} and all(exact for _, exact in found.values())
+
+
 def test_tokens_of_a_text():
     text = "Ärger mit Anna: 3.5km, USA. Der Éclair I 1,000 Days".encode()
     data = np.frombuffer(text, dtype=np.uint8)
