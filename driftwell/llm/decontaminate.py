@@ -4,7 +4,9 @@ Texts become tokens of letters or of digits (with a point or comma between digit
 name (a capitalised word with a small second letter inside a sentence) and a unit become a typed
 placeholder; other words are lower-cased. Windows of ``WIDTH`` such tokens are hashed in two
 ways: as templates if they have at least ``LITERALS`` words, and all of them with the values in
-their slots, so that verbatim copies are found whatever they consist of. Benchmark items of fewer
+their slots, so that verbatim copies are found whatever they consist of. A capitalised word that
+opens a text or a sentence may be a name or not, so templates are hashed with both readings, on
+both sides. A few words that open sentences (``OPENERS``) are never names. Benchmark items of fewer
 tokens (``SHORTEST`` at least) are one window of their own length.
 
 The hashes of the benchmark fill a bit field of fixed size (2**24 bits), which is sent to all
@@ -27,7 +29,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.llm.common import byte_view, in_steps, stored
@@ -46,6 +48,15 @@ UNITS = (
     "usd eur gbp dollar dollars cent cents euro euros percent degrees celsius fahrenheit mph kph watt watts volt volts joule joules"
 ).split()
 
+# Words that are no names wherever they stand, in the languages of the corpus.
+OPENERS = (
+    "what which who whom whose when where why how if the a an this that these those there here it is are was were do does did can could would should you he she we they "
+    "at for from to of and or but not no as by with then so all each every some let find given suppose "
+    "wer wie wo wann warum welche welcher welches der die das den dem des ein eine einen einem einer ist sind wenn und oder aber im auf für von zu mit er sie wir ihr "
+    "qui que quoi quel quelle quels quelles quand où pourquoi comment le la les un une des est sont si et ou mais dans sur pour de il elle nous vous ils elles "
+    "qué quién cuál cuáles cuándo dónde cómo cuánto el los las una unos unas es son y pero en con para por se lo"
+).split()
+
 LETTER, DIGIT = 1, 2
 CLASS = np.zeros(256, dtype=np.uint8)
 CLASS[ord("a") : ord("z") + 1] = CLASS[ord("A") : ord("Z") + 1] = CLASS[128:] = LETTER
@@ -71,6 +82,11 @@ def lower(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Number of tokens of each text; kind, template hash and value hash of each token."""
+    return read_tokens(data, offsets)[:4]
+
+
+def read_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Those of :func:`tokens`, and which words may be names as well."""
     kind = CLASS[data]
     if len(data) > 2:
         inner = ((data[1:-1] == 46) | (data[1:-1] == 44)) & (kind[:-2] == DIGIT) & (kind[2:] == DIGIT)
@@ -83,7 +99,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     per_text = np.diff(np.searchsorted(starts, offsets))
     if not len(starts):
         none = np.zeros(0, dtype=np.uint64)
-        return per_text, none.astype(np.int64), none, none
+        return per_text, none.astype(np.int64), none, none, none.astype(bool)
     small, capital = lower(data)
     mark = np.zeros(len(data), dtype=np.int64)
     mark[starts] = starts
@@ -99,9 +115,10 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     opens[at[per_text > 0]] = True
     after = starts + np.where(data[starts] == 0xC3, 2, 1)
     tail = np.minimum(after, len(data) - 1)
-    what[capital[starts] & (after < len(data)) & (kind[tail] == LETTER) & ~begins[tail] & ~capital[tail] & ~opens] = NAME
+    named = capital[starts] & (after < len(data)) & (kind[tail] == LETTER) & ~begins[tail] & ~capital[tail] & ~np.isin(value, NO_NAMES)
+    what[named & ~opens] = NAME
     what[np.isin(value, UNIT_VALUES)] = UNIT
-    return per_text, what, np.where(what > 0, PLACEHOLDER[what], value), value
+    return per_text, what, np.where(what > 0, PLACEHOLDER[what], value), value, named & (what == 0)
 
 
 def word_values(small: np.ndarray, place: np.ndarray, starts: np.ndarray, used: np.ndarray) -> np.ndarray:
@@ -109,49 +126,67 @@ def word_values(small: np.ndarray, place: np.ndarray, starts: np.ndarray, used:
     return mix(np.add.reduceat(np.where(used, SECOND.of_byte[small] * powers[place], np.uint64(0)), starts))
 
 
-def _unit_values() -> np.ndarray:
-    data = np.frombuffer("".join(UNITS).encode(), dtype=np.uint8)
-    size = np.array([len(u) for u in UNITS])
+def _values(words: Sequence[str]) -> np.ndarray:
+    raw = [w.encode() for w in words]
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    size = np.array([len(w) for w in raw])
     starts = np.cumsum(size) - size
     return word_values(data, np.arange(len(data)) - np.repeat(starts, size), starts, np.ones(len(data), dtype=bool))
 
 
-UNIT_VALUES = _unit_values()
+UNIT_VALUES, NO_NAMES = _values(UNITS), _values(OPENERS)
 
 
-def windows(per_text: np.ndarray, what: np.ndarray, template: np.ndarray, value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first token (among all) and hash of each window as a template, if it has enough words,
-    and of each window with its values; and which ones are the latter."""
+def windows(per_text: np.ndarray, what: np.ndarray, template: np.ndarray, value: np.ndarray, maybe: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first token (among all) and hash of each window as a template, in every reading with
+    enough words, and of each window with its values; which ones are the latter; and the places of
+    words read as names, as bits."""
     n = np.maximum(per_text - width + 1, 0)
     first = spread(np.cumsum(per_text) - per_text, n)
     text = np.repeat(np.arange(len(per_text)), n)
-    words = np.concatenate([[0], np.cumsum(what == 0)])
-    rich = words[first + width] - words[first] >= min(LITERALS, width - 1)
-    h = np.concatenate([SECOND.windows(template, first[rich], width), SECOND.windows(value, first, width) ^ VERBATIM])
-    verbatim = np.arange(len(h)) >= rich.sum()
-    return np.concatenate([text[rich], text]), np.concatenate([first[rich], first]), h ^ np.uint64(width), verbatim
+    count = np.concatenate([[0], np.cumsum(what == 0)])
+    words, least = count[first + width] - count[first], min(LITERALS, width - 1)
+    factors = SECOND.powers(SECOND.step, width)
+    row = np.flatnonzero(words >= least)
+    h, words, names = np.zeros(len(row), dtype=np.uint64), words[row], np.zeros(len(row), dtype=np.int64)
+    for j, factor in enumerate(factors):
+        h += template[first[row] + j] * factor
+    doubt = np.concatenate([[0], np.cumsum(maybe)])
+    some = np.flatnonzero(doubt[first[row] + width] > doubt[first[row]])
+    several = row[some], h[some], words[some], names[some]
+    for j, factor in enumerate(factors):
+        at, sums, left, bits = several
+        more = np.flatnonzero(maybe[first[at] + j] & (left > least))
+        other = sums[more] + (PLACEHOLDER[NAME] - value[first[at[more]] + j]) * factor
+        several = tuple(np.concatenate(z) for z in zip(several, (at[more], other, left[more] - 1, bits[more] | 1 << j)))
+    row, h, _, names = (np.concatenate([x, y[len(some) :]]) for x, y in zip((row, h, words, names), several))
+    verbatim = np.arange(len(row) + len(first)) >= len(row)
+    row, names = np.concatenate([row, np.arange(len(first))]), np.concatenate([names, np.zeros(len(first), dtype=np.int64)])
+    h = np.concatenate([mix(h), SECOND.windows(value, first, width) ^ VERBATIM]) ^ np.uint64(width)
+    return text[row], first[row], h, verbatim, names
 
 
 def _rows(batch: pa.RecordBatch, widths: Sequence[int], whole: bool, bits: np.ndarray | None = None) -> pa.RecordBatch:
-    """``id, width, h, pos, verbatim, vals``: the windows of a batch; ``vals`` has the value of each
-    slot and 0 for words. ``whole``: items; those shorter than the window are one window."""
+    """``id, width, h, pos, verbatim, other, vals``: the windows of a batch; ``other`` if a word is
+    read as a name; ``vals`` has the value of each slot and 0 for words. ``whole``: items; those shorter than the window are one window."""
     data, offsets = byte_view(batch.column("__text"))
-    per_text, what, template, value = tokens(data, offsets)
+    per_text, what, template, value, maybe = read_tokens(data, offsets)
     begin = np.cumsum(per_text) - per_text
     parts = []
     for width in widths:
-        text, first, h, verbatim = windows(per_text, what, template, value, width)
+        text, first, h, verbatim, names = windows(per_text, what, template, value, maybe, width)
         if whole and width < WIDTH:
             real = per_text[text] == width
-            text, first, h, verbatim = text[real], first[real], h[real], verbatim[real]
+            text, first, h, verbatim, names = text[real], first[real], h[real], verbatim[real], names[real]
         if bits is not None:
             cell = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
             hit = (bits[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) > 0
-            text, first, h, verbatim = text[hit], first[hit], h[hit], verbatim[hit]
+            text, first, h, verbatim, names = text[hit], first[hit], h[hit], verbatim[hit], names[hit]
         at = (first[:, None] + np.arange(width)).ravel()
-        vals = np.where(what[at] > 0, value[at], np.uint64(0)).view(np.int64)
+        slot = (what[at] > 0) | (names[:, None] >> np.arange(width) & 1 > 0).ravel()
+        vals = np.where(slot, value[at], np.uint64(0)).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * width, pa.int32()), pa.array(vals))
-        parts.append(pa.table([batch.column("__id").take(pa.array(text)), pa.array(np.full(len(first), width, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(first - begin[text]), pa.array(verbatim), lists], ["id", "width", "h", "pos", "verbatim", "vals"]))
+        parts.append(pa.table([batch.column("__id").take(pa.array(text)), pa.array(np.full(len(first), width, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(first - begin[text]), pa.array(verbatim), pa.array(names > 0), lists], ["id", "width", "h", "pos", "verbatim", "other", "vals"]))
     return pa.concat_tables(parts).combine_chunks()
 
 
@@ -163,7 +198,7 @@ def _windows(df: DataFrame, id_col: str, text_col: str, widths: Sequence[int], w
             yield from _rows(batch, widths, whole, sent.value).to_batches()
 
     texts = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    return texts.mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, width int, h bigint, pos bigint, verbatim boolean, vals array<bigint>")
+    return texts.mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, width int, h bigint, pos bigint, verbatim boolean, other boolean, vals array<bigint>")
 
 
 def bit_field(hashes: DataFrame) -> np.ndarray:
@@ -184,20 +219,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     present = sorted(r[0] for r in items.select("width").distinct().collect())  # a few lengths
     found = _windows(docs, id_col, text_col, present, False, bit_field(items))
     found = found.drop("verbatim").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    items = items.select(F.col("id").alias("item"), F.col("h"), F.col("width"), F.col("pos").alias("item_pos"), "verbatim", F.col("vals").alias("item_vals"))
+    items = items.select(F.col("id").alias("item"), F.col("h"), F.col("width"), F.col("pos").alias("item_pos"), "verbatim", F.col("other").alias("item_other"), F.col("vals").alias("item_vals"))
     items = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     # The hash of a template covers the kind of every slot, so slots lie in the same places on both
     # sides. Where the values are equal, the document may read a slot as a word.
     theirs = F.when(F.col("verbatim"), F.col("item_vals")).otherwise(F.col("vals"))
     pairs = F.filter(F.arrays_zip(F.col("item_vals").alias("i"), theirs.alias("d")), lambda p: p["i"] != 0)
-    met = found.join(items, ["h", "width", "salt"]).select("id", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "pos", pairs.alias("pairs"))
+    met = found.join(items, ["h", "width", "salt"]).select("id", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "pos", pairs.alias("pairs"), (F.col("other") | F.col("item_other")).alias("other"))
     met = met.withColumn("own", F.forall("pairs", lambda p: p["i"] == p["d"]))
     alignment = Window.partitionBy("id", "item", "shift").orderBy("pos")  # an item's windows at most
     met = met.withColumn("cut", (F.col("pos") - F.lag("pos").over(alignment) >= WIDTH).cast("int")).withColumn("run", F.coalesce(F.sum("cut").over(alignment), F.lit(0)))
-    runs = met.groupBy("id", "item", "shift", "run").agg(F.collect_set(F.struct("pos", "pairs", "own")).alias("all"))
-    slots = F.array_distinct(F.flatten("all.pairs"))
-    consistent = F.size(F.array_distinct(F.transform(slots, lambda p: p["i"]))) == F.size(slots)
-    kept = runs.select("id", "item", F.when(consistent, F.col("all")).otherwise(F.filter("all", lambda w: w["own"])).alias("kept")).where(F.size("kept") > 0)
+    runs = met.groupBy("id", "item", "shift", "run").agg(F.collect_set(F.struct("pos", "pairs", "own", "other")).alias("all"))
+
+    def consistent(found: Column) -> Column:
+        slots = F.array_distinct(F.flatten(F.transform(found, lambda w: w["pairs"])))
+        return F.size(F.array_distinct(F.transform(slots, lambda p: p["i"]))) == F.size(slots)
+
+    # A word read as a name vetoes nothing: without such readings the run may be consistent.
+    plain, own = F.filter("all", lambda w: ~w["other"] | w["own"]), F.filter("all", lambda w: w["own"])
+    kept = runs.select("id", "item", F.when(consistent(F.col("all")), F.col("all")).when(consistent(plain), plain).otherwise(own).alias("kept")).where(F.size("kept") > 0)
     counted = kept.select("id", "item", F.size(F.array_distinct("kept.pos")).alias("n"), F.forall("kept", lambda w: w["own"]).alias("exact"))
     out = counted.groupBy("id", "item").agg(F.sum("n").alias("n_windows"), F.max("exact").alias("exact"))
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "exact")

@@ -179,6 +179,18 @@ def test_verbatim_leaks_of_few_words(spark):
     assert set(found) == {(k, k) for k in items} and all(exact for _, exact in found.values())
 
 
+def test_leaks_that_open_with_a_name(spark):
+    """Capitalised first words are names or words, on both sides."""
+    items = {1: "What is the capital of France?", 2: "Anna bought three red apples and 2 pears", 3: "yesterday the old gardener Anna bought three red apples"}
+    texts = {
+        1: "he then asked What is the capital of France", 2: "so Clara bought three red apples and 7 pears", 3: "Clara bought three red apples and 7 pears",
+        4: "yesterday the old gardener. Clara bought three red apples", 5: "where Paris is the capital of France", 6: "he then asked What is the capital of Spain",
+    }
+    assert set(leaks(spark, texts, items)) == {(1, 1), (6, 1), (2, 2), (3, 2), (4, 3)}
+    twice = "Later the farmer sold 4 ripe yellow pears there. Later the farmer went home very slowly again"
+    assert set(leaks(spark, {1: "Later the farmer sold 9 ripe yellow pears there. Suddenly the farmer went home very slowly again"}, {1: twice})) == {(1, 1)}
+
+
 def test_tokens_of_a_text():
     text = "Ärger mit Anna: 3.5km, USA. Der Éclair I 1,000 Days".encode()
     data = np.frombuffer(text, dtype=np.uint8)
