@@ -1,6 +1,8 @@
 """Benchmark decontamination by templates.
 
-Texts become tokens of letters or of digits (with a point or comma between digits). A number, a
+Texts become tokens of letters or of digits (with a point or comma between digits); each character
+of a script written without spaces (Chinese, Japanese, Thai and the like) is a token of its own, with
+the marks behind it. Unicode spaces, punctuation and symbols are no tokens. A number, a
 name (a capitalised word with a small second letter inside a sentence) and a unit become a typed
 placeholder; other words are lower-cased. Windows of ``WIDTH`` such tokens are hashed in two
 ways: as templates if they have at least ``LITERALS`` words, and all of them with the values in
@@ -25,7 +27,9 @@ an empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,17 +61,60 @@ OPENERS = (
     "qué quién cuál cuáles cuándo dónde cómo cuánto el los las una unos unas es son y pero en con para por se lo"
 ).split()
 
-LETTER, DIGIT = 1, 2
+LETTER, DIGIT, ALONE, MARK, STOP = 1, 2, 3, 4, 5  # a character that is a token, a mark behind one; the end of a sentence
 CLASS = np.zeros(256, dtype=np.uint8)
 CLASS[ord("a") : ord("z") + 1] = CLASS[ord("A") : ord("Z") + 1] = CLASS[128:] = LETTER
 CLASS[ord("0") : ord("9") + 1] = DIGIT
 BREAKS = np.zeros(256, dtype=bool)
 BREAKS[list(b".!?:;|\n\r\"")] = True
+# Blocks of scripts written without spaces, and what ends or opens a sentence there or quotes.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+    (0xA000, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
+SPACED = ((0x3130, 0x318F),)  # Korean letters
+STOPS = "\x85\u2028\u2029\u2026\u3002\uff01\uff1f\uff1b\uff1a\uff0e\uff61\u00a1\u00bf\u00ab\u00bb\u201c\u201d\u201e\u061f\u06d4\u0964"
 NUMBER, NAME, UNIT = 1, 2, 3  # kinds of slots; 0 is a word
 PLACEHOLDER = mix(np.array([0, 11, 12, 13], dtype=np.uint64))
 VERBATIM = mix(np.array([14], dtype=np.uint64))[0]  # sets hashes of values apart from those of templates
 
 
+@lru_cache(maxsize=1)
+def kinds_of_characters() -> np.ndarray:
+    """LETTER, DIGIT, ALONE, MARK, STOP or 0 for each code point."""
+    unspaced = np.zeros(0x110000, dtype=bool)
+    for a, b in UNSPACED:
+        unspaced[a : b + 1] = True
+    for a, b in SPACED:
+        unspaced[a : b + 1] = False
+    groups = [unicodedata.category(chr(c)) for c in range(0x110000)]
+    out = np.array([0 if g[0] in "ZPS" or g == "Cc" or g == "Cf" else DIGIT if g == "Nd" else LETTER for g in groups], dtype=np.uint8)
+    out[[0xAD, 0x200C, 0x200D]] = LETTER  # inside words
+    out[unspaced & (out == LETTER)] = ALONE
+    out[np.array([g[0] == "M" for g in groups]) & unspaced] = MARK
+    out[[ord(c) for c in STOPS]] = STOP
+    return out
+
+
+def classify(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind of each byte's character; where a character begins that is a token; where a sentence ends."""
+    kind, alone, stops = CLASS[data], np.zeros(len(data), dtype=bool), BREAKS[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    whole = lead + size <= len(data)
+    lead, size = lead[whole], size[whole]
+    code = data[lead].astype(np.int64) & (0xFF >> size + 1)
+    for k in (1, 2, 3):
+        code = np.where(k < size, code << 6 | data[np.minimum(lead + k, len(data) - 1)] & 0x3F, code)
+    found = kinds_of_characters()[np.minimum(code, 0x10FFFF)] if len(lead) else code
+    alone[lead[found == ALONE]] = True
+    stops[lead[found == STOP]] = True
+    found = np.where(found == MARK, ALONE, np.where(found == STOP, 0, found))
+    for k in range(4):
+        kind[lead[k < size] + k] = found[k < size]
+    return kind, alone, stops
+
+
 def lower(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased bytes (A-Z, and the Latin letters of two bytes that begin with C3), and which bytes were capitals."""
     small = data.copy()
@@ -87,12 +134,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def read_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Those of :func:`tokens`, and which words may be names as well."""
-    kind = CLASS[data]
+    kind, alone, stops = classify(data)
     if len(data) > 2:
         inner = ((data[1:-1] == 46) | (data[1:-1] == 44)) & (kind[:-2] == DIGIT) & (kind[2:] == DIGIT)
         kind[1:-1][inner] = DIGIT
     begins = kind > 0
-    begins[1:] &= kind[1:] != kind[:-1]
+    begins[1:] &= (kind[1:] != kind[:-1]) | alone[1:]
     edge = offsets[:-1][np.diff(offsets) > 0]
     begins[edge] = kind[edge] > 0
     starts = np.flatnonzero(begins)
@@ -109,7 +156,7 @@ def read_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     value = word_values(small, place, starts, used)
     what = np.zeros(len(starts), dtype=np.int64)
     what[kind[starts] == DIGIT] = NUMBER
-    broken = np.concatenate([[0], np.cumsum(BREAKS[data] & ~used)])[starts]
+    broken = np.concatenate([[0], np.cumsum(stops & ~used)])[starts]
     opens = np.diff(broken, prepend=-1) > 0
     at = np.cumsum(per_text) - per_text
     opens[at[per_text > 0]] = True

@@ -191,6 +191,22 @@ def test_leaks_that_open_with_a_name(spark):
     assert set(leaks(spark, {1: "Later the farmer sold 9 ripe yellow pears there. Suddenly the farmer went home very slowly again"}, {1: twice})) == {(1, 1)}
 
 
+def test_leaks_of_texts_without_spaces(spark):
+    items = {1: "小明有三个苹果，他又买了五个梨。他一共有多少水果？", 2: "แม่ซื้อมะม่วงห้าผลจากตลาดแล้วให้ลูก", 3: "a train leaves the old station at noon today", 4: "彼は東京で本を読みました", 5: "하나 둘 셋 넷 다섯"}
+    texts = {
+        1: "前面还有别的话，小明有三个苹果，他又买了五个梨。他一共有多少水果？后面也有。", 2: f"ก่อนหน้านี้{items[2]}แล้วก็จบ", 3: "“a train\u00a0leaves the—old\u2009station at noon today”",
+        4: f"昨日{items[4]}と言った", 5: "“하나 둘\u3000셋 넷 다섯”", 6: "完全不同的一句话在这里没有别的意思",
+    }
+    assert set(leaks(spark, texts, items)) == {(k, k) for k in items}
+
+
+def test_characters_of_a_text():
+    text = "\u4e2d\u6587\u3002km\u00b2 x\u0e01\u0e34\u0e02 \u0663\u0664"
+    data = np.frombuffer(text.encode() + b"\xe4\xc3", dtype=np.uint8)  # ends in the middle of a character
+    n, what, _, _ = decontaminate.tokens(data, np.array([0, len(data) - 2, len(data)]))
+    assert n.tolist() == [7, 1] and what.tolist() == [0, 0, 0, 0, 0, 0, 1, 0]
+
+
 def test_tokens_of_a_text():
     text = "Ärger mit Anna: 3.5km, USA. Der Éclair I 1,000 Days".encode()
     data = np.frombuffer(text, dtype=np.uint8)
