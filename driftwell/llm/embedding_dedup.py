@@ -3,16 +3,19 @@
 1. Fit on a bounded sample (``SAMPLE`` valid vectors with the smallest hash of their id):
    principal axes of the unit vectors, then a rotation that brings the projections closest to the
    corners of a cube, found by alternating signs and a Procrustes solution. Every vector gets a
-   code of up to 64 balanced bits.
+   code of 64 balanced bits; vectors of fewer components get further bits from random rotations.
 2. Codes are cut into ``TABLES`` substrings. Vectors of one label whose substrings differ in at
-   most ``PROBE`` bits in any table are retrieved for each other. Buckets beyond ``TILE`` rows
+   most ``probe`` bits in any table are retrieved for each other. Buckets beyond ``TILE`` rows
    are split by hash, and pairs of pieces are compared.
 3. Retrieved pairs are compared with their original vectors, in double precision. A pair counts
    in the first table that retrieves it. Only counts per vector and a spanning forest of the links
    leave a comparison, never the pairs.
 
-With 8 tables of 8 bits a pair at cosine 0.93, whose codes differ in about an eighth of the bits,
-is missed with a chance of about 3 in 100, closer pairs less often. For tables of billions of
+Taking codes around the mean widens the angles of vectors that share a direction, so how many bits
+a pair at the threshold differs in depends on the data. By default ``probe`` is the least that
+retrieves ``RECALL`` of pairs made at the threshold itself from the sample, with steps in any
+direction and with steps towards other vectors. Without a common direction that is 0 for 64
+components; closer pairs are missed less often. For tables of billions of
 vectors use 4 tables of 16 bits with ``probe=2``: more look-ups, far smaller buckets.
 
 Defined cases: null, zero, null-holding or non-finite vectors, vectors of another length than most
@@ -37,7 +40,7 @@ from driftwell.llm.components import components
 
 COSINE = 0.93
 SAMPLE = 20_000
-BITS, TABLES, PROBE = 64, 8, 0
+BITS, TABLES, RECALL = 64, 8, 0.95
 TILE = 1024
 
 
@@ -66,17 +69,18 @@ class Quantiser:
 
     def __init__(self, units: np.ndarray, bits: int = BITS, rounds: int = 50, seed: int = 7):
         n, self.dim = units.shape
-        self.bits = min(bits, self.dim)
+        self.bits = bits
         self.mean = units.mean(axis=0) if n else np.zeros(self.dim)
         centred = units - self.mean
         _, axes = np.linalg.eigh(centred.T @ centred)
         axes = axes[:, ::-1][:, : self.bits]
         projected = centred @ axes
-        turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(self.bits, self.bits)))[0]
+        draw, size = np.random.default_rng(seed), axes.shape[1]
+        turns = [np.linalg.qr(draw.normal(size=(size, size)))[0] for _ in range(-(-bits // size))]
         for _ in range(rounds if n else 0):
-            u, _, v = np.linalg.svd(projected.T @ np.where(projected @ turn > 0, 1.0, -1.0))
-            turn = u @ v
-        self.axes = axes @ turn
+            u, _, v = np.linalg.svd(projected.T @ np.where(projected @ turns[0] > 0, 1.0, -1.0))
+            turns[0] = u @ v
+        self.axes = axes @ np.concatenate(turns, axis=1)[:, :bits]
 
     def codes(self, units: np.ndarray) -> np.ndarray:
         signs = np.zeros((len(units), 64), dtype=np.uint8)
@@ -84,13 +88,35 @@ class Quantiser:
         return np.packbits(signs, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fit(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> Quantiser | None:
-    """None if no vector is valid."""
+def least_probe(units: np.ndarray, model: Quantiser, cosine: float, tables: int, recall: float = RECALL, seed: int = 11) -> int:
+    """The least probe that retrieves this share of pairs at ``cosine``, made from units of the sample."""
+    width, draw, probe = 64 // tables, np.random.default_rng(seed), 0
+    units = units[:4000]
+    codes = model.codes(units)
+    for step in (draw.normal(size=units.shape), units[draw.permutation(len(units))]):
+        step = step - (step * units).sum(axis=1)[:, None] * units
+        size = np.linalg.norm(step, axis=1)
+        real = size > 1e-6
+        if not real.any():
+            continue
+        near = cosine * units[real] + np.sqrt(max(0.0, 1 - cosine**2)) * step[real] / size[real, None]
+        apart = codes[real] ^ model.codes(near)
+        least = np.min([np.bitwise_count(apart >> np.uint64(width * t) & np.uint64((1 << width) - 1)) for t in range(tables)], axis=0)
+        while (least <= probe).mean() < recall:
+            probe += 1
+    return probe
+
+
+def fit(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, cosine: float = COSINE, tables: int = TABLES) -> tuple[Quantiser, int] | None:
+    """The quantiser and the probe that this sample asks for; None if no vector is valid."""
     drawn = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
     drawn = drawn.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(F.col(vector_col).alias("v")).toArrow()
     column = drawn.column("v").combine_chunks() if drawn.num_rows else pa.array([], pa.list_(pa.float64()))
     units, _ = unit_rows(column)
-    return Quantiser(units) if len(units) else None
+    if not len(units):
+        return None
+    model = Quantiser(units)
+    return model, least_probe(units, model, cosine, tables)
 
 
 def same_label_links(vectors: DataFrame, model: Quantiser, id_col: str, vector_col: str, label_col: str, cosine: float, tables: int, probe: int) -> DataFrame:
@@ -108,8 +134,7 @@ def same_label_links(vectors: DataFrame, model: Quantiser, id_col: str, vector_c
     named = real.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     coded = stored(named.mapInArrow(encode, f"id bigint, label {kinds[label_col]}, v {kinds[vector_col]}, code bigint"), "codes")
 
-    used = -(-model.bits // width)
-    cut = F.array(*[F.shiftrightunsigned("code", width * t).bitwiseAND(F.lit((1 << width) - 1)) for t in range(used)])
+    cut = F.array(*[F.shiftrightunsigned("code", width * t).bitwiseAND(F.lit((1 << width) - 1)) for t in range(tables)])
     placed = coded.select("id", "label", "v", "code", F.posexplode(cut).alias("t", "bucket"))
     key = ["label", "t", "bucket"]
     sizes = placed.groupBy(*key).agg(F.ceil(F.count("*") / TILE).cast("int").alias("pieces"))
@@ -187,13 +212,15 @@ def spanning(ix: np.ndarray, iy: np.ndarray, a: np.ndarray, b: np.ndarray) -> tu
 
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-    cosine: float = COSINE, sample: int = SAMPLE, tables: int = TABLES, probe: int = PROBE,
+    cosine: float = COSINE, sample: int = SAMPLE, tables: int = TABLES, probe: int | None = None,
 ) -> DataFrame:
     """``id, n_links, component_id`` (smallest id reachable), ``kept`` of every row."""
     ids = vectors.select(F.col(id_col).cast("bigint").alias(id_col))
-    model = fit(vectors, id_col, vector_col, sample)
-    if model is None:
+    fitted = fit(vectors, id_col, vector_col, sample, cosine, tables)
+    if fitted is None:
         return ids.select(id_col, F.lit(0).cast("bigint").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
+    model, least = fitted
+    probe = least if probe is None else probe
     found = same_label_links(vectors, model, id_col, vector_col, label_col, cosine, tables, probe)
     counts = found.where("n is not null").groupBy(F.col("a").alias(id_col)).agg(F.sum("n").alias("n_links"))
     joined = components(found.where("b is not null").select("a", "b")).withColumnsRenamed({"node": id_col, "component": "component_id"})

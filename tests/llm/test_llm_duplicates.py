@@ -279,6 +279,27 @@ def test_embedding_recall_on_the_table(spark):
     assert sum(found.values()) >= 0.99 * link.sum() > 0
 
 
+@pytest.mark.parametrize("dim, common", [(64, 0.7), (32, 0.0), (32, 0.7), (64, 0.85)])
+def test_embedding_recall_at_the_threshold(spark, dim, common):
+    """Pairs at a cosine of 0.93 to 0.95, of vectors with a common direction or few components."""
+    draw = np.random.default_rng(12)
+    base = draw.normal(size=(700, dim)) / np.sqrt(dim) * np.sqrt(1 - common)
+    base[:, 0] += np.sqrt(common)
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    step = draw.normal(size=base.shape)
+    step -= (step * base).sum(axis=1)[:, None] * base
+    cosine = draw.uniform(0.93, 0.95, len(base))[:, None]
+    near = cosine * base + np.sqrt(1 - cosine**2) * step / np.linalg.norm(step, axis=1)[:, None]
+    x = np.concatenate([base, near])
+    assert 0.9 * common - 0.1 < (base @ base.T).mean() < common + 0.1
+    band = (x @ x.T >= 0.93) & (x @ x.T < 0.95)
+    frame = spark.createDataFrame([(i, v.tolist(), 0, *["x"] * 4) for i, v in enumerate(x)], VECTORS.replace("array<float>", "array<double>"))
+    found = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(frame).collect()}
+    links = (x @ x.T >= 0.93).sum(axis=1) - 1
+    assert band.sum() > 0.9 * links.sum() and all(found[i] <= n for i, n in enumerate(links))
+    assert sum(found.values()) >= 0.92 * links.sum() > 0
+
+
 def test_embedding_edges(spark):
     empty = spark.createDataFrame([], VECTORS)
     assert embedding_dedup.near_duplicates(empty).count() == 0
