@@ -59,15 +59,15 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``id, fp`` (64 bits in a signed long) of every row."""
+    """``id, __same`` (a hash of the text), ``fp`` (64 bits in a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_steps(batches, "__text"):
             found = [fingerprint(t, shingle) for t in batch.column("__text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("__same"), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], [id_col, "__same", "fp"])
 
-    texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    return texts.mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fp bigint")
+    texts = docs.select(id_col, F.xxhash64(text_col).alias("__same"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    return texts.mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, __same bigint, fp bigint")
 
 
 def part_counts(fp: Column) -> list[Column]:
@@ -148,20 +148,26 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``id, fingerprint`` (16 hexadecimal digits) and ``component_id`` (smallest id reachable) of every row."""
+    out = classed(docs, id_col, text_col, shingle, radius)
+    return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
+    """The rows of :func:`fingerprints` with ``component_id``."""
     found = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     named = stored(found.groupBy("fp").agg(F.min(id_col).alias("name")), "fingerprint-names")
     near = links(named.where("name is not null").select("fp"), radius)
     names_a, names_b = (named.select(F.col("fp").alias(c), F.col("name").alias(f"name_{c}")) for c in ("a", "b"))
     joined = components(near.join(names_a, "a").join(names_b, "b").select(F.col("name_a").alias("a"), F.col("name_b").alias("b")))
     classes = named.join(joined.withColumnRenamed("node", "name"), "name", "left").select("fp", F.coalesce("component", "name").alias("component_id"))
-    out = found.join(classes, "fp")
-    return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.join(classes, "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of one row of each group: the one whose id names the group. Rows that repeat an
-    id and its text count once; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    others = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    left = docs.join(others, id_col, "left_anti").withColumn("__same", F.xxhash64(text_col))
-    return left.dropDuplicates([id_col, "__same"]).drop("__same")
+    """All columns of one row of each group: the one whose id names the group. Each text of a
+    repeated id is judged by its own group. Rows that repeat an id and its text count once; rows with a null id stay."""
+    found = classed(docs, id_col, text_col, SHINGLE, RADIUS)
+    others = found.where(F.col("component_id") != F.col(id_col)).select(id_col, "__same").distinct()
+    left = docs.withColumn("__same", F.xxhash64(text_col)).join(others, [id_col, "__same"], "left_anti")
+    left = left.withColumn("__row", F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))  # no two null ids are the same
+    return left.dropDuplicates([id_col, "__same", "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -94,6 +94,14 @@ def test_keep_one_of_each_group(corpus):
     assert simhash.keep_one(corpus).columns == corpus.columns
 
 
+def test_keep_one_judges_texts_and_not_ids(spark):
+    draw = random.Random(4)
+    a, b, c = (prose(draw, 80) for _ in range(3))
+    rows = [(5, a), (6, a), (3, b), (5, b), (9, b), (None, c), (None, c), (7, c), (8, None), (8, None)]
+    found = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs_of(spark, rows)).collect()), key=str)
+    assert found == sorted([(5, a), (3, b), (None, c), (None, c), (7, c), (8, None)], key=str)
+
+
 def test_components_of_paths_and_stars(spark):
     draw = random.Random(1)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(300)] + [(5000, 5000), (7001, 7000), (7000, 7001)]
