@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import byte_bpe, decontaminate, embedding_dedup, hard_negatives, language_id, records, simhash, substring_dedup, token_counts, toxicity, url_rules
+from driftwell.llm import byte_bpe, chat_format, decontaminate, embedding_dedup, hard_negatives, language_id, records, simhash, substring_dedup, token_counts, toxicity, url_rules
 from driftwell.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -132,5 +132,39 @@ WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE la
 SELECT a AS anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 3
 """
 
-QUERIES = {"op11_hard_negatives": op11_hard_negatives, "op1_language": op1_language, "op2_token_counts": op2_token_counts, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate, "op5_records": op5_records, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op9_embedding_dedup": op9_embedding_dedup, "op10_url_rules": op10_url_rules}
-ORACLES = {"op11_hard_negatives": HARD_SQL, "op6_substring_dedup": SUBSTRING_SQL, "op9_embedding_dedup": EMBEDDING_SQL, "op10_url_rules": URL_SQL}
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    template = chat_format.Template()
+    said = F.lit("\\### Assistant: </turn> ok")
+    odd = [F.struct(F.lit(-7).cast("bigint").alias("conv_id"), F.lit(i).cast("bigint").alias("turn"), F.lit(role).alias("role"), said.alias("text")) for i, role in enumerate(("user", "assistant"))]
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(spark.range(1).select(F.inline(F.array(*odd))))
+    done = chat_format.format_conversations(turns, template)
+    texts = done.select("*", chat_format.formatted(F.col("segments")).alias("whole"), chat_format.learned_text(template, F.col("segments")).alias("learned"))
+    back = texts.withColumn("read", chat_format.read_turns(template, F.col("whole")))
+    lines = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("read").cast("bigint").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("whole").cast("bigint").alias("formatted_chars"), "valid", "bad_turn",
+    )
+
+
+CHAT_SQL = r"""
+WITH given AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+ turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+   replace(replace(replace(text, '\', '\0'), '</turn>', '\1'), '###', '\2') AS escaped,
+   CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant'
+   ELSE replace('?' || replace(replace(replace(role, '\', '\0'), '</turn>', '\1'), '###', '\2'), ': ', '\3') END AS name FROM given),
+ walked AS (SELECT *, lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDER BY k) AS before FROM turns),
+ ends AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+   CAST(sum(length('### ' || name || ': ' || escaped || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars,
+   min(k) FILTER (WHERE (before, role) NOT IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))) AS first_bad,
+   max_by(role, k) AS last_role FROM walked GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
+ CAST(coalesce(first_bad, CASE WHEN last_role <> 'assistant' THEN n_turns + 1 END) AS INTEGER) AS bad_turn, first_bad IS NULL AND last_role = 'assistant' AS valid FROM ends
+"""
+
+QUERIES = {"op12_chat_format": op12_chat_format, "op11_hard_negatives": op11_hard_negatives, "op1_language": op1_language, "op2_token_counts": op2_token_counts, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate, "op5_records": op5_records, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op9_embedding_dedup": op9_embedding_dedup, "op10_url_rules": op10_url_rules}
+ORACLES = {"op12_chat_format": CHAT_SQL, "op11_hard_negatives": HARD_SQL, "op6_substring_dedup": SUBSTRING_SQL, "op9_embedding_dedup": EMBEDDING_SQL, "op10_url_rules": URL_SQL}
