@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import byte_bpe, chat_format, decontaminate, embedding_dedup, hard_negatives, language_id, records, simhash, substring_dedup, token_counts, toxicity, url_rules
+from driftwell.llm import byte_bpe, chat_format, decontaminate, embedding_dedup, hard_negatives, importance, language_id, records, simhash, substring_dedup, token_counts, toxicity, url_rules
 from driftwell.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -166,5 +166,10 @@ SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
  CAST(coalesce(first_bad, CASE WHEN last_role <> 'assistant' THEN n_turns + 1 END) AS INTEGER) AS bad_turn, first_bad IS NULL AND last_role = 'assistant' AS valid FROM ends
 """
 
-QUERIES = {"op12_chat_format": op12_chat_format, "op11_hard_negatives": op11_hard_negatives, "op1_language": op1_language, "op2_token_counts": op2_token_counts, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate, "op5_records": op5_records, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op9_embedding_dedup": op9_embedding_dedup, "op10_url_rules": op10_url_rules}
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op13_importance": op13_importance, "op12_chat_format": op12_chat_format, "op11_hard_negatives": op11_hard_negatives, "op1_language": op1_language, "op2_token_counts": op2_token_counts, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate, "op5_records": op5_records, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op9_embedding_dedup": op9_embedding_dedup, "op10_url_rules": op10_url_rules}
 ORACLES = {"op12_chat_format": CHAT_SQL, "op11_hard_negatives": HARD_SQL, "op6_substring_dedup": SUBSTRING_SQL, "op9_embedding_dedup": EMBEDDING_SQL, "op10_url_rules": URL_SQL}
