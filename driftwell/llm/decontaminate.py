@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from driftwell.llm.common import byte_view, in_steps, stored
 from driftwell.llm.memory import spread
-from driftwell.llm.words import FIRST, SECOND, mix
+from driftwell.llm.words import FIRST, SECOND, SHORT, mix, rehash_long
 
 WIDTH, LITERALS, SHORTEST = 8, 5, 4
 FILTER_BITS = 24
@@ -169,8 +169,9 @@ def read_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_values(small: np.ndarray, place: np.ndarray, starts: np.ndarray, used: np.ndarray) -> np.ndarray:
-    powers = FIRST.powers(FIRST.base, int(place.max()) + 1)
-    return mix(np.add.reduceat(np.where(used, SECOND.of_byte[small] * powers[place], np.uint64(0)), starts))
+    powers = FIRST.powers(FIRST.base, SHORT)
+    h = mix(np.add.reduceat(np.where(used, SECOND.of_byte[small] * powers[np.minimum(place, SHORT - 1)], np.uint64(0)), starts))
+    return rehash_long(h, small, starts, np.maximum.reduceat(place, starts) + 1, SECOND.seed)
 
 
 def _values(words: Sequence[str]) -> np.ndarray:

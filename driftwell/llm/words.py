@@ -1,15 +1,21 @@
 """Words of whole texts and hashes of their windows, as arrays over UTF-8 bytes.
 
 A word is a run of bytes other than blank, tab, line feed, vertical tab, form feed and carriage
-return. Hashes are polynomials modulo 2**64 with random values per byte, mixed at the end.
+return. Hashes of words up to ``SHORT`` bytes are polynomials modulo 2**64 with random values per byte, mixed
+at the end. Long words can be made to collide under any polynomial modulo a power of two
+(Thue-Morse words), so those are hashed by XXH64.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from driftwell.llm.memory import spread
 
+#: Such words of this length agree in 20 bits of 64 at most, before mixing.
+SHORT = 32
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
 
@@ -21,8 +27,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def rehash_long(h: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """``h`` with a hash of another family for words of more than ``SHORT`` bytes."""
+    for i in np.flatnonzero(size > SHORT):
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + size[i]].tobytes(), seed)
+    return h
+
+
 class Hash:
     def __init__(self, seed: int):
+        self.seed = seed
         draw = np.random.default_rng(seed)
         self.of_byte = draw.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.of_byte[SPACE] = 0
@@ -35,7 +49,9 @@ class Hash:
         """``place``: of each byte in its word; ``starts``: of words."""
         if not len(starts):
             return np.zeros(0, dtype=np.uint64)
-        return mix(np.add.reduceat(self.of_byte[data] * self.powers(self.base, int(place.max()) + 1)[place], starts))
+        powers = self.powers(self.base, SHORT)
+        h = mix(np.add.reduceat(self.of_byte[data] * powers[np.minimum(place, SHORT - 1)], starts))
+        return rehash_long(h, data, starts, np.maximum.reduceat(place, starts) + 1, self.seed)
 
     def windows(self, words: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
         out = np.zeros(len(first), dtype=np.uint64)
