@@ -68,10 +68,12 @@ def unframe(data: bytes) -> bytes:
 class WordEncoder:
     """The tokenizers library over whole texts, with a bounded memory of words.
 
-    The tokenizer must drop white space and encode what stands between on its own. Texts are
-    split at ASCII white space; A-Z are lower-cased when the tokenizer does so anyway. Words of
-    letters, with ASCII punctuation behind them set apart, go to the library many at a time:
-    each is one pre-token, so tokens that end a word show where one ends. Others go one by one.
+    The tokenizer must drop white space, lower-case A-Z and encode what stands between spaces on its own. Texts
+    are split at ASCII white space and lower-cased, but for those with an added token in any case: these tokens
+    are matched before the tokenizer lower-cases. Words of letters, with ASCII punctuation behind
+    them set apart, go to the library many at a time: each is one pre-token, so tokens that end a
+    word show where one ends. Letters are those that normalise to letters only: a mark and the
+    punctuation behind it may be one pre-token. Others go one by one.
     """
 
     SPLIT = re.compile(rb"[.,!?;:|]+\Z")
@@ -83,15 +85,21 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         suffix = self.tokenizer.model.end_of_word_suffix
         self.ends = np.zeros(self.size, dtype=bool)
         self.ends[[n for token, n in vocabulary.items() if token.endswith(suffix)]] = True
         self.cores = Memory(self._encode_cores)
         self.words = Memory(self._encode_words)
 
+    def is_letters(self, text: str) -> bool:
+        if text.isascii() or not self.tokenizer.normalizer:
+            return text.isalpha()
+        return text.isalpha() and self.tokenizer.normalizer.normalize_str(text).isalpha()
+
     def _encode_cores(self, cores: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [c.decode() for c in cores]
-        plain = np.array([t.isalpha() for t in texts], dtype=bool)
+        plain = np.array([self.is_letters(t) for t in texts], dtype=bool)
         counts = np.zeros(len(cores), dtype=np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         singly = [np.flatnonzero(~plain)]
@@ -120,7 +128,7 @@ class WordEncoder:
         numbers, per_word = [], np.ones(len(words), dtype=np.int64)
         for i, word in enumerate(words):
             cut = self.SPLIT.search(word)
-            if cut and 0 < cut.start() and word[: cut.start()].decode().isalpha():
+            if cut and 0 < cut.start() and self.is_letters(word[: cut.start()].decode()):
                 numbers += [self.cores[word[: cut.start()]], self.cores[cut[0]]]
                 per_word[i] = 2
             else:
@@ -135,7 +143,8 @@ class WordEncoder:
         more entry at the end)."""
         parts, per_text = [], np.zeros(len(texts) + 1, dtype=np.int64)
         for i, text in enumerate(texts):
-            found = text.lower().split()
+            low = text.lower()
+            found = (text if any(t in low for t in self.added) else low).split()
             per_text[i + 1] = len(found)
             parts.append(np.fromiter(map(self.words.__getitem__, found), dtype=np.int64, count=len(found)))
         ids, size = self.words.get_ids(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64))
