@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,27 @@ def may_teach(doc_id: Column) -> Column:
     return doc_id.isNotNull() & ~is_held_out(doc_id)
 
 
+def least_hashes(df: DataFrame, n: int, total: int, h: Column) -> DataFrame:
+    """About ``2 * n`` of ``total`` rows, those with the smallest hash ``h`` among them: what a
+    sample of ``n`` rows is drawn from, so that few rows travel to be sorted."""
+    return df.where(h.cast("double") <= F.lit(-(2.0**63) + min(1.0, (2.0 * n + 200) / max(total, 1)) * 2.0**64))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def refuse(keep: Sequence[str], *taken: str) -> None:
+    """Columns to keep can't have the names of the result's own."""
+    clash = {c.lower() for c in keep} & set(taken)
+    if clash:
+        raise ValueError(f"{sorted(clash)} are columns of the result; rename the given ones")
+
+
 def in_steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows whose texts hold about ``limit`` bytes; every text stays whole."""
     for batch in batches:

@@ -1,9 +1,11 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, exact rerank.
 
-1. Fit on a bounded sample (``SAMPLE`` valid vectors with the smallest hash of their id):
-   principal axes of the unit vectors, then a rotation that brings the projections closest to the
-   corners of a cube, found by alternating signs and a Procrustes solution. Every vector gets a
+1. Fit on a bounded sample (``SAMPLE`` valid vectors with the smallest hash of their id), for each
+   length of vectors by itself: principal axes of the unit vectors, then a rotation that brings the projections
+   closest to the corners of a cube, found by alternating signs and a Procrustes solution. Every vector gets a
    code of 64 balanced bits; vectors of fewer components get further bits from random rotations.
+   Lengths with less than ``SHARE`` of the sample take random rotations around zero, which keep all angles
+   whatever the data.
 2. Codes are cut into ``TABLES`` substrings. Vectors of one label whose substrings differ in at
    most ``probe`` bits in any table are retrieved for each other. Buckets beyond ``TILE`` rows
    are split by hash, and pairs of pieces are compared.
@@ -18,9 +20,9 @@ direction and with steps towards other vectors. Without a common direction that
 components; closer pairs are missed less often. For tables of billions of
 vectors use 4 tables of 16 bits with ``probe=2``: more look-ups, far smaller buckets.
 
-Defined cases: null, zero, null-holding or non-finite vectors, vectors of another length than most
-of the sample, null labels and null ids link with nothing: they have no links and are a component
-of their own (null for a null id, and kept). Rows of one id are one vector: they don't link with
+Defined cases: null, empty, zero, null-holding or non-finite vectors, null labels and null ids link
+with nothing: they have no links and are a component of their own (null for a null id, and kept). Vectors of
+different length don't link with each other. Rows of one id are one vector: they don't link with
 each other and their links add up. An empty table gives an empty result. Other columns are not read.
 """
 
@@ -35,15 +37,20 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import stored
+from driftwell.llm.common import least_hashes, stored
 from driftwell.llm.components import components
 
 COSINE = 0.93
-SAMPLE = 20_000
+SAMPLE, SHARE = 20_000, 0.05
 BITS, TABLES, RECALL = 64, 8, 0.95
 TILE = 1024
 
 
+def lengths(column: pa.Array) -> list[int]:
+    """The different lengths of the vectors, without 0."""
+    return [n for n in pa.compute.list_value_length(column).unique().to_pylist() if n]
+
+
 def unit_rows(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of length ``dim`` (None: the most frequent) as unit rows in double precision, and
     the places of the valid ones."""
@@ -107,36 +114,43 @@ def least_probe(units: np.ndarray, model: Quantiser, cosine: float, tables: int,
     return probe
 
 
-def fit(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, cosine: float = COSINE, tables: int = TABLES) -> tuple[Quantiser, int] | None:
-    """The quantiser and the probe that this sample asks for; None if no vector is valid."""
+def fit(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, cosine: float = COSINE, tables: int = TABLES) -> tuple[dict[int, Quantiser], int] | None:
+    """The quantisers by length and the probe that this sample asks for; None if no vector is valid."""
     drawn = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
-    drawn = drawn.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(F.col(vector_col).alias("v")).toArrow()
+    h = F.xxhash64(id_col)
+    drawn = least_hashes(drawn.select(id_col, vector_col), sample, drawn.count(), h)
+    drawn = drawn.orderBy(h, id_col).limit(sample).select(F.col(vector_col).alias("v")).toArrow()
     column = drawn.column("v").combine_chunks() if drawn.num_rows else pa.array([], pa.list_(pa.float64()))
-    units, _ = unit_rows(column)
-    if not len(units):
+    units = {dim: unit_rows(column, dim)[0] for dim in lengths(column)}
+    total = sum(map(len, units.values()))
+    if not total:
         return None
-    model = Quantiser(units)
-    return model, least_probe(units, model, cosine, tables)
+    models = {dim: Quantiser(x) for dim, x in units.items() if len(x) >= SHARE * total}
+    return models, max((least_probe(units[dim], model, cosine, tables) for dim, model in models.items()), default=0)
 
 
-def same_label_links(vectors: DataFrame, model: Quantiser, id_col: str, vector_col: str, label_col: str, cosine: float, tables: int, probe: int) -> DataFrame:
+def same_label_links(vectors: DataFrame, models: dict[int, Quantiser], id_col: str, vector_col: str, label_col: str, cosine: float, tables: int, probe: int) -> DataFrame:
     """``a, b``: a spanning forest of the links; and ``a, n``: links of vector a, to be added up."""
     kinds = dict(vectors.dtypes)
     width = 64 // tables
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = dict(models)
         for batch in batches:
-            units, at = unit_rows(batch.column("v"), model.dim)
-            part = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.codes(units).view(np.int64))], ["id", "label", "v", "code"])
+            for dim in lengths(batch.column("v")):
+                if dim not in known:
+                    known[dim] = Quantiser(np.zeros((0, dim)))
+                units, at = unit_rows(batch.column("v"), dim)
+                part = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(at), dim, dtype=np.int32)), pa.array(known[dim].codes(units).view(np.int64))], ["id", "label", "v", "dim", "code"])
 
     real = vectors.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(vector_col).isNotNull())
     named = real.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
-    coded = stored(named.mapInArrow(encode, f"id bigint, label {kinds[label_col]}, v {kinds[vector_col]}, code bigint"), "codes")
+    coded = stored(named.mapInArrow(encode, f"id bigint, label {kinds[label_col]}, v {kinds[vector_col]}, dim int, code bigint"), "codes")
 
     cut = F.array(*[F.shiftrightunsigned("code", width * t).bitwiseAND(F.lit((1 << width) - 1)) for t in range(tables)])
-    placed = coded.select("id", "label", "v", "code", F.posexplode(cut).alias("t", "bucket"))
-    key = ["label", "t", "bucket"]
+    placed = coded.select("id", "label", "v", "dim", "code", F.posexplode(cut).alias("t", "bucket"))
+    key = ["label", "dim", "t", "bucket"]
     sizes = placed.groupBy(*key).agg(F.ceil(F.count("*") / TILE).cast("int").alias("pieces"))
     split = placed.join(sizes, key).withColumn("piece", F.pmod(F.xxhash64("id", "code"), F.col("pieces")).cast("int"))
     tiles = split.groupBy(*key, "piece", "pieces").agg(F.collect_list(F.struct("id", "code", "v")).alias("rows"))  # about TILE each
@@ -167,7 +181,7 @@ def same_label_links(vectors: DataFrame, model: Quantiser, id_col: str, vector_c
         )
 
     def unpack(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        units, _ = unit_rows(rows.field("v"), model.dim)
+        units, _ = unit_rows(rows.field("v"))  # all of one length
         return rows.field("id").to_numpy(), rows.field("code").to_numpy().view(np.uint64), units
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +198,7 @@ def same_label_links(vectors: DataFrame, model: Quantiser, id_col: str, vector_c
     out = "a bigint, b bigint, n bigint"
     single = tiles.select("rows", "t").mapInArrow(within, out)
     moves = [sum(1 << b for b in bits) for r in range(1, probe + 1) for bits in combinations(range(width), r)]
-    other = tiles.select("label", "t", F.col("bucket").alias("from_bucket"), F.col("piece").alias("from_piece"), F.col("rows").alias("from_rows"), "pieces")
+    other = tiles.select("label", "dim", "t", F.col("bucket").alias("from_bucket"), F.col("piece").alias("from_piece"), F.col("rows").alias("from_rows"), "pieces")
     apart = other.where("pieces > 1").withColumn("bucket", F.col("from_bucket"))  # pieces of one bucket
     if moves:  # and buckets a few bits apart
         probed = other.withColumn("bucket", F.explode(F.array(*[F.col("from_bucket").bitwiseXOR(F.lit(m)) for m in moves])))
@@ -219,9 +233,9 @@ def near_duplicates(
     fitted = fit(vectors, id_col, vector_col, sample, cosine, tables)
     if fitted is None:
         return ids.select(id_col, F.lit(0).cast("bigint").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
-    model, least = fitted
+    models, least = fitted
     probe = least if probe is None else probe
-    found = same_label_links(vectors, model, id_col, vector_col, label_col, cosine, tables, probe)
+    found = same_label_links(vectors, models, id_col, vector_col, label_col, cosine, tables, probe)
     counts = found.where("n is not null").groupBy(F.col("a").alias(id_col)).agg(F.sum("n").alias("n_links"))
     joined = components(found.where("b is not null").select("a", "b")).withColumnsRenamed({"node": id_col, "component": "component_id"})
     out = ids.join(counts, id_col, "left").join(joined, id_col, "left")
