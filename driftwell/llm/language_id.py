@@ -98,10 +98,16 @@ def sampled_features(teachers: DataFrame, id_col: str, text_col: str, lang_col:
                 ["lang", "at", "n"],
             )
 
-    draw = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    ids = teachers.select(id_col, lang_col).withColumn("k", F.row_number().over(draw)).where(F.col("k") <= per_class).select(id_col)
-    texts = teachers.join(F.broadcast(ids.distinct()), id_col, "left_semi").select(lang_col, text_col)  # per_class ids a language
-    return texts.mapInArrow(run, "lang string, at array<int>, n array<int>").toArrow()
+    rows = teachers.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("__text"))
+    row, h = ["__id", "__lang", "__hash"], F.xxhash64("__id")
+    # Rows are drawn, not ids; those with large hashes for the size of their language can't be among them and don't travel.
+    reach = (F.lit(2.0 * per_class + 200) / F.count("*")).alias("reach")
+    sizes = rows.groupBy("__lang").agg(reach)  # one row per language
+    near = rows.join(F.broadcast(sizes), "__lang").where(h.cast("double") <= F.lit(-(2.0**63)) + F.least(F.lit(1.0), "reach") * F.lit(2.0**64))
+    draw = Window.partitionBy("__lang").orderBy(h, "__id", "__hash")
+    drawn = near.select(*row).distinct().withColumn("k", F.row_number().over(draw)).where(F.col("k") <= per_class).select(*row)
+    texts = rows.join(F.broadcast(drawn), row, "left_semi").dropDuplicates(row)  # per_class rows a language
+    return texts.select(F.col("__lang").alias(lang_col), F.col("__text").alias(text_col)).mapInArrow(run, "lang string, at array<int>, n array<int>").toArrow()
 
 
 def fit_weights(rows: list[tuple[int, np.ndarray, np.ndarray]], n_classes: int, epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:

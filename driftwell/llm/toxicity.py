@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import in_steps, is_held_out, may_teach
+from driftwell.llm.common import in_steps, is_held_out, least_hashes, may_teach, refuse
 from driftwell.llm.letters import bucket, grams, letters, word_hashes, word_starts
 
 BITS = 18
@@ -120,7 +120,7 @@ def fit_weights(positive: Rows, unlabelled: Rows, prior: float, epochs: int = 40
 
 
 def sampled_features(docs: DataFrame, text_col: str) -> Rows:
-    """Features of all rows of ``docs`` (``__id`` and the text), in the order of the ids' hashes."""
+    """Features of all rows of ``docs`` (``__id``, ``__text`` a hash, and the text), in the order of the ids' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_steps(batches, text_col):
@@ -128,10 +128,10 @@ def sampled_features(docs: DataFrame, text_col: str) -> Rows:
             pair = np.unique(row << BITS | at)
             ends = np.searchsorted(pair >> BITS, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((pair & (1 << BITS) - 1).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), lists], ["key", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("__text"), lists], ["key", "hash", "at"])
 
-    found = docs.select(F.xxhash64("__id").alias("key"), text_col).mapInArrow(run, "key bigint, at array<int>").toArrow()
-    lists = found.sort_by("key").column("at").combine_chunks()
+    found = docs.select(F.xxhash64("__id").alias("key"), "__text", text_col).mapInArrow(run, "key bigint, hash bigint, at array<int>").toArrow()
+    lists = found.sort_by([("key", "ascending"), ("hash", "ascending")]).column("at").combine_chunks()
     sizes = pa.compute.list_value_length(lists).to_numpy()
     return Rows(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
 
@@ -142,14 +142,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     if not share:
         return None
-    texts = docs.where(may_teach(F.col(id_col))).select(F.col(id_col).alias("__id"), text_col)
+    texts = docs.where(may_teach(F.col(id_col))).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"), text_col)
+    row, h = ["__id", "__text"], F.xxhash64("__id")
 
-    def least(ids: DataFrame, n: int) -> DataFrame:
-        return ids.distinct().orderBy(F.xxhash64("__id"), "__id").limit(n)  # so many ids are broadcast
+    def sample(rows: DataFrame, n: int) -> Rows:
+        """Rows, not ids, are drawn; what repeats id and text is one row."""
+        few = least_hashes(rows, n, rows.count(), h).distinct()
+        drawn = few.orderBy(h, *row).limit(n)  # so many keys are broadcast
+        return sampled_features(texts.join(F.broadcast(drawn), row, "left_semi").dropDuplicates(row), text_col)
 
-    toxic = least(texts.select("__id").join(known.where("toxic = 1"), "__id", "left_semi"), positives)
-    drawn = least(texts.select("__id"), unlabelled)
-    found = [sampled_features(texts.join(F.broadcast(ids), "__id", "left_semi"), text_col) for ids in (toxic, drawn)]
+    found = [sample(texts.select(*row).join(known.where("toxic = 1"), "__id", "left_semi"), positives), sample(texts.select(*row), unlabelled)]
     if len(found[0].starts) < 2:
         return None
     return fit_weights(*found, prior=min(max(share, 1e-4), 0.9))
@@ -157,6 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), threshold: float = THRESHOLD) -> DataFrame:
     """``id, held_out, score, predicted`` and the columns ``keep`` of every row."""
+    refuse(keep, id_col, "held_out", "score", "predicted")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a weight per bucket
     names = [id_col, "held_out", *keep]
 
