@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.llm import byte_bpe, chat_format, decontaminate, embedding_dedup, hard_negatives, importance, language_id, records, simhash, substring_dedup, token_counts, toxicity, url_rules
-from driftwell.llm.common import table
+from driftwell.llm.common import stored, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PLAIN_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -20,8 +20,8 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document gets a line with its source in front, loses 40 characters in the middle and
-    gets a line with its language at the end."""
+    """Trees of all documents are stored; then every document gets a line with its source in front, loses
+    40 characters in the middle and gets a line with its language at the end, and the stored trees follow."""
 
     def change(start, removed, inserted):
         return F.struct(F.expr(start).cast("int").alias("start"), F.lit(removed).alias("removed"), F.expr(inserted).alias("inserted"))
@@ -29,8 +29,9 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = F.array(
         change("0", 0, "concat(coalesce(source, ''), '\n')"), change("length(text) div 2", 40, "''"), change("2147483647", 0, "concat('\n', coalesce(lang, ''))")
     )
-    docs = table(spark, sf_dir, "documents").withColumn("edits", edits)
-    return token_counts.count_edited(docs, PLAIN_BPE, public_tokenizers.PATTERN)
+    trees = token_counts.build_trees(table(spark, sf_dir, "documents"), PLAIN_BPE, public_tokenizers.PATTERN, keep=["source", "lang"])
+    kept = stored(trees.drop("n_before", "n_tokens", "n_encoded"), "trees").withColumn("edits", edits)
+    return token_counts.apply_edits(kept, PLAIN_BPE, public_tokenizers.PATTERN).select("doc_id", "n_pretokens", "n_before", "n_tokens", "n_encoded")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.llm.byte_bpe import load, vocabulary
-from driftwell.llm.common import in_steps
+from driftwell.llm.common import fresh, in_steps, refuse
 from driftwell.llm.memory import Memory
 
 LEAF = 64
@@ -190,9 +190,10 @@ def counter_of(lines: bytes, pattern: str) -> Counter:
     return Counter(lines, pattern)
 
 
-def build_trees(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, text, n_tokens, tree`` of every row, to be stored and edited later."""
-    return _run(docs.withColumn("__edits", F.lit(None).cast(EDITS)), path, pattern, id_col, text_col, "__edits", None, True)
+def build_trees(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """``id, text, n_tokens, tree`` and the columns ``keep`` of every row, to be stored and edited later."""
+    edits = fresh(docs, "__edits")
+    return _run(docs.withColumn(edits, F.lit(None).cast(EDITS)), path, pattern, id_col, text_col, edits, None, True, keep)
 
 
 def apply_edits(trees: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", tree_col: str = "tree") -> DataFrame:
@@ -208,7 +209,8 @@ def count_edited(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     return _run(docs, path, pattern, id_col, text_col, edits_col, None, False)
 
 
-def _run(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, edits_col: str, tree_col: str | None, stored: bool) -> DataFrame:
+def _run(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, edits_col: str, tree_col: str | None, stored: bool, keep: Sequence[str] = ()) -> DataFrame:
+    refuse(keep, id_col, text_col, "tree", "n_pretokens", "n_before", "n_tokens", "n_encoded")
     lines = vocabulary(df, path)
     counts = ["n_pretokens", "n_before", "n_tokens", "n_encoded"]
 
@@ -226,9 +228,11 @@ def _run(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, edi
                     texts.append(text)
                     packed.append(tree.pack())
             columns = [batch.column(id_col), *(pa.array(c, pa.int64()) for c in zip(*rows))]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(texts), pa.array(packed)] if stored else [])], [id_col, *counts, *([text_col, "tree"] if stored else [])])
+            columns += [batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(texts), pa.array(packed)] if stored else [])], [id_col, *counts, *keep, *([text_col, "tree"] if stored else [])])
 
     tree = [F.col(tree_col).alias("__tree")] if tree_col else []
-    rows = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.col(edits_col).cast(EDITS).alias("__edits"), *tree)
-    schema = f"`{id_col}` {dict(df.dtypes)[id_col]}, " + ", ".join(f"{c} bigint" for c in counts) + (f", `{text_col}` string, tree binary" if stored else "")
+    rows = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.col(edits_col).cast(EDITS).alias("__edits"), *tree, *keep)
+    kinds = dict(df.dtypes)
+    schema = f"`{id_col}` {kinds[id_col]}, " + ", ".join([*(f"{c} bigint" for c in counts), *(f"`{c}` {kinds[c]}" for c in keep)]) + (f", `{text_col}` string, tree binary" if stored else "")
     return rows.mapInArrow(run, schema)
