@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import in_steps, stored
+from driftwell.llm.common import fresh, in_steps, stored
 from driftwell.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -167,7 +167,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """All columns of one row of each group: the one whose id names the group. Each text of a
     repeated id is judged by its own group. Rows that repeat an id and its text count once; rows with a null id stay."""
     found = classed(docs, id_col, text_col, SHINGLE, RADIUS)
-    others = found.where(F.col("component_id") != F.col(id_col)).select(id_col, "__same").distinct()
-    left = docs.withColumn("__same", F.xxhash64(text_col)).join(others, [id_col, "__same"], "left_anti")
-    left = left.withColumn("__row", F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))  # no two null ids are the same
-    return left.dropDuplicates([id_col, "__same", "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    same, row = fresh(docs, "__same"), fresh(docs, "__row")
+    others = found.where(F.col("component_id") != F.col(id_col)).select(id_col, F.col("__same").alias(same)).distinct()
+    left = docs.withColumn(same, F.xxhash64(text_col)).join(others, [id_col, same], "left_anti")
+    left = left.withColumn(row, F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))  # no two null ids are the same
+    return left.dropDuplicates([id_col, same, row]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.llm.chunks import null_mask, read_chunk, tasks, totals, write_chunks
-from driftwell.llm.common import read_file, stored, write_file
+from driftwell.llm.common import read_file, refuse, stored, write_file
 from driftwell.llm.memory import spread
 from driftwell.llm.words import window_hashes
 
@@ -218,6 +218,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id, text`` without repeated words (what is left joined by one blank), ``n_words``,
     ``n_removed`` and the columns ``keep`` of every row. Ids are integers. Without ``rejoin``
     texts that lose nothing stay as they are."""
+    refuse(keep, id_col, text_col, "n_words", "n_removed")
     kinds = dict(docs.dtypes)
     columns = [id_col, text_col, *keep]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -16,7 +16,7 @@ from driftwell.llm.common import read_file
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, held_out string, ids string, at string, n_tokens string, `__text` string"
 ODD = [
     "", "a", " ", "  \n\n x", "\x1c\x1d a\x85b　c \t\t", "aaaaaaaaaaaaaaaaaaaa" * 20, "don't I'LL it's, '.' x'.s y's.", "\U0001f600 日本語 ١٢٣ x́ ÅΣΑΣ. İI K Å",
-    "<|endoftext|> x<|endoftext|>.y <|END", "!" * 300 + "\r\n\r\n  y.", "\x00\x01 \xad​ ̈ ä.", "a.'s b,'ll ab!!.. c|||", "é.,", "long words " * 20_000,
+    "<|endoftext|> x<|endoftext|>.y <|END", "!" * 300 + "\r\n\r\n  y.", "\x00\x01 \xad​ ̈ ä.", "a.'s b,'ll ab!!.. c|||", "é.,", "<|ENDOFTEXT|>", "x<|EndOfText|>Y.. <|STARTOFTEXT|>", "İ... É., ẞ. ŉ! ǰ?", "long words " * 20_000,
 ]
 
 
@@ -83,6 +83,17 @@ def test_records_equal_the_library_and_come_back(odd, spark, sf):
         assert found == expected
 
 
+def test_records_of_odd_mixtures():
+    """Special tokens in capitals, letters that become letter and mark, white space of all kinds."""
+    library, draw = Tokenizer.from_file(queries.WORD_BPE), random.Random(11)
+    encoder = records.WordEncoder(open(queries.WORD_BPE, encoding="utf-8").read())
+    pieces = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|StartOfText|>", "<|END", "İ", "ŉ", "ǰ", "Å", "A\u030a", "\u0301", "ẞ", "Σ", "the", "The", "it's", "'LL", "1", "23", "...", ".", ",", "!?", "|", " ", "  ", "\n", "\x1c", "\u3000", "\x85", "日本", "\U0001f600", "x" * 40, "\u200b", "ª", "ʰ"]
+    texts = ["".join(draw.choices(pieces, k=draw.randint(1, 9))) for _ in range(20_000)]
+    ids, bounds = encoder.encode([t.encode() for t in texts], 1)
+    wrong = [t for t, a, b in zip(texts, bounds, bounds[1:]) if ids[a:b].tolist() != [*library.encode(t, add_special_tokens=False).ids, 1]]
+    assert wrong == []
+
+
 def test_records_query(spark, sf):
     library, start = Tokenizer.from_file(queries.WORD_BPE), 0
     expected = []
