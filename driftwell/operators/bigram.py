@@ -151,14 +151,20 @@ class CountModel:
         return df
 
     def nll(self, pairs: DataFrame) -> DataFrame:
-        """Add ``nll``, the loss of ``tok`` after ``prev``, to rows that name both."""
+        """Add ``nll``, the loss of ``tok`` after ``prev``, to rows that name both. Losses are
+        looked up once per different pair, so a frequent word is no hot key of the rows."""
+        asked = pairs.filter(F.col("prev").isNotNull())
+        at = [*self.keys, "prev", "tok"]
+        return asked.join(self._losses(asked.select(*at).distinct()), at)
+
+    def _losses(self, pairs: DataFrame) -> DataFrame:
         k, c = self.keys, self.counts
         bigram = c.filter(F.col("prev").isNotNull()).select(*k, "prev", "tok", F.col("value").alias("_vw"))
         context = c.filter(F.col("prev").isNotNull()).groupBy(*k, "prev").agg(F.sum("value").alias("_v"))
         word = c.groupBy(*k, "tok").agg(F.sum("value").alias("_w"))
         size = word.groupBy(*k).agg(F.sum("_w").alias("_total"), F.count(F.lit(1)).cast("double").alias("_vocab"))
         out = (
-            pairs.filter(F.col("prev").isNotNull())
+            pairs
             .join(bigram, [*k, "prev", "tok"], "left")
             .join(context, [*k, "prev"], "left")
             .join(word, [*k, "tok"], "left")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from driftwell import fixed_values as fv
 from driftwell.functions.missing import jain_index, known, perplexity
-from driftwell.functions.text import is_blank, tokens, trim_all
+from driftwell.functions.text import SPACE, is_blank, tokens, trim_all
 from driftwell.operators.bigram import transitions, unfold
 from driftwell.operators.drift import current_knowledge
 from driftwell.operators.normalize import clean_labels, lookup_question
@@ -354,54 +354,87 @@ def label_accuracy(
 # --- terms --------------------------------------------------------------------------------------
 
 
-GRAM = 4, 8  # characters of a term that a token must hold, for shorter and for longer terms
+GRAMS = 1, 2, 3, 4, 8  # characters by which runs of a term are looked up in tokens
+
+
+def anchored_terms(terms: DataFrame) -> DataFrame:
+    """``term`` with its longest run without white space, ``piece``; whether a token must begin or
+    end with it, as white space stands before or behind; and ``phrase``, if any does. Terms without such a run are left out."""
+    listed = F.transform(tokens(F.col("term")), lambda x, i: F.struct((-F.char_length(x)).alias("n"), i.alias("i"), x.alias("x")))
+    found = terms.select("term", listed.alias("_all")).filter(F.size("_all") > 0).withColumn("_best", F.array_min("_all"))
+    before, behind = F.col("term").rlike(f"^{SPACE}"), F.col("term").rlike(f"{SPACE}$")
+    return found.select(
+        "term", F.col("_best.x").alias("piece"),
+        (before | (F.col("_best.i") > 0)).alias("_begins"), (behind | (F.col("_best.i") < F.size("_all") - 1)).alias("_ends"),
+    ).withColumn("phrase", F.col("_begins") | F.col("_ends"))
 
 
 def token_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """``tok, term``: which of the different ``tok`` of ``words`` contain which of the ``term`` of
-    ``terms``. A term is looked up by its first four characters, or eight if it has as many."""
-    short, long = GRAM
-    first = F.when(F.char_length("term") >= long, F.left("term", F.lit(long))).otherwise(F.left("term", F.lit(short)))
-    keyed = terms.select("term", first.alias("_gram")).distinct()
+    """``tok, term, phrase``: which of the different ``tok`` of ``words`` hold the longest run of
+    which of the ``term`` of ``terms``, where the term needs it. A run is looked up by its
+    first eight characters, or four if it has as many, or whole."""
+    size = F.char_length("piece")
+    first = F.left("piece", F.when(size >= 8, 8).when(size >= 4, 4).otherwise(size))
+    keyed = anchored_terms(terms.select("term").distinct()).withColumn("_gram", first)
 
     def grams(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.char_length("tok") - n + 1)
         return F.when(F.char_length("tok") >= n, F.transform(starts, lambda i: F.substr(F.col("tok"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    cut = words.select("tok", F.explode(F.array_distinct(F.concat(grams(short), grams(long)))).alias("_gram"))
-    return cut.join(keyed, "_gram").filter(F.contains("tok", F.col("term"))).select("tok", "term")
+    cut = words.select("tok", F.explode(F.array_distinct(F.concat(*map(grams, GRAMS)))).alias("_gram"))
+    piece = F.col("piece")
+    held = F.contains("tok", piece) & (~F.col("_begins") | F.startswith("tok", piece)) & (~F.col("_ends") | F.endswith("tok", piece))
+    return cut.join(keyed, "_gram").filter(held).select("tok", "term", "phrase")
 
 
-def match_terms(df: DataFrame, terms: DataFrame, rounds: str = "round_id", key: str = "sample_id") -> DataFrame:
+def match_terms(df: DataFrame, terms: DataFrame, rounds: str = "round_id", key: str = "sample_id", phrases: bool = True) -> DataFrame:
     """``round_id, <key>, term``: which texts contain, in any case, which terms that have been
-    seen by then. ``terms`` holds ``term`` (longer than three characters, without white space)
-    and ``first_seen_round``.
+    seen by then. ``terms`` holds ``term`` and ``first_seen_round``; a term is any string with a visible character
+    (empty terms and such of white space only are in nearly every text and are not looked for).
 
-    A term without white space lies within one token, so the different tokens of all texts are
-    matched with the terms once, and texts meet the matches by token.
+    What holds no white space lies within one token. So the different tokens of all texts are matched
+    with the longest such run of each term once, and texts meet the matches by token. That settles
+    terms of one run. Texts that hold the run of a phrase are read once more, for the phrase
+    itself. If no term has white space in it, as with terms that were tokens, ``phrases=False`` spares that.
     """
-    lowered = terms.select(F.lower("term").alias("term"), "first_seen_round")
+    lowered = terms.filter(F.col("term").isNotNull()).groupBy(F.lower("term").alias("term")).agg(F.min("first_seen_round").alias("first_seen_round"))
     held = df.select(rounds, key, F.explode(F.array_distinct(tokens(F.col("text")))).alias("tok"))
     matches = token_terms(held.select("tok").distinct(), lowered).join(lowered, "term")
     met = held.join(matches, "tok").filter(F.col("first_seen_round") <= F.col(rounds))
-    return met.select(rounds, key, "term").distinct()
+    if not phrases:
+        return met.select(rounds, key, "term").distinct()
+    by_text = met.groupBy(rounds, key).agg(
+        F.collect_set(F.when(~F.col("phrase"), F.col("term"))).alias("_sure"), F.collect_set(F.when(F.col("phrase"), F.col("term"))).alias("_asked")
+    )
+    asked = by_text.filter(F.size("_asked") > 0).select(rounds, key, F.col("_asked"))
+    read = df.select(rounds, key, "text").join(asked, [rounds, key]).select(rounds, key, "text", F.explode("_asked").alias("term"))
+    found = read.filter(F.contains(F.lower("text"), F.col("term"))).select(rounds, key, "term").distinct()
+    return by_text.select(rounds, key, F.explode("_sure").alias("term")).union(found)
 
 
 def term_perplexity(
     df: DataFrame, terms: DataFrame, model, by: Sequence[str] = ("round_id",), max_len: int | None = None,
-    losses: DataFrame | None = None, key: str = "sample_id",
+    losses: DataFrame | None = None, key: str = "sample_id", phrases: bool = True,
 ) -> DataFrame:
     """Loss over the texts that contain a term, and how many there are, per round and term.
 
     A text's loss does not depend on the term, so every text is scored once and only its sum
-    meets the terms it contains.
+    meets the terms it contains, all methods side by side.
     """
     groups = [*by, "term"]
-    matched = match_terms(df, terms, by[0], key)
+    matched = match_terms(df, terms, by[0], key, phrases)
     if losses is None:
         losses = sample_losses(target_pairs(df, [*by, key], max_len=max_len), model, by, key)
-    mean = _mean_of(model.spread(matched).join(losses, [*model.adds, *by, key], "left"), [*model.adds, *groups])
-    return mean.withColumnRenamed("texts", "term_samples").withColumn("perplexity", perplexity(F.col("nll")))
+    if model.adds:
+        sums = {f"_{c}_{i}": F.sum(F.when(F.col("method") == m, F.col(c))) for i, m in enumerate(model.methods) for c in ("loss_sum", "loss_tokens")}
+        wide = losses.groupBy(*by, key).agg(*[c.alias(n) for n, c in sums.items()])
+        met = matched.join(wide, [*by, key], "left").groupBy(*groups).agg(F.count(F.lit(1)).alias("texts"), *[F.sum(n).alias(n) for n in sums])
+        nll = [F.col(f"_loss_sum_{i}") / F.nullif(F.col(f"_loss_tokens_{i}"), F.lit(0)) for i in range(len(model.methods))]
+        methods = F.array(*[F.struct(F.lit(m).alias("method"), x.alias("nll")) for m, x in zip(model.methods, nll)])
+        mean = met.select(*groups, "texts", F.inline(methods).alias("method", "nll"))
+    else:
+        mean = _mean_of(matched.join(losses, [*by, key], "left"), groups)
+    return mean.select(*model.adds, *groups, "nll", F.col("texts").alias("term_samples"), perplexity(F.col("nll")).alias("perplexity"))
 
 
 # --- fairness ------------------------------------------------------------------------------------

@@ -332,7 +332,7 @@ def tracked_of(df):
 
 def term_scores_of(spark, sf, df=None, tracked=None):
     df = ds.samples(spark, sf) if df is None else df
-    return sc.term_perplexity(df, tracked_of(df) if tracked is None else tracked, plain_model(spark, sf))
+    return sc.term_perplexity(df, tracked_of(df) if tracked is None else tracked, plain_model(spark, sf), phrases=False)
 
 
 @query(
@@ -343,6 +343,41 @@ def term_perplexity(spark, sf):
     return rounded(term_scores_of(spark, sf), "nll", "perplexity")
 
 
+SQL_PHRASES = """phrases AS (SELECT DISTINCT lower(term) AS term FROM (SELECT p_name AS term FROM part
+   UNION ALL SELECT left(text, n) FROM benchmark, (VALUES (1), (2), (9), (14), (20)) v(n)
+   UNION ALL SELECT unnest([{}]))),
+ spelled AS (SELECT DISTINCT sample_id, round_id, term FROM drifted JOIN phrases ON contains(lower(text), term))""".format(", ".join(f"'{c['term']}'" for c in ds.fv.NEWS_CONCEPTS))
+
+
+def asked_phrases(spark, sf):
+    """Names of parts, the news concepts, and beginnings of benchmark texts, which end anywhere."""
+    begin = F.explode(F.array(*[F.left("text", F.lit(n)) for n in (1, 2, 9, 14, 20)]))
+    news = spark.range(1).select(F.explode(F.array(*[F.lit(c["term"]) for c in ds.fv.NEWS_CONCEPTS])))
+    terms = table(spark, sf, "part").select(F.col("p_name").alias("term")).union(table(spark, sf, "benchmark").select(begin)).union(news)
+    return terms.select(F.lower("term").alias("term"), F.lit(0).alias("first_seen_round")).distinct()
+
+
+@query("i12_phrases", f"WITH {SQL_NEWS}, {SQL_PHRASES} SELECT round_id, term, count(*) AS texts, min(sample_id) AS first_sample, CAST(sum(sample_id) AS BIGINT) AS checksum FROM spelled GROUP BY ALL")
+def phrases(spark, sf):
+    found = sc.match_terms(ds.drifted_samples(spark, sf, ds.fv.NEWS_CONCEPTS), asked_phrases(spark, sf))
+    return found.groupBy("round_id", "term").agg(
+        F.count(F.lit(1)).alias("texts"), F.min("sample_id").alias("first_sample"), F.sum("sample_id").alias("checksum")
+    )
+
+
+@query(
+    "i12_phrase_perplexity",
+    f"""WITH {SQL_NEWS}, {SQL_PHRASES}, {sql_transitions("tr", "drifted", "sample_id")}, {sql_model("documents")},
+    pairs AS (SELECT sample_id, prev, tok, count(*) AS n FROM tr WHERE prev IS NOT NULL GROUP BY ALL), {sql_nll("scored", "pairs")},
+    text_loss AS (SELECT sample_id, sum(nll * n) AS total, sum(n) AS n FROM scored GROUP BY 1)
+    SELECT round_id, term, round(sum(total) / sum(n), 6) AS nll, round(exp(least(sum(total) / sum(n), 20)), 6) AS perplexity, count(*) AS term_samples
+    FROM spelled LEFT JOIN text_loss USING (sample_id) GROUP BY ALL""",
+)
+def phrase_perplexity(spark, sf):
+    df = ds.drifted_samples(spark, sf, ds.fv.NEWS_CONCEPTS)
+    return rounded(sc.term_perplexity(df, asked_phrases(spark, sf), plain_model(spark, sf)), "nll", "perplexity")
+
+
 def labelled(spark, sf, column="quality"):
     """Documents with a one or two token label, and a persona."""
     from driftwell.operators.personas import assign_persona
