@@ -30,6 +30,7 @@ def load_all() -> None:
         checks_availability,
         checks_experiment,
         checks_jobs,
+        checks_live,
         checks_metrics,
         checks_prepare,
         checks_scoring,
