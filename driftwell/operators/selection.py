@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,8 +31,8 @@ def sample_uniform(pool: DataFrame, k: int = fv.CLIENTS_PER_ROUND, seed: int = f
     return top_k(pool.select("round_id", "client_id"), ["round_id"], order, k)
 
 
-def sample_from_all(clients: DataFrame, num_rounds: int, k: int = fv.CLIENTS_PER_ROUND, seed: int = fv.SEED) -> DataFrame:
-    """The same over all clients, available or not, for every round."""
+def sample_from_all(clients: DataFrame, num_rounds: int, k: int = fv.CLIENTS_PER_ROUND, seed: int = fv.SEED, first: int = 0) -> DataFrame:
+    """The same over all clients, available or not, for every round from ``first`` on."""
     numbered = global_positions(clients.select("client_id"), ["client_id"], "client_no")
     total = numbered.count()
     take = min(k, total)
@@ -46,7 +45,7 @@ def sample_from_all(clients: DataFrame, num_rounds: int, k: int = fv.CLIENTS_PER
         return F.concat(chosen, F.array(F.when(F.array_contains(chosen, number), last).otherwise(number)))
 
     steps = F.sequence(F.lit(0), F.lit(take - 1)).cast("array<bigint>") if take else F.array().cast("array<bigint>")
-    rounds = clients.sparkSession.range(num_rounds).select(F.col("id").cast("int").alias("round_id"))
+    rounds = clients.sparkSession.range(first, max(first, num_rounds)).select(F.col("id").cast("int").alias("round_id"))
     drawn = rounds.select("round_id", F.posexplode(F.aggregate(steps, F.array().cast("array<bigint>"), draw)).alias("rank", "client_no"))
     # A few rows per round, so the clients are numbered once and never laid out by round.
     return drawn.join(numbered, "client_no").select("round_id", "client_id", (F.col("rank") + 1).alias("rank"))
@@ -71,15 +70,24 @@ def client_features(stream: DataFrame) -> DataFrame:
     )
 
 
-def selection_score(probability: Column, last_seen: Column, persona_count: Column, mean_chars: Column) -> Column:
+def fixed_score(probability: Column, mean_chars: Column) -> Column:
+    """The part of the score that no selection changes."""
     w = fv.SCORE_WEIGHTS
-    return (
-        F.lit(w["probability"]) * probability
-        + F.lit(w["fresh"]) / (F.lit(1) + last_seen)
-        + F.lit(w["under"]) / (F.lit(1) + persona_count)
-        + F.lit(w["utility"]) * F.least(F.lit(1.0), mean_chars / F.lit(float(fv.UTILITY_CHARS)))
-        - F.when(persona_count > 0, F.lit(w["repeat"])).otherwise(F.lit(0.0))
-    )
+    return F.lit(w["probability"]) * probability + F.lit(w["utility"]) * F.least(F.lit(1.0), mean_chars / F.lit(float(fv.UTILITY_CHARS)))
+
+
+def changing_score(last_seen, persona_count):
+    """The part that does; of columns or of numbers."""
+    w = fv.SCORE_WEIGHTS
+    if isinstance(persona_count, Column):
+        again = F.when(persona_count > 0, F.lit(w["repeat"])).otherwise(F.lit(0.0))
+    else:
+        again = w["repeat"] if persona_count > 0 else 0.0
+    return w["fresh"] / (1 + last_seen) + w["under"] / (1 + persona_count) - again
+
+
+def selection_score(probability: Column, last_seen: Column, persona_count: Column, mean_chars: Column) -> Column:
+    return fixed_score(probability, mean_chars) + changing_score(last_seen, persona_count)
 
 
 def select_by_score(features: DataFrame, k: int = fv.CLIENTS_PER_ROUND) -> DataFrame:
@@ -164,58 +172,68 @@ def as_of_sums(
 
 #: Tasks that write and read the features of one round; raise it for rounds of very many clients.
 FEATURE_PARTS = 16
+#: Rounds whose possible choices one job looks for.
+ROUNDS_PER_JOB = 40
+#: Scores are compared as integers of this unit, so equal ones are ties whatever the order of sums.
+UNIT = 1e-12
 
 
 def select_sequentially(
-    spark: SparkSession, features: DataFrame, num_rounds: int, k: int = fv.CLIENTS_PER_ROUND
+    spark: SparkSession, features: DataFrame, num_rounds: int, k: int = fv.CLIENTS_PER_ROUND, rounds_per_job: int = ROUNDS_PER_JOB,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Round after round, each using what earlier rounds selected: ``round_id, client_id,
-    persona, rank``.
-
-    The features of all rounds come from one job and are kept partitioned by round, so each
-    round reads its own part. What passes between rounds is bounded by ``k`` rows per round:
-    selections per persona and the last selection of each client selected so far.
+    persona, rank``. Rows without a client are left out. ``earlier`` is the result for the rounds
+    before those of ``features``, whose features are then not needed any more.
+
+    Clients that were never selected differ only in the part of the score that no selection changes,
+    so of each round and persona the best ``k * (b + 1)`` of them by that part suffice for a job of b
+    rounds, as at most ``k * b`` are selected meanwhile. One job finds these clients and brings their
+    rows and those of earlier selected clients; the rounds then need no further job. What comes to the
+    driver is bounded by ``k``, the rounds of a job and the personas, whatever the number of clients:
+    at most ``b * personas * k * (b + 1) + k * num_rounds`` clients a round.
     """
     path = work_path(spark, "features")
-    cols = ["client_id", "persona", "probability", "mean_chars"]
-    features.select("round_id", *cols).repartition("round_id", F.pmod(F.hash("client_id"), F.lit(FEATURE_PARTS))).write.mode(
-        "overwrite"
-    ).partitionBy("round_id").parquet(path)
-    stored = spark.read.schema(
-        features.select(*cols, F.col("round_id").cast("int").alias("round_id")).schema
-    ).parquet(path)
-    stored = stored.withColumn("client", F.col("client_id").cast("string"))
-    present = {row[0] for row in stored.select("round_id").distinct().collect()}  # at most one row per round
+    fixed = F.round(fixed_score(F.col("probability"), F.col("mean_chars")) / F.lit(UNIT)).cast("bigint")
+    kept = features.filter(F.col("client_id").isNotNull()).select(
+        F.col("round_id").cast("int").alias("round_id"), "client_id", "persona", F.coalesce(fixed, F.lit(-(10**15))).alias("fixed")
+    )
+    kept.repartition("round_id", F.pmod(F.hash("client_id"), F.lit(FEATURE_PARTS))).write.partitionBy("round_id").parquet(path)
+    rows = spark.read.schema(kept.schema).parquet(path)
+    id_type = kept.schema["client_id"].dataType.simpleString()
+    present = sorted({r[0] for r in rows.select("round_id").distinct().collect()} & set(range(num_rounds)))  # one row per round
     counts: dict[str, int] = {}
-    seen: dict[str, int] = {}  # client -> non-empty rounds before its last selection
-    nonempty = 0
-    log = []
-    for r in sorted(present & set(range(num_rounds))):
-        here = stored.filter(F.col("round_id") == r)
-        n_persona = _lookup(counts, F.col("persona"))
-        last_seen = F.lit(nonempty) - _lookup(seen, F.col("client"))
-        scored = here.withColumn(
-            "score", selection_score(F.col("probability"), last_seen, n_persona, F.col("mean_chars"))
-        )
-        chosen = scored.orderBy(F.desc(F.round("score", 12)), "client_id").select("client_id", "client", "persona").take(k)
-        for rank, row in enumerate(chosen, 1):
-            log.append((r, row["client_id"], row["persona"], rank))
-            if row["persona"] is not None:  # a client whose samples have no persona
-                counts[row["persona"]] = counts.get(row["persona"], 0) + 1
-            if row["client"] is not None:
-                seen[row["client"]] = nonempty
-        nonempty += 1
-    id_type = stored.schema["client_id"].dataType.simpleString()
+    seen: dict = {}  # client -> non-empty rounds before its last selection
+    log: list[tuple] = []
+    past = [] if earlier is None else sorted((r["round_id"], r["rank"], r["client_id"], r["persona"]) for r in earlier.collect())  # k a round
+    done = sorted({r[0] for r in past})
+    for r, _, client, persona in past:
+        seen[client] = done.index(r)
+        if persona is not None:
+            counts[persona] = counts.get(persona, 0) + 1
+    for at in range(0, len(present), rounds_per_job):
+        block = present[at : at + rounds_per_job]
+        here = rows.filter(F.col("round_id").between(block[0], block[-1]))
+        known = spark.createDataFrame([(c,) for c in seen], f"client_id {id_type}")  # k a round at most
+        new = top_k(here.join(F.broadcast(known), "client_id", "left_anti"), ["round_id", "persona"], [F.desc("fixed"), F.col("client_id")], k * (len(block) + 1))
+        asked = new.select("client_id").distinct().union(known)
+        found = here.join(asked, "client_id", "left_semi").select("round_id", "client_id", "persona", "fixed").toArrow()
+        by_round: dict[int, list[tuple]] = {}
+        for r, client, persona, units in zip(*(c.to_pylist() for c in found.columns)):
+            by_round.setdefault(r, []).append((client, persona, units))
+        for nonempty, r in enumerate(block, len(done) + at):
+            order = sorted(
+                (-units - round(changing_score(nonempty - seen.get(c, 0), counts.get(p, 0)) / UNIT), c, p) for c, p, units in by_round[r]
+            )[:k]
+            for rank, (_, client, persona) in enumerate(order, 1):
+                log.append((r, client, persona, rank))
+            for _, client, persona in order:
+                if persona is not None:  # a client whose samples have no persona
+                    counts[persona] = counts.get(persona, 0) + 1
+                seen[client] = nonempty
     return spark.createDataFrame(log, f"round_id int, client_id {id_type}, persona string, rank int")
 
 
-def _lookup(table: dict[str, int], key: Column) -> Column:
-    """The entry of ``key``, else 0. The whole table is one literal, however many rounds there were."""
-    if not table:
-        return F.lit(0)
-    return F.coalesce(F.from_json(F.lit(json.dumps(table)), "map<string,int>")[key], F.lit(0))
-
-
 def selection_summary(log: DataFrame, methods: Sequence[str], num_rounds: int) -> DataFrame:
     """One row per method and round, empty rounds included: how many clients and which, in rank
     order. The list holds the at most k clients of a round."""

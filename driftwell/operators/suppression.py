@@ -70,8 +70,14 @@ def suppression_effect(
     )
 
 
-def modal_region(rows: DataFrame, default: str = "GLOBAL") -> DataFrame:
+def presence(rows: DataFrame) -> DataFrame:
+    """``persona, region, round_id, available, n``: sums that stand for the rows in both functions here."""
+    return rows.groupBy("persona", "region", "round_id").agg(F.sum("available").alias("available"), F.count(F.lit(1)).alias("n"))
+
+
+def modal_region(rows: DataFrame, default: str = "GLOBAL", weight: str | None = None) -> DataFrame:
     """Most frequent region per persona, ties to the smallest name."""
-    counts = rows.filter(F.col("persona").isNotNull()).groupBy("persona", "region").agg(F.count(F.lit(1)).alias("_n"))
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = rows.filter(F.col("persona").isNotNull()).groupBy("persona", "region").agg(n.alias("_n"))
     best = F.min(F.when(F.col("region").isNotNull(), F.struct((-F.col("_n")).alias("n"), "region")))["region"]
     return counts.groupBy("persona").agg(F.coalesce(best, F.lit(default)).alias("region"))

@@ -9,7 +9,7 @@ from driftwell.operators.drift import inject_concepts
 from driftwell.plans import checks_scoring as cs, checks_selection as cl, checks_sources as src, datasets as ds, experiment as ex
 from driftwell.plans.checks_scoring import rounded
 from driftwell.plans.registry import ORACLES, query
-from driftwell.session import durable, stored
+from driftwell.session import durable, stored, work_path
 
 METHODS = ["aws", "random", "oracle", "no_availability", "crosslm"]
 # Guidance comes from topics of their own, none of the clients' texts.
@@ -180,3 +180,17 @@ def comparison(spark, sf):
     scored = ex.score(stream, model)
     per_persona = durable(ex.persona_metrics(stream, scored))
     return rounded(ex.evaluate(stream, scored, per_persona, metrics)[2], *ROUNDED)
+
+
+@query("j16_continued", f"WITH {COMPARISON} SELECT * REPLACE ({', '.join(f'round({c}, 3) AS {c}' for c in ROUNDED)}) FROM comparison")
+def continued(spark, sf):
+    """The same in two parts: the second half of the rounds goes on from the stored state of the first.
+    Sums in another order differ in the last digits, so values of some ten thousands keep three places."""
+    stream, _ = selected(spark, sf)
+    prior = src.prior_corpus(spark, sf).withColumnRenamed("prior_id", "key")
+    state, half = None, ds.EVENT_ROUNDS // 2
+    for until in (half, ds.EVENT_ROUNDS):
+        report, state = ex.run_rounds(stream, ds.clients(spark, sf), prior, "key", until, METHODS, template=ds.GUIDANCE_TEMPLATE, before=state)
+        if until < ds.EVENT_ROUNDS:
+            state = state.write(work_path(spark, "state"))
+    return report.comparison.withColumns({c: F.round(c, 3) for c in ROUNDED})

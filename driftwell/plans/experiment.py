@@ -7,9 +7,9 @@ but the feedback of one selection method needs a loop.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell import fixed_values as fv
@@ -45,23 +45,26 @@ class Report:
 
 def select_clients(
     stream: DataFrame, clients: DataFrame, methods: Sequence[str], num_rounds: int, k: int = fv.CLIENTS_PER_ROUND,
-    seed: int = fv.SEED,
+    seed: int = fv.SEED, first: int = 0, earlier: DataFrame | None = None,
 ) -> DataFrame | None:
-    """``method, round_id, client_id, rank`` of every method that selects clients."""
+    """``method, round_id, client_id, persona, rank`` of every method that selects clients, for the rounds of ``stream``
+    from ``first`` on; ``earlier`` is the result for those before. The persona matters to later selections by score only."""
     unknown = [m for m in methods if m not in fv.CLIENT_METHODS + fv.POOLED_METHODS]
     if unknown:
         raise ValueError(f"unknown methods {unknown}; known are {fv.CLIENT_METHODS + fv.POOLED_METHODS}")
     parts = []
     for m in methods:
         if m == "aws":
-            log = sel.select_sequentially(stream.sparkSession, sel.client_features(stream), num_rounds, k)
+            past = None if earlier is None else earlier.filter(F.col("method") == m)
+            log = sel.select_sequentially(stream.sparkSession, sel.client_features(stream), num_rounds, k, earlier=past)
         elif m == "random":
             log = sel.sample_uniform(sel.candidates(stream), k, seed)
         elif m in ("oracle", "no_availability"):
-            log = sel.sample_from_all(clients, num_rounds, k, seed)
+            log = sel.sample_from_all(clients, num_rounds, k, seed, first)
         else:
             continue
-        parts.append(log.select(F.lit(m).alias("method"), "round_id", "client_id", "rank"))
+        persona = F.col("persona") if m == "aws" else F.lit(None).cast("string")
+        parts.append(log.select(F.lit(m).alias("method"), "round_id", "client_id", persona.alias("persona"), "rank"))
     return mt.stack(parts) if parts else None
 
 
@@ -131,16 +134,24 @@ def persona_metrics(
 
 def evaluate(
     stream: DataFrame, scored: Scored, per_persona: DataFrame, round_metrics: DataFrame,
-    window: int | None = None,
+    window: int | None = None, before: State | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fairness, adaptation lags and the comparison table."""
+    """Fairness, adaptation lags and the comparison table of the rounds of ``stream``; lags of
+    terms that emerged earlier as well."""
     by, at, model = ["round_id"], ["method", "round_id"], scored.model
     fair = sc.fairness_summary(per_persona, at)
     # Two small tables that several results share.
-    emerging = durable(tm.emerging_terms(stream))
-    tracked = tm.tracked_terms(emerging)
-    scores = sc.term_perplexity(stream, tracked, model, by, losses=scored.texts)
-    lags = durable(tm.adaptation_tracking(scores, tracked))
+    counts = tm.term_counts(stream)
+    if before is not None:
+        counts = counts.unionByName(before.terms.withColumn("round_id", F.lit(before.last)))
+    emerging = tm.emerging_of_counts(counts)
+    emerging = durable(emerging if before is None else emerging.filter(F.col("round_id") > before.last))
+    tracked = asked = tm.tracked_terms(emerging)
+    if before is not None:
+        asked = tracked.unionByName(before.lags.filter(F.col("threshold_round").isNull()).select("term", "first_seen_round").distinct())
+    scores = durable(sc.term_perplexity(stream, asked, model, by, losses=scored.texts, phrases=False))  # they were tokens
+    lags = tm.adaptation_tracking(scores, tracked)
+    lags = durable(lags if before is None else lags.unionByName(tm.continued_tracking(before.lags, scores)))
     grid = round_metrics.select(
         "method", F.col("round").alias("round_id"), "selected_clients", "guidance_samples", "knowledge_source", "training_mode"
     )
@@ -166,12 +177,12 @@ def evaluate(
     return fair.withColumnRenamed("round_id", "round"), lags, comparison
 
 
-def suppression_report(stream: DataFrame, per_persona: DataFrame, min_absent_rounds: int = 2) -> DataFrame:
-    """Effect of every spell without available clients on a persona's perplexity."""
-    seen = client_round_tuples(stream)
-    windows = sp.suppression_windows(seen, min_absent_rounds)
+def suppression_report(presence: DataFrame, per_persona: DataFrame, min_absent_rounds: int = 2) -> DataFrame:
+    """Effect of every spell without available clients on a persona's perplexity, from the
+    :func:`~driftwell.operators.suppression.presence` of clients."""
+    windows = sp.suppression_windows(presence, min_absent_rounds)
     effect = sp.suppression_effect(windows, per_persona, by=["method"])
-    return effect.join(sp.modal_region(seen), "persona", "left")
+    return effect.join(sp.modal_region(presence, weight="n"), "persona", "left")
 
 
 def representation(selections: DataFrame) -> DataFrame:
@@ -183,6 +194,38 @@ def representation(selections: DataFrame) -> DataFrame:
     )
 
 
+@dataclass
+class State:
+    """What the rounds up to ``last`` leave to later ones. None of the tables holds texts: sums of what the
+    methods learned (``method, prev, tok, value``) and of the terms (``term, n``); the log of selections,
+    the lags, and the small tables by round that reports are made of."""
+
+    last: int
+    learned: DataFrame
+    terms: DataFrame
+    log: DataFrame
+    lags: DataFrame
+    presence: DataFrame
+    per_persona: DataFrame
+    fairness: DataFrame
+    comparison: DataFrame
+    metrics: DataFrame
+    selections: DataFrame
+
+    def write(self, folder: str) -> State:
+        """Store all tables below ``folder``, a new one for each state, and read them from there."""
+        for f in fields(self)[1:]:
+            getattr(self, f.name).write.parquet(f"{folder}/{f.name}")
+        spark = self.learned.sparkSession
+        spark.createDataFrame([(self.last,)], "last int").coalesce(1).write.parquet(f"{folder}/last")  # written last: the state is whole
+        return State.read(spark, folder)
+
+    @staticmethod
+    def read(spark: SparkSession, folder: str) -> State:
+        last = spark.read.parquet(f"{folder}/last").first()["last"]
+        return State(last, *[spark.read.parquet(f"{folder}/{f.name}") for f in fields(State)[1:]])
+
+
 def run(
     stream: DataFrame, clients: DataFrame, prior: DataFrame, prior_key: str, num_rounds: int = fv.NUM_ROUNDS,
     methods: Sequence[str] = METHODS, k: int = fv.CLIENTS_PER_ROUND, seed: int = fv.SEED, drift_times: int = 1,
@@ -190,29 +233,58 @@ def run(
 ) -> Report:
     """The whole experiment over a prepared ``stream`` (best read back from a table by round).
     Methods that learn from guidance need the ``template`` that words it."""
-    chosen = select_clients(stream, clients, methods, num_rounds, k, seed)
+    return run_rounds(stream, clients, prior, prior_key, num_rounds, methods, k, seed, drift_times, max_len, reference, template)[0]
+
+
+def run_rounds(
+    stream: DataFrame, clients: DataFrame, prior: DataFrame, prior_key: str, until: int = fv.NUM_ROUNDS,
+    methods: Sequence[str] = METHODS, k: int = fv.CLIENTS_PER_ROUND, seed: int = fv.SEED, drift_times: int = 1,
+    max_len: int | None = None, reference: str = "crosslm", template: str | None = None, before: State | None = None,
+) -> tuple[Report, State]:
+    """The rounds of ``stream`` after those of ``before``, up to but without ``until``: the report over
+    all rounds so far, and the state for the next ones, to be stored with :meth:`State.write`.
+
+    Only the new rounds' samples are read, so a round may be added when its data are there. Doing the
+    rounds in parts or at once gives the same tables.
+    """
+    spark, first = stream.sparkSession, 0 if before is None else before.last + 1
+    stream = stream.filter(F.col("round_id").between(first, until - 1))
+    chosen = select_clients(stream, clients, methods, until, k, seed, first, None if before is None else before.log)
     chosen = durable(chosen) if chosen is not None else None
     pooled = [m for m in methods if m in fv.POOLED_METHODS]
     if pooled and template is None:
         raise ValueError(f"{pooled} need a template for guidance")
-    guidance = bg.guidance_batch(prior, prior_key, num_rounds, template, seed=seed) if pooled else None
-    log = chosen if chosen is not None else stream.sparkSession.createDataFrame(
-        [], "method string, round_id int, client_id string, rank int"
+    guidance = bg.guidance_batch(prior, prior_key, until, template, seed=seed).filter(F.col("round_id") >= first) if pooled else None
+    new_log = chosen if chosen is not None else spark.createDataFrame(
+        [], "method string, round_id int, client_id string, persona string, rank int"
     )
-    selections = sel.selection_summary(log, methods, num_rounds)
+    selections = sel.selection_summary(new_log, methods, until).filter(F.col("round") >= first)
     metrics = sel.round_metrics(selections, guidance_counts(guidance, pooled) if pooled else None)
-    model = learn(stream, chosen, guidance, methods, drift_times, max_len)
+    learned = durable(learn(stream, chosen, guidance, methods, drift_times, max_len).increments)
+    if before is not None:
+        learned = learned.unionByName(before.learned.withColumn("round_id", F.lit(before.last)))
     # The learned increments serve every metric below.
-    scored = score(stream, bg.RoundModel(durable(model.increments), model.methods), max_len=max_len)
+    scored = score(stream, bg.RoundModel(learned, list(methods)), max_len=max_len)
     per_persona = durable(persona_metrics(stream, scored))
-    fairness, lags, comparison = evaluate(stream, scored, per_persona, metrics)
-    per_persona = per_persona.withColumnRenamed("round_id", "round")
-    comparison = durable(comparison)
-    fairness = fairness.join(representation(log), "method", "left")
-    return Report(
-        per_persona, fairness, lags, suppression_report(stream, per_persona), comparison,
-        mt.summarize_methods(comparison, reference=reference), metrics, selections,
+    fairness, lags, comparison = evaluate(stream, scored, per_persona, metrics, before=before)
+    terms, there = tm.term_counts(stream), sp.presence(client_round_tuples(stream))
+
+    def so_far(new: DataFrame, name: str) -> DataFrame:
+        return new if before is None else getattr(before, name).unionByName(new)
+
+    state = State(
+        until - 1, learned.groupBy("method", "prev", "tok").agg(F.sum("value").alias("value")),
+        so_far(terms.select("term", "n"), "terms").groupBy("term").agg(F.sum("n").alias("n")),
+        so_far(new_log, "log"), lags, durable(so_far(there, "presence")),
+        so_far(per_persona.withColumnRenamed("round_id", "round"), "per_persona"), so_far(fairness, "fairness"),
+        durable(so_far(comparison, "comparison")), so_far(metrics, "metrics"), so_far(selections, "selections"),
+    )
+    report = Report(
+        state.per_persona, state.fairness.join(representation(state.log), "method", "left"), lags,
+        suppression_report(state.presence, state.per_persona), state.comparison,
+        mt.summarize_methods(state.comparison, reference=reference), state.metrics, state.selections,
     )
+    return report, state
 
 
 def guidance_counts(guidance: DataFrame, methods: Sequence[str]) -> DataFrame:
