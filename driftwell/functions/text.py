@@ -53,6 +53,23 @@ def first_label(c: Column, patterns: Iterable[tuple[str, str]], default: str) ->
     return F.lit(default) if out is None else out.otherwise(default)
 
 
+# What would end a line of a file, and the backslash that its codes begin with; the backslash goes first.
+LINE_CODES = (("\\", "\\s"), ("\n", "\\n"), ("\r", "\\r"))
+
+
+def to_one_line(c: Column) -> Column:
+    """The string without line breaks; :func:`from_one_line` restores it exactly."""
+    for plain, code in LINE_CODES:
+        c = F.replace(c, F.lit(plain), F.lit(code))
+    return c
+
+
+def from_one_line(c: Column) -> Column:
+    for plain, code in reversed(LINE_CODES):
+        c = F.replace(c, F.lit(code), F.lit(plain))
+    return c
+
+
 def key_hash(*parts: Column | str | int) -> Column:
     """A repeatable draw: 32 bits of the MD5 of the parts joined with ``:``, as BIGINT."""
     cols = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]

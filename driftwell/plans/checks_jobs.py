@@ -55,6 +55,18 @@ def csv_round_trip(spark, sf):
     return readers.read_typed_csv(spark, path, "doc_id bigint, text string, lang string, n_chars bigint")
 
 
+@query(
+    "a2_csv_one_line",
+    r"""SELECT doc_id, text || chr(10) || '\n \s' || chr(13) || '\\"' AS text, lang, n_chars FROM documents""",
+)
+def csv_one_line(spark, sf):
+    """The same in files that many tasks can share, with line breaks, quotes and backslashes in every text."""
+    path = work_path(spark, "csv")
+    odd = F.concat("text", F.lit("\n\\n \\s\r\\\\\""))
+    writers.write_table(table(spark, sf, "documents").withColumn("text", odd), path, "csv", one_line=True)
+    return readers.read_typed_csv(spark, path, "doc_id bigint, text string, lang string, n_chars bigint", one_line=True)
+
+
 @query("a6_table_round_trip", "SELECT event_id, ts, user_id, event_type, value FROM events")
 def table_round_trip(spark, sf):
     path = work_path(spark, "table")

@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwell import fixed_values as fv
+from driftwell.functions.text import from_one_line
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | str | None = None, **options) -> DataFrame:
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | str | None = None, one_line: bool = False, **options) -> DataFrame:
     """A dataset of any format Spark reads. Give CSV and JSON a schema: inferring one costs a
-    pass over the data."""
+    pass over the data. CSV may hold line breaks, so one task reads a file; ``one_line`` says that it
+    was written without (:func:`~driftwell.sources.writers.write_table`), and many tasks share a file."""
     reader = spark.read.format(fmt).options(**options)
     if fmt == "csv":
         # Texts hold line breaks and quotes.
-        reader = reader.options(header=True, multiLine=True, escape='"').options(**options)
-    return (reader.schema(schema) if schema is not None else reader).load(path)
+        reader = reader.options(header=True, multiLine=not one_line, escape='"').options(**options)
+    read = (reader.schema(schema) if schema is not None else reader).load(path)
+    return read.withColumns({c: from_one_line(F.col(c)) for c, t in read.dtypes if t == "string"}) if one_line else read
 
 
 FULL_DATASET_SCHEMA = (
@@ -30,16 +33,16 @@ AVAILABILITY_SCHEMA = (
 )
 
 
-def read_typed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_typed_csv(spark: SparkSession, path: str, schema: str, one_line: bool = False) -> DataFrame:
     """Columns of ``schema`` that the files have, found by name whatever their order."""
-    raw = read_table(spark, path, "csv")
+    raw = read_table(spark, path, "csv", one_line=one_line)
     fields = T.StructType.fromDDL(schema).fields
     return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields if f.name in raw.columns])
 
 
-def read_full_dataset(spark: SparkSession, path: str, schema: str = FULL_DATASET_SCHEMA) -> DataFrame:
+def read_full_dataset(spark: SparkSession, path: str, schema: str = FULL_DATASET_SCHEMA, one_line: bool = False) -> DataFrame:
     """The prepared samples from CSV; empty strings come back as missing and are restored."""
-    df = read_typed_csv(spark, path, schema)
+    df = read_typed_csv(spark, path, schema, one_line)
     empty = [c for c in ("prompt", "drift_concept", "drift_private_code", "drift_answer", "drift_sector") if c in df.columns]
     return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in empty})
 
