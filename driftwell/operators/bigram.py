@@ -95,6 +95,37 @@ def weighted_average(
     )
 
 
+def client_shares(weights: DataFrame, by: Sequence[str], client: Sequence[str], names: dict[str, str]) -> DataFrame:
+    """One row per client of a group with its share of the group's weight, a column for each method: ``names``
+    maps the values of ``method`` to columns. ``weights`` holds ``method, <by>, <client>, weight``."""
+    by, client = list(by), list(client)
+    total = weights.groupBy("method", *by).agg(F.sum("weight").alias("_w"))
+    share = F.col("weight") / F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.lit(1.0))
+    shares = weights.join(total, ["method", *by]).withColumn("_share", share)
+    return shares.groupBy(*by, *client).agg(*[F.max(F.when(F.col("method") == m, F.col("_share"))).alias(c) for m, c in names.items()])
+
+
+def fit_shared(
+    df: DataFrame, shares: DataFrame, by: Sequence[str], client: Sequence[str], columns: Sequence[str], max_len: int | None = None, drift_times: int = 1,
+    few_clients: bool = False,
+) -> DataFrame:
+    """Averaged counts of the clients' texts, straight from the texts: an average of counts is a sum over texts,
+    each weighted by its client's share. So no client's own counts are formed. ``shares`` as from
+    :func:`client_shares`; a row per ``<by>, prev, tok`` with a sum for each of ``columns``."""
+    weighed = df.join(F.broadcast(shares) if few_clients else shares, [*by, *client])
+    times = copies(drift_times) if drift_times > 1 else F.lit(1)
+    weighed = weighed.withColumns({c: F.col(c) * times for c in columns})
+    unfolded = transitions(weighed, [*by, *columns], max_len=max_len)
+    return unfolded.groupBy(*by, "prev", "tok").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def updated_parameters(before: DataFrame, averaged: DataFrame, param: str = "param", value: str = "value") -> DataFrame:
+    """The model after a round: averaged parameters take the place of its own, all others stay. Without
+    local models nothing was averaged, and nothing changes."""
+    new = averaged.select(param, F.col(value).alias("_new"))
+    return before.join(new, param, "left").withColumn(value, F.coalesce("_new", value)).drop("_new")
+
+
 def select_parameters(df: DataFrame, param: str = "param") -> DataFrame:
     """Only adapter parameters if there are any, else all."""
     adapter = F.col(param).rlike("lora|adapter")
@@ -103,15 +134,39 @@ def select_parameters(df: DataFrame, param: str = "param") -> DataFrame:
     return flagged.filter(F.col("_adapter") | ~F.coalesce(any_adapter, F.lit(False))).drop("_adapter")
 
 
+#: Stands for the round in a note that is read once for all rounds; a string that no text holds.
+ROUND_MARK = "\uf8ffround\uf8ff"
+
+
+def guidance_rounds(num_rounds: int, every: int = fv.GUIDANCE_EVERY, max_rounds: int | None = None) -> list[int]:
+    return [r for r in range(0, num_rounds, max(1, every)) if max_rounds is None or r // max(1, every) < max_rounds]
+
+
+def fit_guidance(
+    prior: DataFrame, key: str, num_rounds: int, template: str, every: int = fv.GUIDANCE_EVERY, max_rounds: int | None = None,
+    max_len: int | None = None, first: int = 0,
+) -> DataFrame:
+    """What :func:`fit` gives for the notes of every guidance round from ``first`` on. Notes of different rounds differ in the
+    round's number only, so every text is read and counted once, with a mark for the number, and the counts
+    are laid out by round."""
+    notes = guidance_batch(prior, key, 1, template.replace("{round_id}", ROUND_MARK), 1)
+    rounds = [r for r in guidance_rounds(num_rounds, every, max_rounds) if r >= first]
+    numbers = F.array(*[F.lit(r) for r in rounds]) if rounds else F.array().cast("array<int>")
+    counts = fit(notes, [], max_len=max_len).withColumn("round_id", F.explode(numbers))
+
+    def numbered(c: str) -> Column:
+        return F.replace(F.col(c), F.lit(ROUND_MARK), F.col("round_id").cast("string"))
+
+    return counts.groupBy("round_id", numbered("prev").alias("prev"), numbered("tok").alias("tok")).agg(F.sum("value").alias("value"))
+
+
 def guidance_batch(
     prior: DataFrame, key: str, num_rounds: int, template: str, every: int = fv.GUIDANCE_EVERY,
     max_rounds: int | None = None, max_samples: int | None = None, seed: int = fv.SEED,
 ) -> DataFrame:
     """``round_id, <key>, text, label`` of every guidance round: the distinct public rows, or a
     repeatable sample of ``max_samples`` of them, worded as ``template`` says."""
-    rounds = [
-        r for r in range(0, num_rounds, max(1, every)) if max_rounds is None or r // max(1, every) < max_rounds
-    ]
+    rounds = guidance_rounds(num_rounds, every, max_rounds)
     public = public_columns(prior)
     content = [c for c in public.columns if c != key]
     distinct = (

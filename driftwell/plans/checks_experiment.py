@@ -33,7 +33,8 @@ def parts(spark, sf):
     """The same with the guidance and the model of every method."""
     stream, chosen = selected(spark, sf)
     guidance = guidance_of(spark, sf)
-    model = ex.learn(stream, chosen, guidance, METHODS)
+    prior = src.prior_corpus(spark, sf).withColumnRenamed("prior_id", "key")
+    model = ex.learn(stream, chosen, bg.fit_guidance(prior, "key", ds.EVENT_ROUNDS, ds.GUIDANCE_TEMPLATE), METHODS)
     return stream, chosen, guidance, bg.RoundModel(durable(model.increments), METHODS)
 
 

@@ -124,8 +124,38 @@ def dense_average(spark, sf):
 )
 def round_average(spark, sf):
     df = drift_stream(spark, sf)
-    keys = ["round_id", "client_id"]
-    return rounded(bg.weighted_average(bg.fit(df, keys), bg.sample_weights(df, keys), ["round_id"], ["client_id"], ["prev", "tok"]), "value")
+    weights = bg.sample_weights(df, ["round_id", "client_id"]).withColumn("method", F.lit("all"))
+    shares = bg.client_shares(weights, ["round_id"], ["client_id"], {"all": "value"})
+    return rounded(bg.fit_shared(df, shares, ["round_id"], ["client_id"], ["value"]), "value")
+
+
+# Two of three parameters of the vectors are named as an adapter's; the labels 0 to 3 are clients.
+SQL_NAMED = """named AS (SELECT vec_id, label, CASE WHEN i % 3 = 0 THEN 'base.' ELSE 'layer.lora_' END || i AS param, CAST(embedding[i] AS DOUBLE) AS x
+   FROM embeddings, range(1, 65) t(i)),
+ held AS (SELECT param, avg(x) AS value FROM named GROUP BY 1),
+ local AS (SELECT label, param, avg(x) AS value FROM named WHERE label < 4 AND contains(param, 'lora') GROUP BY ALL),
+ weight AS (SELECT label, count(*) AS w FROM embeddings WHERE label < 4 GROUP BY 1),
+ mean AS (SELECT param, sum(value * w) / (SELECT sum(w) FROM weight) AS new FROM local JOIN weight USING (label) GROUP BY 1)"""
+
+
+@query(
+    "h3_adapter_update",
+    f"""WITH {SQL_NAMED} SELECT 'four clients' AS locals, param, round(coalesce(new, value), 6) AS value FROM held LEFT JOIN mean USING (param)
+    UNION ALL SELECT 'no client', param, round(value, 6) FROM held""",
+)
+def adapter_update(spark, sf):
+    """Only adapter parameters are averaged, all others stay; without local models nothing changes."""
+    vectors = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    name = F.concat(F.when((F.col("i") + 1) % 3 == 0, "base.").otherwise("layer.lora_"), F.col("i") + 1)
+    named = vectors.select("label", name.alias("param"), F.col("x").cast("double").alias("x"))
+    held = named.groupBy("param").agg(F.avg("x").alias("value"))
+    out = []
+    for what, clients in (("four clients", F.col("label") < 4), ("no client", F.lit(False))):
+        local = bg.select_parameters(named.filter(clients).groupBy("label", "param").agg(F.avg("x").alias("value")))
+        weights = table(spark, sf, "embeddings").filter(clients).groupBy("label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        mean = bg.weighted_average(local, weights, [], ["label"], ["param"])
+        out.append(bg.updated_parameters(held, mean).select(F.lit(what).alias("locals"), "param", F.round("value", 6).alias("value")))
+    return out[0].union(out[1])
 
 
 def sql_guidance(source: str, rounds: int = 50, every: int = 5) -> str:
@@ -138,11 +168,14 @@ def sql_guidance(source: str, rounds: int = 50, every: int = 5) -> str:
 SQL_DOCUMENT_PRIOR = "(SELECT doc_id AS key, text, source AS label, lang AS topic FROM documents)"
 
 
-def guidance_of(spark, sf, every=5):
-    prior = table(spark, sf, "documents").select(
+def document_prior(spark, sf):
+    return table(spark, sf, "documents").select(
         F.col("doc_id").alias("key"), "text", F.col("source").alias("label"), F.col("lang").alias("topic"), F.col("doc_id").alias("client_id")
     )
-    return bg.guidance_batch(prior, "key", 50, ds.GUIDANCE_TEMPLATE, every)
+
+
+def guidance_of(spark, sf, every=5):
+    return bg.guidance_batch(document_prior(spark, sf), "key", 50, ds.GUIDANCE_TEMPLATE, every)
 
 
 @query("h4_guidance_batch", f"WITH {sql_guidance(SQL_DOCUMENT_PRIOR)} SELECT * FROM guidance")
@@ -156,7 +189,7 @@ def guidance_batch(spark, sf):
     SELECT round_id, prev, tok, CAST(count(*) AS DOUBLE) AS value FROM tr GROUP BY ALL""",
 )
 def pooled_fit(spark, sf):
-    return bg.fit(guidance_of(spark, sf, 25), ["round_id"])
+    return bg.fit_guidance(document_prior(spark, sf), "key", 50, ds.GUIDANCE_TEMPLATE, 25)
 
 
 SQL_PAIRS = f"""{SQL_DRIFTED}, {sql_model("documents")}, {sql_transitions("tr", "drifted", "sample_id, round_id, lang")}"""

@@ -69,26 +69,27 @@ def select_clients(
 
 
 def learn(
-    stream: DataFrame, selections: DataFrame | None, guidance: DataFrame | None, methods: Sequence[str],
+    stream: DataFrame, selections: DataFrame | None, taught: DataFrame | None, methods: Sequence[str],
     drift_times: int = 1, max_len: int | None = None,
 ) -> bg.RoundModel:
     """What each method learns per round: the weighted average of the counts of its selected
-    clients, or the counts of its guidance texts."""
+    clients, or ``taught``, the counts of its guidance texts."""
     keys = ["round_id", "client_id"]
     parts = []
     if selections is not None:
-        # Clients of the chosen rounds only; each is fitted once however many methods chose it.
+        # Clients of the chosen rounds only; their texts are read once however many methods chose them.
         # The chosen are at most k per method and round.
         chosen = stream.join(F.broadcast(selections.select(*keys).distinct()), keys, "left_semi")
         weights = selections.select("method", *keys).join(bg.sample_weights(chosen, keys, drift_times), keys)
-        local = bg.fit(chosen, keys, max_len=max_len, drift_times=drift_times)
-        parts.append(
-            bg.weighted_average(local, weights, ["method", "round_id"], ["client_id"], ["prev", "tok"], few_clients=True)
-        )
+        names = {m: f"_m{i}" for i, m in enumerate(m for m in methods if m not in fv.POOLED_METHODS)}
+        shares = bg.client_shares(weights, ["round_id"], ["client_id"], names)
+        wide = bg.fit_shared(stream, shares, ["round_id"], ["client_id"], list(names.values()), max_len, drift_times, few_clients=True)
+        by_method = F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("value")) for m, c in names.items()])
+        learned = wide.select("round_id", "prev", "tok", F.inline(by_method).alias("method", "value"))
+        parts.append(learned.filter(F.col("value").isNotNull()).select("method", "round_id", "prev", "tok", "value"))
     pooled = [m for m in methods if m in fv.POOLED_METHODS]
-    if guidance is not None and pooled:
-        fitted = bg.fit(guidance, ["round_id"], max_len=max_len)
-        parts.append(fitted.withColumn("method", F.explode(F.array(*[F.lit(m) for m in pooled]))))
+    if taught is not None and pooled:
+        parts.append(taught.withColumn("method", F.explode(F.array(*[F.lit(m) for m in pooled]))))
     if not parts:
         raise ValueError("nothing to learn from: no selections and no guidance")
     return bg.RoundModel(mt.stack(parts), list(methods))
@@ -260,7 +261,8 @@ def run_rounds(
     )
     selections = sel.selection_summary(new_log, methods, until).filter(F.col("round") >= first)
     metrics = sel.round_metrics(selections, guidance_counts(guidance, pooled) if pooled else None)
-    learned = durable(learn(stream, chosen, guidance, methods, drift_times, max_len).increments)
+    taught = bg.fit_guidance(prior, prior_key, until, template, max_len=max_len, first=first) if pooled else None
+    learned = durable(learn(stream, chosen, taught, methods, drift_times, max_len).increments)
     if before is not None:
         learned = learned.unionByName(before.learned.withColumn("round_id", F.lit(before.last)))
     # The learned increments serve every metric below.
