@@ -76,18 +76,21 @@ def fixed_score(probability: Column, mean_chars: Column) -> Column:
     return F.lit(w["probability"]) * probability + F.lit(w["utility"]) * F.least(F.lit(1.0), mean_chars / F.lit(float(fv.UTILITY_CHARS)))
 
 
-def changing_score(last_seen, persona_count):
-    """The part that does; of columns or of numbers."""
+def changing_score(last_seen: int, persona_count: int) -> float:
+    """The part that does."""
     w = fv.SCORE_WEIGHTS
-    if isinstance(persona_count, Column):
-        again = F.when(persona_count > 0, F.lit(w["repeat"])).otherwise(F.lit(0.0))
-    else:
-        again = w["repeat"] if persona_count > 0 else 0.0
-    return w["fresh"] / (1 + last_seen) + w["under"] / (1 + persona_count) - again
+    return w["fresh"] / (1 + last_seen) + w["under"] / (1 + persona_count) - (w["repeat"] if persona_count > 0 else 0.0)
 
 
 def selection_score(probability: Column, last_seen: Column, persona_count: Column, mean_chars: Column) -> Column:
-    return fixed_score(probability, mean_chars) + changing_score(last_seen, persona_count)
+    w = fv.SCORE_WEIGHTS
+    return (
+        F.lit(w["probability"]) * probability
+        + F.lit(w["fresh"]) / (F.lit(1) + last_seen)
+        + F.lit(w["under"]) / (F.lit(1) + persona_count)
+        + F.lit(w["utility"]) * F.least(F.lit(1.0), mean_chars / F.lit(float(fv.UTILITY_CHARS)))
+        - F.when(persona_count > 0, F.lit(w["repeat"])).otherwise(F.lit(0.0))
+    )
 
 
 def select_by_score(features: DataFrame, k: int = fv.CLIENTS_PER_ROUND) -> DataFrame:

@@ -32,7 +32,7 @@ SQL_FROM_ALL = _sql_from_all()
 # Every fourth selection is of a client without data.
 SQL_LOG = f"""{ds.SQL_ACTIVE}, {ds.SQL_ACTIVITY}, {SQL_UNIFORM},
  log AS (SELECT u.round_id, u.client_id, CASE WHEN (u.round_id + u.client_id) % 4 <> 0 THEN p.persona END AS persona, u.rank
-   FROM uniform u JOIN people p USING (client_id) WHERE u.round_id % 5 <> 3)"""
+   FROM uniform u JOIN people p USING (client_id))"""
 
 
 def pool(spark, sf):
@@ -40,11 +40,11 @@ def pool(spark, sf):
 
 
 def selection_log(spark, sf):
-    """Uniform selections as history; some rounds select nobody and some clients had no data."""
+    """Uniform selections as history; some clients had no data."""
     persona = F.when((F.col("round_id") + F.col("client_id")) % 4 != 0, F.col("persona"))
     people = ds.clients(spark, sf).select("client_id", "persona")
     return (
-        sel.sample_uniform(pool(spark, sf)).filter(F.col("round_id") % 5 != 3).join(people, "client_id")
+        sel.sample_uniform(pool(spark, sf)).join(people, "client_id")
         .select("round_id", "client_id", persona.alias("persona"), "rank")
     )
 
@@ -91,7 +91,7 @@ SQL_HISTORY = """(SELECT count(*) FROM log l WHERE l.round_id < q.round_id AND l
     "g5_scored_selection",
     f"""WITH {ds.SQL_STREAM}, {SQL_FEATURES}, {SQL_UNIFORM},
     log AS (SELECT u.round_id, u.client_id, CASE WHEN (u.round_id + u.client_id) % 4 <> 0 THEN p.persona END AS persona, u.rank
-      FROM uniform u JOIN people p USING (client_id) WHERE u.round_id % 5 <> 3),
+      FROM uniform u JOIN people p USING (client_id)),
     past AS (SELECT q.*, {SQL_HISTORY} FROM features q),
     scored AS (SELECT *, 0.35::DOUBLE * probability + 0.2::DOUBLE / (1 + last_seen) + 0.2::DOUBLE / (1 + persona_count)
       + 0.25::DOUBLE * least(1.0::DOUBLE, mean_chars / 200) - CASE WHEN persona_count > 0 THEN 0.1::DOUBLE ELSE 0 END AS score FROM past),

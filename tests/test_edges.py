@@ -1,7 +1,9 @@
 """Small cases with results worked out by hand."""
 
 import datetime as dt
+import glob
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from driftwell.operators import (
     availability as av, bigram as bg, drift, metrics as mt, normalize as nz, personas as ps, rounds as rd, scoring as sc,
     selection as sel, suppression as sp, terms as tm,
 )
-from driftwell.sources import grids, readers
+from driftwell.sources import grids, readers, writers
 
 
 def one(df):
@@ -365,3 +367,103 @@ def test_probabilities_stay_below_one(spark, sf):
     seen = model.nll(sc.target_pairs(ds.documents(spark, sf), []))
     worst = seen.groupBy("prev").agg(F.sum(F.exp(-F.col("nll"))).alias("p")).agg(F.max("p")).first()[0]
     assert 0 < worst <= 1 + 1e-9
+
+
+def test_round_edges(spark):
+    """For any number of rows and rounds, with many equal and missing times."""
+    draw = random.Random(2)
+    for n in (0, 1, 2, 3, 5, 50, 997):
+        keys = [(None if draw.random() < 0.05 else draw.choice([7, 7, 7, draw.randint(0, 10**6)]), i) for i in draw.sample(range(10**6), n)]
+        df = spark.createDataFrame(keys, "t long, id long").repartition(3)
+        order = sorted(keys, key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
+        for q in (1, 2, 7, 40):
+            want = {}
+            for p, key in enumerate(order):
+                want.setdefault(max((p * q + n - 2) // max(n - 1, 1) - 1, 0), key)
+            assert {r["round_id"]: (r["t"], r["id"]) for r in rd.round_edges(df, q, ["t", "id"]).collect()} == want
+
+
+def test_hourly_times_never_repeat(spark):
+    df = spark.range(5)
+    got = [str(r["ts"]) for r in nz.hourly_times(df, "id", "2024-01-01 00:00:00", every_seconds=60).orderBy("id").collect()]
+    assert got == [f"2023-12-31 23:{m}:00" for m in (56, 57, 58, 59)] + ["2024-01-01 00:00:00"]
+    got = [str(r["ts"]) for r in nz.hourly_times(df, "id", "2024-01-02 00:00:00", "start", 1).orderBy("id").collect()]
+    assert got[0] == "2024-01-01 00:00:00" and got[4] == "2024-01-01 04:00:00"
+
+
+def test_files_are_planned(spark, tmp_path):
+    """One file per round and client; a large group is cut into even parts; reading gives all rows back."""
+    df = spark.range(3000).select(
+        (F.col("id") % 3).cast("int").alias("round_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 50)).alias("client_id"),
+        F.concat(F.lit("text\n"), "id").alias("text"), F.lit("l").alias("label"), F.lit("2024-01-01").alias("timestamp"), F.lit("p").alias("persona"), F.lit("r").alias("region"),
+    ).repartition(7)
+    for one_line in (False, True):
+        out = str(tmp_path / f"x{one_line}")
+        writers.export_client_rounds(df, out, max_rows_per_file=100, one_line=one_line)
+        groups = {(r["round_id"], r["client_id"]): r["count"] for r in df.groupBy("round_id", "client_id").count().collect()}
+        for (r, c), n in groups.items():
+            files = glob.glob(f"{out}/round_id={r}/client_id={c}/*.csv")
+            assert len(files) == -(-n // 100)
+            if len(files) > 1:
+                sizes = [spark.read.csv(f, header=True, multiLine=True, escape='"').count() for f in files]
+                assert max(sizes) < 1.5 * n / len(files)
+        back = readers.read_table(spark, out, "csv", one_line=one_line)
+        assert {r["text"] for r in back.select("text").collect()} == {f"text\n{i}" for i in range(3000)}
+
+
+def test_csv_on_one_line_is_shared_and_comes_back(spark, tmp_path):
+    odd = ["a\nb", "\\n", "\\", "\r\n", "\\\\s\\", 'x"y', '"', "\\\n\\", "plain, with comma", None, "é\u2028"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd * 4000)], "id long, text string").coalesce(1)
+    out = str(tmp_path / "csv")
+    writers.write_table(df, out, "csv", one_line=True)
+    back = readers.read_typed_csv(spark, out, "id long, text string", one_line=True)
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[0]) == sorted(map(tuple, df.collect()), key=lambda r: r[0])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        assert readers.read_typed_csv(spark, out, "id long, text string", one_line=True).rdd.getNumPartitions() > 4
+        assert readers.read_typed_csv(spark, out, "id long, text string").rdd.getNumPartitions() <= 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_limits_that_are_off_by_default(spark, rows):
+    """Literal results of the parameters that cut: tokens, labels, terms, characters, guidance."""
+    df = spark.createDataFrame([(1, "a b c d"), (2, "a"), (3, None)], "k int, text string")
+    assert rows(bg.token_positions(df, ["k"], max_len=2)) == [(1, 0, "a"), (1, 1, "b"), (2, 0, "a")]
+    assert rows(bg.fit(df, [], max_len=2)) == sorted([(None, "a", 2.0), ("a", "b", 1.0)], key=str)
+    labels = spark.createDataFrame([(x,) for x in "aabbbccd"], "label string")
+    assert rows(sc.label_space(labels, limit=2)) == [(0, "b"), (1, "a")] and rows(sc.label_space(labels, limit=9)) == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+    emerging = spark.createDataFrame([(0, "zeta"), (0, "beta"), (1, "eta_")], "round_id int, term string")
+    assert rows(tm.tracked_terms(emerging, per_round=1).select("term", "first_seen_round")) == [("beta", 0), ("eta_", 1)]
+    loaded = spark.createDataFrame([("u", "abcdef")], "url string, body string")
+    asked = spark.createDataFrame([("u",), ("v",)], "source_url string")
+    assert rows(readers.source_bodies(asked, loaded, max_chars=3))[0] == ("u", "abc")
+    prior = spark.createDataFrame([(i, f"text {i}", "neutral", "t") for i in range(6)], "key int, text string, label string, topic string")
+    notes = bg.guidance_batch(prior, "key", 10, "{prior}", every=3, max_rounds=2, max_samples=4)
+    assert {(r["round_id"], r["count"]) for r in notes.groupBy("round_id").count().collect()} == {(0, 4), (3, 4)}
+
+
+def test_guidance_is_counted_once_for_all_rounds(spark, rows):
+    prior = spark.createDataFrame([(i, f"note {i} 5 word 0", "good", "t 10") for i in range(4)] + [(9, None, "x", "y")], "key int, text string, label string, topic string")
+    for template in ("{prior} in {round_id}", "{round_id}{round_id} x{round_id}. {topic} {prior} {label}", "{prior}"):
+        for first in (0, 4):
+            whole = bg.fit(bg.guidance_batch(prior, "key", 12, template, 5).filter(F.col("round_id") >= first), ["round_id"])
+            assert rows(bg.fit_guidance(prior, "key", 12, template, 5, first=first).select(*whole.columns)) == rows(whole)
+
+
+def test_averages_straight_from_texts(spark):
+    """Sums weighted by shares equal the average of the clients' own counts, for every method."""
+    draw = random.Random(6)
+    df = spark.createDataFrame(
+        [(i % 3, draw.randint(0, 5), " ".join(draw.choices("a b c d".split(), k=draw.randint(0, 6))), draw.choice(["", "x"])) for i in range(90)],
+        "round_id int, client_id int, text string, drift_concept string",
+    )
+    chosen = spark.createDataFrame([(m, r, c) for m in ("m", "n") for r in range(3) for c in (1, 2, 3 if m == "m" else 5, 77)], "method string, round_id int, client_id int")
+    weights = chosen.join(bg.sample_weights(df, ["round_id", "client_id"], 4), ["round_id", "client_id"])
+    local = bg.fit(df, ["round_id", "client_id"], max_len=4, drift_times=4)
+    want = {(r["method"], r["round_id"], r["prev"], r["tok"]): r["value"] for r in bg.weighted_average(local, weights, ["method", "round_id"], ["client_id"], ["prev", "tok"]).collect()}
+    shares = bg.client_shares(weights, ["round_id"], ["client_id"], {"m": "v", "n": "w"})
+    wide = bg.fit_shared(df, shares, ["round_id"], ["client_id"], ["v", "w"], max_len=4, drift_times=4).collect()
+    got = {(m, r["round_id"], r["prev"], r["tok"]): r[c] for r in wide for m, c in (("m", "v"), ("n", "w")) if r[c] is not None}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)

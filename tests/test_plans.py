@@ -112,6 +112,57 @@ def test_sequential_selection(spark):
     assert sorted(tuple(r) for r in again.collect()) == sorted(got)
 
 
+@pytest.mark.parametrize("per_job", [1, 4, 40])
+def test_sequential_selection_in_parts(spark, per_job):
+    """The rounds of a job, and going on from an earlier log, change nothing."""
+    rng = random.Random(per_job)
+    features = [(r, c, f"p{c % 3}" if c % 4 else None, rng.choice([0.1, 0.5]), rng.choice([40.0, 500.0])) for r in range(14) for c in range(25) if r != 3 and rng.random() < 0.7]
+    df = spark.createDataFrame([*features, (1, None, "p0", 1.0, 900.0)], "round_id int, client_id long, persona string, probability double, mean_chars double")
+    wanted = by_definition(features, 14, 2)
+    whole = sel.select_sequentially(spark, df, 14, 2, per_job)
+    assert [tuple(r) for r in whole.orderBy("round_id", "rank").collect()] == wanted
+    first = sel.select_sequentially(spark, df.filter("round_id < 6"), 6, 2, per_job)
+    rest = sel.select_sequentially(spark, df.filter("round_id >= 6"), 14, 2, per_job, earlier=first)
+    assert [tuple(r) for r in first.union(rest).orderBy("round_id", "rank").collect()] == wanted
+
+
+def test_sequential_selection_takes_few_jobs(spark):
+    """Jobs grow with blocks of rounds, not with rounds."""
+    df = spark.range(2000).select((F.col("id") % 40).cast("int").alias("round_id"), (F.col("id") % 97).alias("client_id"), F.lit("p").alias("persona"), F.lit(0.5).alias("probability"), (F.col("id") % 200).cast("double").alias("mean_chars"))
+    tracker, counts = spark.sparkContext.statusTracker(), []
+    for n in (10, 40):
+        spark.sparkContext.setJobGroup(f"few-jobs-{n}", "")
+        sel.select_sequentially(spark, df.filter(F.col("round_id") < n), n, 3)
+        counts.append(len(tracker.getJobIdsForGroup(f"few-jobs-{n}")))
+    spark.sparkContext.setJobGroup("others", "")
+    assert counts[0] == counts[1] < 10
+
+
+def test_experiment_goes_on_from_a_state(spark, prepared, tmp_path):
+    """Rounds in three parts, with the state stored in between, give the tables of one run."""
+    out, clients = prepared
+    stream = pr.read_prepared(spark, out)
+    prior = grids.prior_corpus(grids.topic_table(spark))
+    told = {"drift_times": 2, "template": ds.GUIDANCE_TEMPLATE, "methods": ["aws", "random", "crosslm"]}
+    whole = ex.run(stream, clients, prior, "prior_id", ROUNDS, **told)
+    state = None
+    for i, until in enumerate((3, ROUNDS // 2, ROUNDS)):
+        part = stream.filter(F.col("round_id").between(0 if state is None else state.last + 1, until - 1))  # earlier samples are gone
+        report, state = ex.run_rounds(part, clients, prior, "prior_id", until, before=state, **told)
+        state = state.write(f"{tmp_path}/state-{i}")
+        assert "text" not in {c for t in (state.learned, state.terms, state.log, state.lags, state.presence) for c in t.columns}
+    for name in ("per_persona", "fairness", "lags", "suppression", "comparison", "summary", "round_metrics", "selections"):
+        one, other = getattr(whole, name), getattr(report, name)
+        assert sorted(one.columns) == sorted(other.columns)
+        keys = [c for c, t in sorted(one.dtypes) if t != "double"]
+        values = [c for c, t in sorted(one.dtypes) if t == "double"]
+        a, b = (sorted(map(tuple, t.select(*keys, *values).collect()), key=lambda r: str(r[: len(keys)])) for t in (one, other))
+        assert [r[: len(keys)] for r in a] == [r[: len(keys)] for r in b], name
+        for x, y in zip(a, b):
+            for u, v in zip(x[len(keys) :], y[len(keys) :]):
+                assert (u is None) == (v is None) and (u is None or u == pytest.approx(v, rel=1e-9)), (name, x, y)
+
+
 def test_experiment(spark, prepared, tmp_path):
     out, clients = prepared
     stream = pr.read_prepared(spark, out)
