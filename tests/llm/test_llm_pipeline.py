@@ -74,3 +74,18 @@ def test_missing_values_pass_all_stages(spark, sf):
         for name, stage in corpus_pipeline.STAGES:
             frame = stored(stage(spark, frame, sf), name)
         assert frame.columns[0] == "doc_id"
+
+
+def test_rows_of_one_id_go_by_their_own_text(spark, sf):
+    """A leak or a toxic text takes no other row of its id along; columns with clashing names change nothing."""
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    plain = "nothing to see here but some plain words that stand in no benchmark at all"
+    rows = [(1, item, "en", "a", 1), (1, plain, "en", "a", 1), (None, item, "en", "a", 1), (None, plain, "en", "a", 1), (2, None, None, None, None), (3, "", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clash = docs.selectExpr("*", "1 as score", "'x' as row", "2 as n_words", "3 as __same", "4 as hash", "5 as ids", "6 as predicted")
+    for frame in (docs, clash):
+        left = corpus_pipeline.drop_leaks(spark, frame, sf)
+        assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, plain), (None, plain), (2, None), (3, "")], key=str)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, frame, sf).columns == docs.columns
+    assert "ids" in corpus_pipeline.encode(spark, clash.drop("ids"), sf).columns
