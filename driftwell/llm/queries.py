@@ -30,7 +30,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         change("0", 0, "concat(coalesce(source, ''), '\n')"), change("length(text) div 2", 40, "''"), change("2147483647", 0, "concat('\n', coalesce(lang, ''))")
     )
     trees = token_counts.build_trees(table(spark, sf_dir, "documents"), PLAIN_BPE, public_tokenizers.PATTERN, keep=["source", "lang"])
-    kept = stored(trees.drop("n_before", "n_tokens", "n_encoded"), "trees").withColumn("edits", edits)
+    kept = stored(trees.drop("n_before", "n_tokens", "n_encoded"), "trees", "zstd").withColumn("edits", edits)
     return token_counts.apply_edits(kept, PLAIN_BPE, public_tokenizers.PATTERN).select("doc_id", "n_pretokens", "n_before", "n_tokens", "n_encoded")
 
 
