@@ -92,14 +92,17 @@ class WordEncoder:
         self.cores = Memory(self._encode_cores)
         self.words = Memory(self._encode_words)
 
-    def is_letters(self, text: str) -> bool:
-        if text.isascii() or not self.tokenizer.normalizer:
-            return text.isalpha()
-        return text.isalpha() and self.tokenizer.normalizer.normalize_str(text).isalpha()
+    def is_letters(self, word: bytes) -> bool:
+        if word.isascii():
+            return word.isalpha()
+        text, normal = word.decode(), self.tokenizer.normalizer
+        if max(text) < "\u0180":  # composed Latin letters, which lower-casing alone may take apart
+            return text.isalpha() and text.lower().isalpha()
+        return text.isalpha() and (not normal or normal.normalize_str(text).isalpha())
 
     def _encode_cores(self, cores: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [c.decode() for c in cores]
-        plain = np.array([self.is_letters(t) for t in texts], dtype=bool)
+        plain = np.array([c.isalpha() or self.is_letters(c) for c in cores], dtype=bool)  # bytes: ASCII letters
         counts = np.zeros(len(cores), dtype=np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         singly = [np.flatnonzero(~plain)]
@@ -128,8 +131,9 @@ class WordEncoder:
         numbers, per_word = [], np.ones(len(words), dtype=np.int64)
         for i, word in enumerate(words):
             cut = self.SPLIT.search(word)
-            if cut and 0 < cut.start() and self.is_letters(word[: cut.start()].decode()):
-                numbers += [self.cores[word[: cut.start()]], self.cores[cut[0]]]
+            core = word[: cut.start()] if cut else b""
+            if core and (core.isalpha() or self.is_letters(core)):
+                numbers += [self.cores[core], self.cores[cut[0]]]
                 per_word[i] = 2
             else:
                 numbers.append(self.cores[word])
