@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from driftwell.session import checkpoint_dir
 
 #: Bytes of text that a task turns into arrays at a time.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

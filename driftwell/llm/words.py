@@ -49,8 +49,8 @@ class Hash:
         """``place``: of each byte in its word; ``starts``: of words."""
         if not len(starts):
             return np.zeros(0, dtype=np.uint64)
-        powers = self.powers(self.base, SHORT)
-        h = mix(np.add.reduceat(self.of_byte[data] * powers[np.minimum(place, SHORT - 1)], starts))
+        powers, near = self.powers(self.base, SHORT), np.minimum(place, SHORT - 1).astype(np.uint8)
+        h = mix(np.add.reduceat(self.of_byte[data] * powers[near], starts))
         return rehash_long(h, data, starts, np.maximum.reduceat(place, starts) + 1, self.seed)
 
     def windows(self, words: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
