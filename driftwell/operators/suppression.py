@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from driftwell.functions.missing import known
 
+#: A mean of equal values may differ from them in its last digits, by the order of its sum; less than this share is no difference.
+EQUAL = 1e-12
+
 
 def suppression_windows(availability: DataFrame, min_absent_rounds: int = 2, group: str = "persona") -> DataFrame:
     """``group, window_start, window_end`` of the runs of rounds without an available client
@@ -30,7 +33,7 @@ def suppression_effect(
     windows: DataFrame, history: DataFrame, group: str = "persona", metric: str = "perplexity", by: Sequence[str] = ()
 ) -> DataFrame:
     """Mean of the metric before, during and after each window, and how many rounds after it
-    the metric was first no worse than before.
+    the metric was first no worse than before. A value that equals the mean but for the order of its sum is no worse.
 
     A history holds few rows per group and round, so it travels as one array per group and no
     (window, round) pairs are laid out.
@@ -61,9 +64,8 @@ def suppression_effect(
             "post_window_metric": mean(lambda x: x["round"] > end),
         }
     )
-    first_good = F.get(
-        F.filter("_h", lambda x: (x["round"] > end) & (x["_min"] <= F.col("pre_window_metric"))), F.lit(0)
-    )["round"]
+    bound = F.col("pre_window_metric") + F.abs("pre_window_metric") * F.lit(EQUAL)
+    first_good = F.get(F.filter("_h", lambda x: (x["round"] > end) & (x["_min"] <= bound)), F.lit(0))["round"]
     return out.withColumn("recovery_rounds", (first_good - end).cast("int")).select(
         *keys, "window_start", "window_end", "pre_window_metric", "during_window_metric", "post_window_metric",
         "recovery_rounds",

@@ -311,6 +311,14 @@ def test_suppression_windows(spark, rows, flags, expected):
     assert rows(sp.suppression_windows(df, 2)) == expected
 
 
+def test_recovery_at_an_equal_value(spark):
+    """Six times 5.01 sum up to a mean of a little less, yet 5.01 afterwards is no worse."""
+    windows = spark.createDataFrame([("p", 6, 7)], "persona string, window_start int, window_end int")
+    history = spark.createDataFrame([("p", r, 5.01) for r in (0, 1, 2, 3, 4, 5, 9)], "persona string, round int, perplexity double")
+    got = sp.suppression_effect(windows, history).collect()[0]
+    assert got["pre_window_metric"] < 5.01 and got["recovery_rounds"] == 2
+
+
 def test_suppression_effect(spark):
     history = spark.createDataFrame(
         [("m", "p", i, float(v)) for i, v in enumerate([10, 10, 14, 13, 11, 9])], "method string, persona string, round int, perplexity double"
