@@ -87,7 +87,7 @@ SQL_COPIES = "copies AS (SELECT d.* FROM drifted d, unnest(range(CASE WHEN drift
     SELECT round_id, client_id, prev, tok, CAST(count(*) AS DOUBLE) AS value FROM tr GROUP BY ALL""",
 )
 def local_fit(spark, sf):
-    return bg.fit(drift_stream(spark, sf), ["round_id", "client_id"], drift_times=8)
+    return bg.fit(drift_stream(spark, sf), ["round_id", "client_id"], drift_times=8, few_texts=True)
 
 
 @query(
