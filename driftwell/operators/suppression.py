@@ -29,6 +29,18 @@ def suppression_windows(availability: DataFrame, min_absent_rounds: int = 2, gro
     )
 
 
+def windows_between(active: DataFrame, min_absent_rounds: int = 2, group: str = "persona", first: int = 0) -> DataFrame:
+    """The same from the rounds in which a group was there at all, ``group, round_id``, where it could have been
+    in every round from ``first`` on. Rounds of absence have no rows, so the work is that of the presence."""
+    there = active.filter(F.col(group).isNotNull() & (F.col("round_id") >= first))
+    rounds = there.groupBy(group).agg(F.array_sort(F.collect_set("round_id")).alias("_r"))
+    before = F.concat(F.array(F.lit(first - 1)), F.slice("_r", 1, F.size("_r") - 1))
+    spells = rounds.select(group, F.inline(F.arrays_zip(before.alias("a"), F.col("_r").alias("b"))).alias("_a", "_b"))
+    return spells.filter(F.col("_b") - F.col("_a") - 1 >= F.greatest(F.lit(min_absent_rounds), F.lit(1))).select(
+        group, (F.col("_a") + 1).alias("window_start"), (F.col("_b") - 1).alias("window_end")
+    )
+
+
 def suppression_effect(
     windows: DataFrame, history: DataFrame, group: str = "persona", metric: str = "perplexity", by: Sequence[str] = ()
 ) -> DataFrame:

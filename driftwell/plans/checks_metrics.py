@@ -140,8 +140,9 @@ SQL_WINDOWS = f"""{ds.SQL_GRID},
 
 
 def windows_of(spark, sf):
-    by_client = ds.availability(spark, sf).select(F.col("client_id").alias("persona"), "round_id", "available")
-    return sp.suppression_windows(by_client)
+    known = ds.clients(spark, sf).select("client_id")
+    active = ds.activity(spark, sf).join(known, "client_id", "left_semi")
+    return sp.windows_between(active.select(F.col("client_id").alias("persona"), "round_id"))
 
 
 @query("j9_suppression_windows", f"WITH {SQL_WINDOWS} SELECT * FROM windows")

@@ -311,6 +311,17 @@ def test_suppression_windows(spark, rows, flags, expected):
     assert rows(sp.suppression_windows(df, 2)) == expected
 
 
+def test_windows_need_no_rows_of_absence(spark, rows):
+    """From the rounds of presence alone the same windows as from the grid of all rounds."""
+    draw = random.Random(3)
+    grid = [(p, r, int(draw.random() < share)) for p, share in (("a", 0.2), ("b", 0.6), ("c", 0.0), ("d", 1.0), (None, 0.3)) for r in range(30)]
+    dense = spark.createDataFrame(grid, "persona string, round_id int, available int")
+    sparse = dense.filter("available = 1").select("persona", "round_id")
+    for least in (0, 1, 2, 4):
+        assert rows(sp.windows_between(sparse, least)) == rows(sp.suppression_windows(dense, least))
+    assert "Window" not in sp.windows_between(sparse)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_recovery_at_an_equal_value(spark):
     """Six times 5.01 sum up to a mean of a little less, yet 5.01 afterwards is no worse."""
     windows = spark.createDataFrame([("p", 6, 7)], "persona string, window_start int, window_end int")
