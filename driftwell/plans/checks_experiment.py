@@ -35,7 +35,7 @@ def parts(spark, sf):
     guidance = guidance_of(spark, sf)
     prior = src.prior_corpus(spark, sf).withColumnRenamed("prior_id", "key")
     model = ex.learn(stream, chosen, bg.fit_guidance(prior, "key", ds.EVENT_ROUNDS, ds.GUIDANCE_TEMPLATE), METHODS)
-    return stream, chosen, guidance, bg.RoundModel(durable(model.increments), METHODS)
+    return stream, chosen, guidance, bg.RoundModel(stored(model.increments, "learned"), METHODS)
 
 
 LEARNED = rf"""{cs.SQL_DRIFT_STREAM}, {cs.sql_guidance(SQL_PRIOR, ds.EVENT_ROUNDS)},

@@ -262,7 +262,7 @@ def run_rounds(
     selections = sel.selection_summary(new_log, methods, until).filter(F.col("round") >= first)
     metrics = sel.round_metrics(selections, guidance_counts(guidance, pooled) if pooled else None)
     taught = bg.fit_guidance(prior, prior_key, until, template, max_len=max_len, first=first) if pooled else None
-    learned = durable(learn(stream, chosen, taught, methods, drift_times, max_len).increments)
+    learned = stored(learn(stream, chosen, taught, methods, drift_times, max_len).increments, "learned")
     if before is not None:
         learned = learned.unionByName(before.learned.withColumn("round_id", F.lit(before.last)))
     # The learned increments serve every metric below.
