@@ -29,6 +29,8 @@ from driftwell.llm.memory import Memory, spread
 
 NEVER = np.int32(2**31 - 1)
 CELLS = 1 << 20  # of a matrix
+#: Bytes of text at a time, and words and matches that a worker keeps between tasks.
+STEP, KEPT_HERE = 1 << 19, 150_000
 WIDTHS = np.array([2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64])
 
 
@@ -183,8 +185,8 @@ class Encoder:
     def __init__(self, ranks: Ranks, pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.part = regex.compile(r"(?<=\S) (?=\S)").split
-        self.pieces = Memory(lambda new: ranks.encode_pieces([p.encode() for p in new]))
-        self.words = Memory(self._encode_words, _odd)
+        self.pieces = Memory(lambda new: ranks.encode_pieces([p.encode() for p in new]), kept=KEPT_HERE)
+        self.words = Memory(self._encode_words, _odd, kept=KEPT_HERE)
 
     def _encode_words(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A key that begins with a blank stands for a first word, which has none in front."""
@@ -250,7 +252,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(lines.value, pattern)
-        for batch in in_steps(batches, "__text"):
+        for batch in in_steps(batches, "__text", STEP):
             ids, bounds = encoder.encode(batch.column("__text").to_pylist())
             columns = [batch.column(id_col), pa.array(np.diff(bounds)), _binary(ids.astype("<u4"), bounds)]
             if decoded:

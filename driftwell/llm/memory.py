@@ -20,11 +20,11 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 class Memory(dict):
     """Numbers strings as they come up. ``encode`` turns a list of new strings into all their ids
-    in turn and the number of ids of each."""
+    in turn and the number of ids of each. ``kept`` lowers the bound of strings."""
 
-    def __init__(self, encode: Encode, odd: Callable[[str], bool] | None = None):
+    def __init__(self, encode: Encode, odd: Callable[[str], bool] | None = None, kept: int | None = None):
         super().__init__()
-        self.encode, self.odd, self.met_odd = encode, odd, False
+        self.encode, self.odd, self.met_odd, self.kept = encode, odd, False, kept
         self.new: list = []
         self.settled = 0
         self.ids, self.counts, self.starts = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -57,7 +57,7 @@ class Memory(dict):
 
     def end_step(self) -> None:
         """Numbers given since the last step are no longer needed: drop what is beyond the bound."""
-        if len(self) > KEPT or len(self.ids) > KEPT_IDS:
+        if len(self) > min(KEPT, self.kept or KEPT) or len(self.ids) > KEPT_IDS:
             for key in self.new:
                 del self[key]
             n = len(self)

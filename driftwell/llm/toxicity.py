@@ -38,6 +38,8 @@ from driftwell.llm.letters import bucket, grams, letters, word_hashes, word_star
 BITS = 18
 POSITIVES, UNLABELLED = 4_000, 12_000
 THRESHOLD = 0.3
+#: Bytes of text at a time; each takes about 35 bytes of arrays.
+STEP = 1 << 19
 
 
 def features(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +125,7 @@ def sampled_features(docs: DataFrame, text_col: str) -> Rows:
     """Features of all rows of ``docs`` (``__id``, ``__text`` a hash, and the text), in the order of the ids' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_steps(batches, text_col):
+        for batch in in_steps(batches, text_col, STEP):
             row, at = features(batch.column(text_col).to_pylist())
             pair = np.unique(row << BITS | at)
             ends = np.searchsorted(pair >> BITS, np.arange(batch.num_rows + 1))
@@ -164,7 +166,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     names = [id_col, "held_out", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_steps(batches, text_col):
+        for batch in in_steps(batches, text_col, STEP):
             texts = batch.column(text_col).to_pylist()
             found = sent.value.scores(texts) if sent.value else np.zeros(len(texts))
             columns = [*(batch.column(c) for c in names), pa.array(found), pa.array((found >= threshold).astype(np.int32))]

@@ -2,16 +2,20 @@
 
 import hashlib
 import re
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_llm_duplicates import brute_fingerprint, brute_removal, smallest_reachable
 from test_llm_text import tiktoken_of
 
 import corpus_pipeline
-from driftwell.llm import queries, toxicity
+from driftwell.llm import common, queries, toxicity
 from driftwell.llm.common import stored
+from driftwell.llm.letters import letter_table
+from driftwell.llm.memory import Memory
 
 
 def test_stages(spark, sf):
@@ -89,3 +93,24 @@ def test_rows_of_one_id_go_by_their_own_text(spark, sf):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, frame, sf).columns == docs.columns
     assert "ids" in corpus_pipeline.encode(spark, clash.drop("ids"), sf).columns
+
+
+def test_stages_of_whole_texts_take_little_memory():
+    """Twenty MB of text through the score of toxicity, in the steps of its task: no more arrays than one small step needs."""
+    texts = pa.record_batch({"text": pa.array([f"word{i} another {i * 7919}th Word of text number {i}, " * 40 for i in range(10_000)])})
+    model = toxicity.Model(np.ones(1 << toxicity.BITS), 0.0)
+    letter_table()
+    tracemalloc.start()
+    for batch in common.in_steps([texts], "text", toxicity.STEP):
+        assert len(model.scores(batch.column("text").to_pylist())) == batch.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 20_000_000 and peak < 30_000_000
+
+
+def test_words_kept_between_tasks_are_bounded_where_told():
+    kept = Memory(lambda new: (np.arange(len(new)), np.ones(len(new), dtype=np.int64)), kept=3)
+    for words in (["a", "b"], ["c", "d", "e"], ["a", "f"]):
+        kept.get_counts(np.array([kept[w] for w in words]))
+        kept.end_step()
+    assert set(kept) == {"a", "b", "f"} and len(kept.ids) == 3
