@@ -17,10 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import STEP_BYTES, byte_view, in_steps, read_file, stored, work_folder, write_file
+from driftwell.llm.common import byte_view, in_steps, read_file, stored, work_folder, write_file
 from driftwell.llm.words import find_words
 
 CHUNK_BYTES = 16 << 20
+#: Bytes of text at a time; hashing takes about 50 bytes of arrays for each.
+STEP = 1 << 19
 SCHEMA = "chunk string, n_docs bigint, n_words bigint"
 
 
@@ -43,7 +45,7 @@ def write_chunks(df: DataFrame, text_col: str, columns: Sequence[str], size: int
             uri = write_file(folder, f"{uuid.uuid4().hex}.arrow", _pack(held))
             return pa.RecordBatch.from_pylist([{"chunk": uri, "n_docs": sum(b.num_rows for b in held), "n_words": n_words}])
 
-        for batch in in_steps(batches, text_col):
+        for batch in in_steps(batches, text_col, STEP):
             held.append(batch)
             data, offsets = byte_view(batch.column(text_col))
             n_bytes += len(data)
@@ -58,9 +60,9 @@ def write_chunks(df: DataFrame, text_col: str, columns: Sequence[str], size: int
 
 
 def read_chunk(uri: str, text_col: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows of a chunk in order, a few megabytes at a time, with the bytes of their texts."""
+    """Rows of a chunk in order, ``STEP`` bytes of text at a time, with the bytes of their texts."""
     table = pa.ipc.open_file(pa.BufferReader(read_file(uri))).read_all()
-    for batch in in_steps(iter(table.to_batches()), text_col, STEP_BYTES):
+    for batch in in_steps(iter(table.to_batches()), text_col, STEP):
         yield batch, *byte_view(batch.column(text_col))
 
 

@@ -41,6 +41,7 @@ from driftwell.llm.memory import spread
 from driftwell.llm.words import FIRST, SECOND, SHORT, mix, rehash_long
 
 WIDTH, LITERALS, SHORTEST = 8, 5, 4
+STEP = 1 << 19  # bytes of text at a time
 FILTER_BITS = 24
 SALTS = 16
 
@@ -242,7 +243,7 @@ def _windows(df: DataFrame, id_col: str, text_col: str, widths: Sequence[int], w
     sent = df.sparkSession.sparkContext.broadcast(bits)  # 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_steps(batches, "__text"):
+        for batch in in_steps(batches, "__text", STEP):
             yield from _rows(batch, widths, whole, sent.value).to_batches()
 
     texts = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
