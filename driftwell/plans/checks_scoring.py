@@ -123,10 +123,14 @@ def dense_average(spark, sf):
     FROM l JOIN w USING (round_id, client_id) JOIN s USING (round_id) GROUP BY ALL""",
 )
 def round_average(spark, sf):
-    df = drift_stream(spark, sf)
-    weights = bg.sample_weights(df, ["round_id", "client_id"]).withColumn("method", F.lit("all"))
+    """Texts get their client's share with the other facts, and are gathered by round before they are counted."""
+    facts = stored(ds.sample_facts(spark, sf).select("sample_id", "row_idx", "round_id", "client_id"), "facts")
+    weights = bg.sample_weights(facts, ["round_id", "client_id"]).withColumn("method", F.lit("all"))
     shares = bg.client_shares(weights, ["round_id"], ["client_id"], {"all": "value"})
-    return rounded(bg.fit_shared(df, shares, ["round_id"], ["client_id"], ["value"]), "value")
+    weighed = facts.join(shares, ["round_id", "client_id"]).drop("client_id")
+    texts = ds.documents(spark, sf).select("sample_id", "text").join(weighed, "sample_id")
+    gathered = bg.texts_by_round(texts, "sample_id", ds.EVENT_ROUNDS, facts.count())
+    return rounded(bg.sum_shared(inject_concepts(gathered, ds.EVENT_ROUNDS, ds.CONCEPTS), ["round_id"], ["value"]), "value")
 
 
 # Two of three parameters of the vectors are named as an adapter's; the labels 0 to 3 are clients.

@@ -486,3 +486,17 @@ def test_averages_straight_from_texts(spark):
     wide = bg.fit_shared(df, shares, ["round_id"], ["client_id"], ["v", "w"], max_len=4, drift_times=4).collect()
     got = {(m, r["round_id"], r["prev"], r["tok"]): r[c] for r in wide for m, c in (("m", "v"), ("n", "w")) if r[c] is not None}
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_texts_are_gathered_by_round(spark, sf, monkeypatch):
+    """A task counts texts of one round, of a large round as many as fit, and no table of availability is read for an average."""
+    from driftwell.plans import checks_scoring
+
+    df = spark.range(100).select(F.col("id").alias("sample_id"), (F.col("id") % 4).cast("int").alias("round_id"))
+    for at_once, tasks in ((25, 4), (10, 12)):
+        monkeypatch.setattr(bg, "TEXTS_AT_ONCE", at_once)
+        dealt = bg.texts_by_round(df, "sample_id", 4, 100)
+        rounds = dealt.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("round_id").alias("rounds"), F.count("*").alias("n")).collect()
+        assert dealt.rdd.getNumPartitions() == tasks == len(rounds) and {r["rounds"] for r in rounds} == {1} and sum(r["n"] for r in rounds) == 100
+    read = checks_scoring.round_average(spark, sf).inputFiles()
+    assert any("documents" in f for f in read) and not any("events" in f for f in read)
