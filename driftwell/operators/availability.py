@@ -65,7 +65,9 @@ def availability_matrix(clients: DataFrame, activity: DataFrame, num_rounds: int
     share = activity.groupBy("client_id").agg(
         (F.count(F.lit(1)) / F.lit(float(num_rounds))).alias("_share"), F.collect_set("round_id").alias("_seen")
     )
-    grid = clients.join(share, "client_id", "left").withColumn(
+    # A few clients become many rows, so they are spread over all tasks first, by a key that the join has not put in few.
+    tasks = int(clients.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = clients.join(share, "client_id", "left").repartition(tasks, F.xxhash64("client_id")).withColumn(
         "round_id", F.explode(F.sequence(F.lit(0), F.lit(num_rounds - 1)))
     )
     p = bounded_probability(F.col("timezone_group"), F.col("round_id"), F.col("_share"), num_rounds)

@@ -82,19 +82,37 @@ def normalize(
     Rows whose time cannot be read are dropped; without a time column hourly times are made up
     from the ``key`` order, ending at ``now``.
     """
-    cols = [
-        F.col(key).alias("sample_id"),
-        prompt_column(df).alias("prompt"),
-        text_column(df, instruction_first).alias("text"),
-        label_column(df).alias("label"),
-    ]
-    time_col = first_existing(df, fv.TIME_COLUMNS)
-    if time_col:
-        return df.select(*cols, parse_time(df, time_col).alias("ts")).filter(F.col("ts").isNotNull())
+    cols = [F.col(key).alias("sample_id"), *_content(df, instruction_first)]
+    if first_existing(df, fv.TIME_COLUMNS):
+        return _with_read_times(df, cols)
+    return _made_up_times(df.select(*cols), now, anchor).select("sample_id", "prompt", "text", "label", "ts")
+
+
+def sample_content(df: DataFrame, key: str, instruction_first: bool = False) -> DataFrame:
+    """``sample_id, prompt, text, label`` as :func:`normalize` has them, of every row, so that the texts need not move for the times."""
+    return df.select(F.col(key).alias("sample_id"), *_content(df, instruction_first))
+
+
+def sample_times(df: DataFrame, key: str, now: str | None = None, anchor: str = "end") -> DataFrame:
+    """``sample_id, ts`` of the rows that :func:`normalize` keeps, from the keys alone."""
+    sample = F.col(key).alias("sample_id")
+    if first_existing(df, fv.TIME_COLUMNS):
+        return _with_read_times(df, [sample])
+    return _made_up_times(df.select(sample), now, anchor).select("sample_id", "ts")
+
+
+def _content(df: DataFrame, instruction_first: bool) -> list[Column]:
+    return [prompt_column(df).alias("prompt"), text_column(df, instruction_first).alias("text"), label_column(df).alias("label")]
+
+
+def _with_read_times(df: DataFrame, cols: Sequence[Column]) -> DataFrame:
+    return df.select(*cols, parse_time(df, first_existing(df, fv.TIME_COLUMNS)).alias("ts")).filter(F.col("ts").isNotNull())
+
+
+def _made_up_times(df: DataFrame, now: str | None, anchor: str) -> DataFrame:
     if now is None:
         raise ValueError("a table without a time column needs 'now'")
-    timed = hourly_times(df.select(*cols), "sample_id", now, anchor)
-    return timed.select("sample_id", "prompt", "text", "label", "ts")
+    return hourly_times(df, "sample_id", now, anchor)
 
 
 def sentiment_label(text: Column, patterns: Sequence[tuple[str, str]] = fv.BRACKET_LABELS, default: str = "neutral") -> Column:

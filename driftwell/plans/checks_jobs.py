@@ -91,7 +91,7 @@ def prepared(spark, sf) -> pr.Prepared:
     """Documents, one in nine without a text, through the whole prepare job."""
     text = F.when(F.col("doc_id") % 9 != 4, F.col("text"))
     raw = table(spark, sf, "documents").select("doc_id", text.alias("text"), F.col("source").alias("label"))
-    return pr.prepare(raw, "doc_id", ds.clients(spark, sf), ds.availability(spark, sf), ds.EVENT_ROUNDS, ds.PERSONAS, ds.CONCEPTS, ds.NOW)
+    return pr.prepare(raw, "doc_id", ds.clients(spark, sf), ds.availability(spark, sf), ds.EVENT_ROUNDS, ds.PERSONAS, ds.CONCEPTS, ds.NOW, activity=ds.activity(spark, sf))
 
 
 def sql_prepared() -> str:

@@ -272,3 +272,23 @@ def test_terms_are_found_inside_tokens(spark, rows):
     terms = spark.createDataFrame([("interest", 1), ("rate", 0), ("interesting", 0), ("terest", 2)], "term string, first_seen_round int")
     got = rows(sc.match_terms(df, terms).select("sample_id", "term"))
     assert got == [(1, "rate"), (2, "interest"), (2, "interesting"), (3, "rate")]
+
+
+def test_prepare_lays_the_grid_out_for_its_own_table_only(spark, sf, rows):
+    """The samples' availability comes from the sparse log, equals the grid's, and the clients of one file are spread before they unfold."""
+    raw = ds.table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("label"))
+    seen, clients = av.observed_activity(ds.table(spark, sf, "events"), ds.START, 72, ROUNDS), ds.clients(spark, sf)
+    grid = av.availability_matrix(clients, seen, ROUNDS)
+    assert grid.filter("round_id = 0").select(F.spark_partition_id().alias("task")).distinct().count() == 4
+    given = (raw, "doc_id", clients, grid, ROUNDS, ds.PERSONAS, ds.CONCEPTS, ds.NOW)
+    sparse, dense = pr.prepare(*given, activity=seen), pr.prepare(*given)
+    cols = ["sample_id", "round_id", "client_id", "available", "availability_probability", "timestamp", "prompt", "text", "label"]
+    assert rows(sparse.full.select(cols)) == rows(dense.full.select(cols))
+    plan = sparse.full._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0" not in plan and plan.count("Join") == 1
+
+
+def test_a_round_is_written_by_few_tasks(spark, prepared):
+    out, _ = prepared
+    files = glob.glob(f"{out}/metadata/full_client_dataset/round_id=*/*.parquet")
+    assert ROUNDS <= len(files) < ROUNDS + 4
