@@ -8,7 +8,7 @@ from driftwell.operators import drift, normalize as nz
 from driftwell.plans import checks_scoring as cs, datasets as ds, prepare as pr
 from driftwell.plans.datasets import table
 from driftwell.plans.registry import query
-from driftwell.session import work_path
+from driftwell.session import stored, work_path
 from driftwell.sources import readers, writers
 
 
@@ -81,9 +81,10 @@ def table_round_trip(spark, sf):
 )
 def export_round_trip(spark, sf):
     path = work_path(spark, "export")
-    writers.export_client_rounds(ds.stream(spark, sf).filter("available = 1"), path)
+    # Stored, since the export counts the rows of each folder before it writes them.
+    writers.export_client_rounds(stored(ds.stream(spark, sf).filter("available = 1"), "available"), path)
     schema = "prompt string, text string, label string, timestamp timestamp_ntz, persona string, region string, round_id int, client_id bigint"
-    back = readers.read_typed_csv(spark, path, schema)
+    back = readers.read_client_rounds(spark, path, schema)
     return back.select("round_id", "client_id", "text", "label", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "persona", "region")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from driftwell import fixed_values as fv
 from driftwell.functions.text import from_one_line
+from driftwell.sources.writers import EXPORT_COLUMNS
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | str | None = None, one_line: bool = False, **options) -> DataFrame:
@@ -35,11 +36,22 @@ AVAILABILITY_SCHEMA = (
 
 def read_typed_csv(spark: SparkSession, path: str, schema: str, one_line: bool = False) -> DataFrame:
     """Columns of ``schema`` that the files have, found by name whatever their order."""
-    raw = read_table(spark, path, "csv", one_line=one_line)
+    return _typed(read_table(spark, path, "csv", one_line=one_line), schema)
+
+
+def _typed(raw: DataFrame, schema: str) -> DataFrame:
     fields = T.StructType.fromDDL(schema).fields
     return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields if f.name in raw.columns])
 
 
+def read_client_rounds(spark: SparkSession, path: str, schema: str, one_line: bool = False) -> DataFrame:
+    """What ``export_client_rounds`` wrote as CSV, with the columns and types of ``schema``. The names and their order are known, so
+    no file is looked for to read them from: that would list all files, one per round and client, once more."""
+    folders = [f for f in T.StructType.fromDDL(schema).fields if f.name not in EXPORT_COLUMNS]
+    columns = T.StructType([*[T.StructField(c, T.StringType()) for c in EXPORT_COLUMNS], *folders])
+    return _typed(read_table(spark, path, "csv", columns, one_line), schema)
+
+
 def read_full_dataset(spark: SparkSession, path: str, schema: str = FULL_DATASET_SCHEMA, one_line: bool = False) -> DataFrame:
     """The prepared samples from CSV; empty strings come back as missing and are restored."""
     df = read_typed_csv(spark, path, schema, one_line)

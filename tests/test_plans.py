@@ -292,3 +292,21 @@ def test_a_round_is_written_by_few_tasks(spark, prepared):
     out, _ = prepared
     files = glob.glob(f"{out}/metadata/full_client_dataset/round_id=*/*.parquet")
     assert ROUNDS <= len(files) < ROUNDS + 4
+
+
+def test_exported_rounds_are_read_without_a_look_for_names(spark, prepared):
+    """Same rows as with names read from the files."""
+    out, _ = prepared
+    schema = "prompt string, text string, label string, timestamp timestamp_ntz, persona string, region string, round_id int, client_id bigint"
+    back, by_name = readers.read_client_rounds(spark, f"{out}/rounds", schema), readers.read_typed_csv(spark, f"{out}/rounds", schema)
+    assert back.schema == by_name.schema and back.count() > 0
+    assert back.exceptAll(by_name).isEmpty() and by_name.exceptAll(back).isEmpty()
+
+
+def test_export_round_trip_computes_the_stream_once(spark, sf, monkeypatch):
+    from driftwell.plans import checks_jobs
+
+    taken = []
+    monkeypatch.setattr(checks_jobs.writers, "export_client_rounds", lambda df, path: (taken.append(df), writers.write_table(df.selectExpr("prompt", "text", "label", "ts as timestamp", "persona", "region", "round_id", "client_id"), path, "csv", ["round_id", "client_id"])))
+    checks_jobs.export_round_trip(spark, sf)
+    assert "Join" not in taken[0]._jdf.queryExecution().optimizedPlan().toString()
