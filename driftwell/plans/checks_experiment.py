@@ -22,10 +22,11 @@ def guidance_of(spark, sf):
 
 
 def selected(spark, sf):
-    """Stream with concepts, stored once, and the selections of its clients."""
+    """Stream with concepts, gathered by round and stored once, and the selections of its clients."""
     facts = durable(ds.stream_facts(spark, sf))
     docs = ds.documents(spark, sf).select("sample_id", F.lit("").alias("prompt"), "text", F.col("source").alias("label"))
-    stream = stored(inject_concepts(docs.join(facts, "sample_id"), ds.EVENT_ROUNDS, ds.CONCEPTS), "stream")
+    gathered = bg.texts_by_round(docs.join(facts, "sample_id"), "sample_id", ds.EVENT_ROUNDS, facts.count())
+    stream = stored(inject_concepts(gathered, ds.EVENT_ROUNDS, ds.CONCEPTS), "stream")
     return stream, durable(ex.select_clients(stream, ds.clients(spark, sf), METHODS, ds.EVENT_ROUNDS))
 
 

@@ -99,7 +99,7 @@ def learn(
 class Scored:
     """Losses shared by all metrics: of token pairs, and of whole texts."""
 
-    model: bg.LossTable
+    model: bg.LossTable | bg.SpanModel
     texts: DataFrame
     labels: DataFrame
 
@@ -107,11 +107,16 @@ class Scored:
 def score(
     stream: DataFrame, model: bg.RoundModel, max_len: int | None = None, window: int | None = None,
 ) -> Scored:
-    """Gather the token pairs of every metric and look them up in the models once."""
+    """Score the texts where they lie, if what the models have learned is little; else gather the token pairs of every
+    metric and look them up in the models once."""
     by = ["round_id"]
-    texts = stored(sc.target_pairs(stream.filter(~is_blank(F.col("text"))), [*by, "sample_id"], max_len=max_len), "text-pairs")
-    known = current_knowledge(stream)
+    said = stream.filter(~is_blank(F.col("text")))
     labels = durable(sc.label_space(clean_labels(stream), by))
+    placed = model.placed(stream.select(*by))
+    if placed is not None:
+        return Scored(placed, durable(sc.sample_losses(sc.each_pair(said, [*by, "sample_id"], max_len=max_len), placed, by)), labels)
+    texts = stored(sc.target_pairs(said, [*by, "sample_id"], max_len=max_len), "text-pairs")
+    known = current_knowledge(stream)
     table = model.losses(
         [texts]
         + [

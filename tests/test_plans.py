@@ -190,6 +190,27 @@ def test_experiment(spark, prepared, tmp_path):
         ex.select_clients(stream, clients, ["nonsense"], ROUNDS)
 
 
+def test_experiment_scores_texts_where_they_lie(spark, sf, monkeypatch):
+    """What few clients teach comes to the texts; the pairs of all texts are stored only if more was learned."""
+    names = []
+    monkeypatch.setattr(ex, "stored", lambda df, name, keep=ex.stored: names.append(name) or keep(df, name))
+    stream = spark.createDataFrame(
+        [(i, i % 3, "c" + str(i % 2), "p", "EU", f"a b c{i % 5} New concept: x", "label", "x", "CODE", "positive") for i in range(12)],
+        "sample_id int, round_id int, client_id string, persona string, region string, text string, label string, drift_concept string, "
+        "drift_private_code string, drift_answer string",
+    )
+    chosen = spark.createDataFrame([("random", r, "c0", None, 1) for r in range(3)], "method string, round_id int, client_id string, persona string, rank int")
+    model = ex.learn(stream, chosen, None, ["random"])
+
+    def losses():
+        return sorted((r["round_id"], r["sample_id"], round(r["loss_sum"], 9), r["loss_tokens"]) for r in ex.score(stream, model).texts.collect())
+
+    few = losses()
+    assert "text-pairs" not in names and len(few) == 12
+    monkeypatch.setattr(ex.bg, "FEW_SUMS", 0)
+    assert losses() == few and "text-pairs" in names
+
+
 def test_oversampling_weighs_concepts(spark):
     df = spark.createDataFrame([("a b", "x"), ("a c", " ")], "text string, drift_concept string").withColumn("client_id", F.lit(1))
     assert nz.oversample(df, 8).count() == 9
